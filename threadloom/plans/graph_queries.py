@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import ids, text as tx
+from ..functions import fixed, ids, text as tx
 from ..operators import chunking, graph
 from ..sources.messages import linear_nodes as linear
 from . import corpus
@@ -62,9 +62,15 @@ def entity_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def concept_detection(spark: SparkSession, d: str) -> DataFrame:
-    """Concepts named by page markup and by messages (the alias table applied to whole texts)."""
+    """Concepts named by page markup and by messages (each message carries two phrases of the table)."""
     pages = corpus.table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text"))
-    rows = corpus.messages(spark, d).select(F.concat_ws(":", "conversation_id", "turn").alias("id"), "text")
+    phrases = tx.lit_strings([p for _, ps, _ in fixed.CONCEPTS for p in ps])
+    pick = lambda n: F.element_at(phrases, (n % F.size(phrases) + 1).cast("int"))
+    num, turn = F.col("num"), F.col("turn")
+    rows = corpus.messages(spark, d).select(
+        F.concat_ws(":", "conversation_id", "turn").alias("id"),
+        F.concat_ws(" ", pick(num + turn), "text", F.upper(pick(num * 7 + turn))).alias("text"),
+    )
     rows = tx.with_signals(rows.unionByName(pages), "t", F.col("text"))
     return rows.select("id", F.explode("t_aliases").alias("concept", "found")).select(
         "id", "concept", F.array_join(F.transform("found", F.trim), "|").alias("phrases")

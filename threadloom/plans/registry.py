@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import graph_queries
+from . import graph_queries, search_queries
 
-QUERIES = {**graph_queries.QUERIES}
+QUERIES = {**graph_queries.QUERIES, **search_queries.QUERIES}
