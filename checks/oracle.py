@@ -57,7 +57,8 @@ def meaningful(distinct_stems: str) -> str:
 
 # ------------------------------------------------------------------ the model over the given tables
 
-MODEL = f"""
+def model_ctes(node_text: str = "text") -> str:
+    return f"""
 msgs AS (
   SELECT 'c' || conv_id AS conversation_id, conv_id AS num, turn, role, text FROM conversations
   UNION ALL
@@ -72,7 +73,7 @@ hdr AS (
 nodes AS (
   SELECT conversation_id, turn, 't' || lpad(turn::VARCHAR, 6, '0') AS node_id,
          CASE WHEN turn = 0 THEN NULL WHEN turn % 5 = 4 THEN 't' || lpad((turn - 2)::VARCHAR, 6, '0')
-              ELSE 't' || lpad((turn - 1)::VARCHAR, 6, '0') END AS parent_id, role, text
+              ELSE 't' || lpad((turn - 1)::VARCHAR, 6, '0') END AS parent_id, role, {node_text} AS text
   FROM msgs),
 act AS (
   SELECT h.conversation_id, h.current_node AS node_id, 0 AS d FROM hdr h
@@ -116,6 +117,9 @@ rev AS (
 """
 
 
+MODEL = model_ctes()
+
+
 def est(text: str) -> str:
     return f"greatest(1, ceil(strlen({text}) / 3.0))::BIGINT"
 
@@ -262,10 +266,18 @@ concept(ci, pi, name, phrase, label) AS (VALUES {CONCEPT_VALUES}),
 cstem AS (SELECT ci, min(pi) AS pi, name, phrase FROM
   (SELECT ci, pi, name, array_to_string({stems("string_split(phrase, ' ')")}, ' ') AS phrase FROM concept) GROUP BY ALL)
 """
+PHRASES = "[" + in_list([p for _, phrases, _ in fixed.CONCEPTS for p in phrases]) + "]"
+
+
+def phrase(number: str) -> str:
+    return f"{PHRASES}[({number}) % len({PHRASES}) + 1]"
+
+
 SQL["concept_detection"] = model(
     f"""SELECT id, name AS concept, string_agg(phrase, '|' ORDER BY pi) AS phrases
     FROM (SELECT id, array_to_string({stems('w')}, ' ') AS st FROM (SELECT id, {words(norm('text'))} AS w FROM (
-      SELECT conversation_id || ':' || turn AS id, text FROM msgs UNION ALL SELECT 'p' || page_id, html FROM pages)))
+      SELECT conversation_id || ':' || turn AS id, {phrase('num + turn')} || ' ' || text || ' ' || upper({phrase('num * 7 + turn')}) AS text
+      FROM msgs UNION ALL SELECT 'p' || page_id, html FROM pages)))
     JOIN cstem ON contains(' ' || st || ' ', ' ' || phrase || ' ') GROUP BY id, name""",
     CONCEPTS,
 )

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, text as tx
+from ..session import durable
 
 
 @dataclass(frozen=True)
@@ -182,9 +183,11 @@ def _term_key() -> Column:
 def score(index: LexicalIndex, terms: DataFrame, **weights: float) -> DataFrame:
     """``(query_id, chunk_id, score)``: summed BM25 of all terms of a query; higher is better.
 
-    Statistics are those of the whole index.  A term that occurs twice in a query counts twice.
+    Statistics are those of the whole index.  A term that occurs twice in a query counts twice.  The
+    matches are written once, because both the document counts and the scores need them.
     """
-    hits = match(index, terms, **weights)
+    terms = durable(terms)
+    hits = durable(match(index, terms, **weights))
     spread = hits.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     wanted = terms.groupBy("query_id", _term_key().alias("term")).agg(F.count(F.lit(1)).alias("_times"))
     idf = F.greatest(

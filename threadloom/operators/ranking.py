@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, text as tx
-from .lexical import rank_score
+from .lexical import in_scope, rank_score
 from .semantic import normalized_score
 
 COMPONENTS = [
@@ -121,8 +121,12 @@ def query_signals(queries: DataFrame) -> DataFrame:
 
 
 def chunk_signals(rows: DataFrame) -> DataFrame:
-    """Everything the ranking needs from ``rows(chunk_id, title, body)``, prefixed ``t_``; texts are dropped."""
-    base = rows.select("chunk_id", "title", "body", F.concat("title", F.lit("\n"), "body").alias("_text"))
+    """Everything the ranking needs from ``rows(chunk_id, title, body, ...)``, prefixed ``t_``.
+
+    The body is dropped; all other columns stay.
+    """
+    carried = [c for c in rows.columns if c != "body"]
+    base = rows.withColumn("_text", F.concat("title", F.lit("\n"), "body"))
     base = tx.with_signals(base, "t", F.col("_text"))
     base = base.withColumns(
         {
@@ -137,7 +141,7 @@ def chunk_signals(rows: DataFrame) -> DataFrame:
     )
     base = base.withColumn("_head_words", F.transform("_heads", tx.words))
     return base.select(
-        "chunk_id",
+        *carried,
         "t_norm",
         "t_words",
         "t_join",
@@ -264,19 +268,25 @@ def _total(items: Column) -> Column:
     return F.aggregate(items, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def rank(rows: DataFrame, queries: DataFrame, tags: DataFrame) -> DataFrame:
+def rank(candidates: DataFrame, rows: DataFrame, queries: DataFrame, tags: DataFrame) -> DataFrame:
     """Score every candidate.
 
-    ``rows`` are the candidates of :func:`unite` joined with their chunk rows (``conversation_id, title,
-    body, conversation_timestamp, ...``); ``queries(query_id, query, tags, as_of)``; ``tags`` from
+    ``candidates`` from :func:`unite`; ``rows(chunk_id, conversation_id, title, body,
+    conversation_timestamp, ...)`` one row per chunk, with ``_ns`` and ``owner`` when scopes have to be
+    checked; ``queries(query_id, query, tags, as_of, namespaces, user_id)``; ``tags`` from
     :func:`tags_by_conversation`.  Adds the columns of ``COMPONENTS``, ``sources``,
     ``conversation_tags`` and ``body_exact``; bodies are left behind.
     """
-    texts = rows.select("chunk_id", "title", "body").dropDuplicates(["chunk_id"])
-    kept = [c for c in rows.columns if c != "body"]
-    facts = _pair_facts(
-        rows.select(*kept).join(chunk_signals(texts), "chunk_id").join(query_signals(queries), "query_id"), kept
-    )
+    pairs = candidates.join(chunk_signals(rows), "chunk_id")
+    if "owner" in rows.columns:
+        scope = queries.select("query_id", "namespaces", "user_id")
+        pairs = (
+            pairs.join(scope, "query_id")
+            .filter(in_scope(F.col("namespaces"), F.col("user_id"), F.col("_ns"), F.col("owner")))
+            .drop("namespaces", "user_id", "_ns", "owner")
+        )
+    kept = [c for c in pairs.columns if not c.startswith("t_")]
+    facts = _pair_facts(pairs.join(query_signals(queries), "query_id"), kept)
     table = (
         token_weights(facts)
         .join(queries.select("query_id", F.col("tags").alias("requested_tags"), "as_of"), "query_id")

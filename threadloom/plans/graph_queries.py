@@ -73,7 +73,7 @@ def concept_detection(spark: SparkSession, d: str) -> DataFrame:
     )
     rows = tx.with_signals(rows.unionByName(pages), "t", F.col("text"))
     return rows.select("id", F.explode("t_aliases").alias("concept", "found")).select(
-        "id", "concept", F.array_join(F.transform("found", F.trim), "|").alias("phrases")
+        "id", "concept", F.array_join(F.transform("found", lambda p: F.trim(p)), "|").alias("phrases")
     )
 
 

@@ -281,7 +281,7 @@ def candidate_union(spark: SparkSession, d: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, d: str):
     made = built(spark, d)
-    planned = ranking.search_plan(made.requests)
+    planned = durable(ranking.search_plan(made.requests))
     return made, planned, *search.ranked_candidates(made.corpus, planned, made.query_vectors)
 
 
@@ -291,6 +291,7 @@ def candidate_idf(spark: SparkSession, d: str) -> DataFrame:
     planned = ranking.search_plan(made.requests)
     live = search.live_chunks(made.corpus)
     found = lexical.lexical_search(made.corpus.index, planned, live.select("chunk_id", "namespace", "owner"))
+    found = durable(found)
     texts = made.corpus.chunks.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi")
     pairs = found.join(ranking.chunk_signals(texts).select("chunk_id", "t_full"), "chunk_id").join(
         ranking.query_signals(planned).select("query_id", "q_rare"), "query_id"
