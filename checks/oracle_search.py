@@ -98,16 +98,17 @@ def occurrences(tokens: str) -> str:
 
 LEXICAL = f"""
 doc AS (SELECT chunk_id, namespace, user_id, {ftok('title')} AS tt, {ftok('body')} AS bt FROM idx),
-sized AS (SELECT *, len(tt) + len(bt) AS size, ' ' || array_to_string(tt, ' ') || ' ' AS tj, ' ' || array_to_string(bt, ' ') || ' ' AS bj FROM doc),
+sized AS MATERIALIZED (SELECT *, len(tt) + len(bt) AS size, ' ' || array_to_string(tt, ' ') || ' ' AS tj, ' ' || array_to_string(bt, ' ') || ' ' AS bj FROM doc),
 tot AS (SELECT count(*) AS n, sum(size) / count(*) AS mean FROM sized),
-post AS (SELECT token, chunk_id, size, count(*) AS freq FROM (SELECT chunk_id, size, unnest(list_concat(tt, bt)) AS token FROM sized) GROUP BY ALL),
+post AS MATERIALIZED (SELECT token, chunk_id, size, count(*) AS freq FROM (SELECT chunk_id, size, unnest(list_concat(tt, bt)) AS token FROM sized) GROUP BY ALL),
 uterm AS (SELECT DISTINCT array_to_string(tokens, ' ') || CASE WHEN prefix THEN '*' ELSE '' END AS term, tokens AS wanted, prefix
           FROM term WHERE len(tokens) > 0),
-hit AS (
+expanded AS MATERIALIZED (SELECT u.term, v.token FROM (SELECT term, wanted[1] AS w FROM uterm WHERE len(wanted) = 1 AND prefix) u
+   JOIN (SELECT DISTINCT token FROM post) v ON starts_with(v.token, u.w)),
+hit AS MATERIALIZED (
   SELECT u.term, p.chunk_id, p.freq, p.size FROM uterm u JOIN post p ON p.token = u.wanted[1] WHERE len(u.wanted) = 1 AND NOT u.prefix
   UNION ALL
-  SELECT u.term, p.chunk_id, sum(p.freq), p.size FROM uterm u JOIN post p ON starts_with(p.token, u.wanted[1])
-  WHERE len(u.wanted) = 1 AND u.prefix GROUP BY ALL
+  SELECT e.term, p.chunk_id, sum(p.freq), p.size FROM expanded e JOIN post p USING (token) GROUP BY ALL
   UNION ALL
   SELECT term, chunk_id, freq, size FROM (
     SELECT u.term, s.chunk_id, s.size, {occurrences('s.tt')} + {occurrences('s.bt')} AS freq
@@ -237,9 +238,10 @@ def any_in(text: str, items: str, pad: str = "") -> str:
 
 
 def labels(text: str) -> str:
-    w = words(norm(f"regexp_replace({text}, '{SEP}', ' ', 'g')"))
-    return f"""list_distinct(list_filter(list_transform(range(1, len({w})), lambda i: CASE WHEN ({w})[i] IN ({in_list(fixed.STRUCTURED_LABEL_KINDS)})
-       AND regexp_full_match(({w})[i + 1], '[0-9]+') THEN ({w})[i] || ' ' || ({w})[i + 1] END), lambda l: l IS NOT NULL))"""
+    kinds = "|".join(fixed.STRUCTURED_LABEL_KINDS)
+    padded = f"replace(' ' || {norm(f"regexp_replace({text}, '{SEP}', ' ', 'g')")} || ' ', ' ', '  ')"
+    found = f"regexp_extract_all({padded}, ' (?:{kinds})  [0-9]+ ')"
+    return f"list_distinct(list_transform({found}, lambda l: replace(trim(l), '  ', ' ')))"
 
 
 def heading_norm(normed: str) -> str:
@@ -317,14 +319,10 @@ SQL["candidate_union"] = (
 )
 
 
-def full_tokens(normed: str) -> str:
-    return f"(SELECT {meaningful('ds')} FROM (SELECT {distinct('s')} AS ds FROM (SELECT {stems(words(normed))} AS s)))"
-
-
 def tokens_layers(name: str, source: str, columns: list[str]) -> str:
     """Layers adding ``<c>_m`` (meaningful tokens) for each normalised column ``c``."""
     one = ", ".join(f"{stems(words(c))} AS {c}_s" for c in columns)
-    two = ", ".join(f"{distinct(f'{c}_s')} AS {c}_d" for c in columns)
+    two = ", ".join(f"list_distinct({c}_s) AS {c}_d" for c in columns)
     three = ", ".join(f"{meaningful(f'{c}_d')} AS {c}_m" for c in columns)
     return f"""
 {name}1 AS (SELECT *, {one} FROM {source}),

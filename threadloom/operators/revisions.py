@@ -16,13 +16,14 @@ def segment_hashes(nodes: DataFrame, key: str = "conversation_id") -> DataFrame:
 
     A hash of hashes in two levels: nodes fall into up to 4096 buckets by their own digest, so no task
     ever holds all nodes of one conversation, and the texts are reduced to digests before the shuffle.
+    A node that was read twice counts once.
     """
     carried = [c for c in ("created_at", "content", "metadata") if c in nodes.columns]
     digests = nodes.select(key, node_digest("node_id", "parent_id", "role", "text", *carried).alias("_h"))
     buckets = (
         digests.groupBy(key, F.substring("_h", 1, 3).alias("_bucket"))
-        .agg(F.array_join(F.sort_array(F.collect_list("_h")), "").alias("_all"), F.count(F.lit(1)).alias("_n"))
-        .select(key, "_bucket", F.sha2("_all", 256).alias("_h"), "_n")
+        .agg(F.sort_array(F.collect_set("_h")).alias("_all"))
+        .select(key, "_bucket", F.sha2(F.array_join("_all", ""), 256).alias("_h"), F.size("_all").alias("_n"))
     )
     return buckets.groupBy(key).agg(
         F.sha2(
@@ -33,12 +34,13 @@ def segment_hashes(nodes: DataFrame, key: str = "conversation_id") -> DataFrame:
     )
 
 
-def revisions(headers: DataFrame, nodes: DataFrame) -> DataFrame:
+def revisions(headers: DataFrame, nodes: DataFrame, key: str = "conversation_id") -> DataFrame:
     """Add ``segment_hash, segment_id, content_hash, revision_id, node_count`` to conversation headers.
 
-    ``headers(conversation_id, current_node, metadata, ...)``; equal content gives equal ids.
+    ``headers(conversation_id, current_node, metadata, ...)``; equal content gives equal ids.  ``key`` is
+    the column that ties nodes to headers, when there are several versions of a conversation.
     """
-    hashed = headers.join(segment_hashes(nodes), "conversation_id")
+    hashed = headers.join(segment_hashes(nodes, key), key)
     content = domain_id("revision-content", F.col("segment_hash"), F.col("current_node"), F.col("metadata"))
     return (
         hashed.withColumn("segment_id", domain_id("segment", F.col("segment_hash")))
