@@ -105,15 +105,16 @@ uterm AS (SELECT DISTINCT array_to_string(tokens, ' ') || CASE WHEN prefix THEN
           FROM term WHERE len(tokens) > 0),
 expanded AS MATERIALIZED (SELECT u.term, v.token FROM (SELECT term, wanted[1] AS w FROM uterm WHERE len(wanted) = 1 AND prefix) u
    JOIN (SELECT DISTINCT token FROM post) v ON starts_with(v.token, u.w)),
+multi AS MATERIALIZED (SELECT term, wanted, prefix, ' ' || array_to_string(wanted, ' ') AS needle FROM uterm WHERE len(wanted) > 1),
+near AS MATERIALIZED (SELECT m.term, s.chunk_id FROM multi m JOIN (SELECT chunk_id, tj || '#' || bj AS both FROM sized) s ON contains(s.both, m.needle)),
 hit AS MATERIALIZED (
   SELECT u.term, p.chunk_id, p.freq, p.size FROM uterm u JOIN post p ON p.token = u.wanted[1] WHERE len(u.wanted) = 1 AND NOT u.prefix
   UNION ALL
   SELECT e.term, p.chunk_id, sum(p.freq), p.size FROM expanded e JOIN post p USING (token) GROUP BY ALL
   UNION ALL
   SELECT term, chunk_id, freq, size FROM (
-    SELECT u.term, s.chunk_id, s.size, {occurrences('s.tt')} + {occurrences('s.bt')} AS freq
-    FROM uterm u JOIN sized s ON contains(s.bj, ' ' || array_to_string(u.wanted, ' ')) OR contains(s.tj, ' ' || array_to_string(u.wanted, ' '))
-    WHERE len(u.wanted) > 1) WHERE freq > 0),
+    SELECT n.term, n.chunk_id, s.size, {occurrences('s.tt')} + {occurrences('s.bt')} AS freq
+    FROM near n JOIN multi USING (term) JOIN sized s ON s.chunk_id = n.chunk_id) WHERE freq > 0),
 dfs AS (SELECT term, greatest(ln(((SELECT n FROM tot) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM hit GROUP BY term),
 bm AS (
   SELECT t.query_id, h.chunk_id, sum(d.idf * (h.freq * 2.2) / (h.freq + 1.2 * (0.25 + 0.75 * h.size / (SELECT mean FROM tot)))) AS score

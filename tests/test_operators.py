@@ -241,3 +241,21 @@ def test_filters_reach_the_scan(spark):
     rows = corpus.table(spark, SF, "conversations").filter("turn = 0").select("conv_id")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(turn,0)" in plan and "text" not in plan.split("ReadSchema")[1]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_k_prunes_before_the_shuffle(spark):
+    rows = spark.range(1000).select(F.lit("q").alias("query_id"), F.col("id").cast("string").alias("chunk_id"), F.rand(1).alias("score"), F.lit(7).alias("pool"))
+    ranked = lexical.top_k(rows, F.col("pool"), fixed.POOL_MAX, [F.col("score").desc(), F.col("chunk_id")])
+    plan = plan_of(ranked)
+    assert plan.count("WindowGroupLimit") == 2 and ranked.count() == 7
+
+
+def test_no_nested_loops_in_matching(spark):
+    chunks = spark.createDataFrame([("d", "a title", "some body")], "chunk_id string, title string, body string")
+    queries = spark.createDataFrame([("q", "some titles")], "query_id string, query string")
+    plan = plan_of(lexical.match(lexical.build_index(chunks), lexical.query_terms(queries)))
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -165,7 +165,10 @@ def _match_phrases(index: LexicalIndex, phrases: DataFrame, title_weight: float,
         .select("term", "token", "tokens", "prefix")
     )
     candidates = index.postings.join(rarest, "token").select("term", "chunk_id", "size", "tokens", "prefix")
-    counted = candidates.join(index.documents, "chunk_id").withColumn(
+    exact = F.when(F.col("prefix"), F.slice("tokens", 1, F.size("tokens") - 1)).otherwise(F.col("tokens"))
+    present = F.concat("title_tokens", "body_tokens")
+    held = candidates.join(index.documents, "chunk_id").filter(F.size(F.array_except(exact, present)) == 0)
+    counted = held.withColumn(
         "freq",
         _occurrences(F.col("title_tokens"), F.col("tokens"), F.col("prefix")) * F.lit(float(title_weight))
         + _occurrences(F.col("body_tokens"), F.col("tokens"), F.col("prefix")) * F.lit(float(body_weight)),

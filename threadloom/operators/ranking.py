@@ -131,7 +131,6 @@ def chunk_signals(rows: DataFrame) -> DataFrame:
     base = base.withColumns(
         {
             "_title": tx.normalize_text(F.col("title")),
-            "_body": tx.normalize_text(F.col("body")),
             "_heads": F.transform(
                 _nfkc_items(tx.heading_texts(F.regexp_replace("title", r"[\r\n]+", " "), F.col("body"))), tx.squash
             ),
@@ -139,7 +138,18 @@ def chunk_signals(rows: DataFrame) -> DataFrame:
             "t_join": F.array_join("t_words", " "),
         }
     )
-    base = base.withColumn("_head_words", F.transform("_heads", tx.words))
+    # title and body are separate stretches of the analysed text, so theirs are parts of its tokens
+    base = base.withColumns(
+        {
+            "_head_words": F.transform("_heads", tx.words),
+            "_n": F.size(tx.words(F.col("_title"))),
+            "_body": F.when(F.col("_title") == "", F.col("t_norm")).otherwise(
+                F.substring(F.col("t_norm"), F.length("_title") + 2, F.length("t_norm"))
+            ),
+        }
+    )
+    first = lambda c: F.slice(c, F.lit(1), F.col("_n"))
+    rest = lambda c: F.slice(c, F.col("_n") + 1, F.size(c))
     return base.select(
         *carried,
         "t_norm",
@@ -148,8 +158,8 @@ def chunk_signals(rows: DataFrame) -> DataFrame:
         "t_tokens",
         "t_aliases",
         F.lower("body").alias("t_lower"),
-        F.array_join(tx.words(F.col("_title")), " ").alias("t_title_join"),
-        F.array_union(tx.meaningful_of(F.col("_title")), tx.meaningful_of(F.col("_body"))).alias("t_full"),
+        F.array_join(first("t_words"), " ").alias("t_title_join"),
+        F.array_union(tx.meaningful(first("t_stems")), tx.meaningful(rest("t_stems"))).alias("t_full"),
         F.transform("_heads", tx.heading_normalized).alias("t_head_norms"),
         F.transform("_head_words", lambda w: F.array_join(w, " ")).alias("t_head_joins"),
         F.array_distinct(F.flatten(F.transform("_head_words", lambda w: tx.meaningful(tx.stems(w))))).alias("t_head_tokens"),

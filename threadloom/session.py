@@ -21,6 +21,8 @@ def build_session(app: str = "threadloom", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # checkpoint files go when no DataFrame refers to them any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for name, value in {**defaults, **conf}.items():
         builder = builder.config(name, value)
