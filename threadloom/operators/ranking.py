@@ -12,9 +12,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, text as tx
+from ..session import durable
 from .lexical import in_scope, rank_score
 from .semantic import normalized_score
 
+# bounds for what may be sent to every task, and for the work of one task
+BROADCAST_BYTES = 64 * 1024 * 1024
+CANDIDATES_PER_QUERY = 2 * fixed.POOL_MAX + fixed.MAX_VARIANTS * fixed.SEMANTIC_TOP_K
+CANDIDATE_BYTES = 256
+QUERY_BYTES = 8192
+SIGNAL_FACTOR = 40
+ROWS_PER_TASK = 256
+
 COMPONENTS = [
     "lexical_score",
     "semantic_score",
@@ -283,25 +292,39 @@ def rank(candidates: DataFrame, rows: DataFrame, queries: DataFrame, tags: DataF
 
     ``candidates`` from :func:`unite`; ``rows(chunk_id, conversation_id, title, body,
     conversation_timestamp, ...)`` one row per chunk, with ``_ns`` and ``owner`` when scopes have to be
-    checked; ``queries(query_id, query, tags, as_of, namespaces, user_id)``; ``tags`` from
-    :func:`tags_by_conversation`.  Adds the columns of ``COMPONENTS``, ``sources``,
-    ``conversation_tags`` and ``body_exact``; bodies are left behind.
+    checked; ``queries(query_id, query, tags, as_of, namespaces, user_id)``; ``tags(conversation_id, tag,
+    seq)``.  Adds the columns of ``COMPONENTS``, ``sources``, ``conversation_tags`` and ``body_exact``;
+    bodies are left behind.
+
+    Texts are shuffled once, by chunk, before they are analysed.  Query signals are sent to the tasks when
+    their size, estimated from the query texts, is small; otherwise Spark joins them as it sees fit.
     """
-    pairs = candidates.join(chunk_signals(rows), "chunk_id")
-    if "owner" in rows.columns:
-        scope = queries.select("query_id", "namespaces", "user_id")
-        pairs = (
-            pairs.join(scope, "query_id")
-            .filter(in_scope(F.col("namespaces"), F.col("user_id"), F.col("_ns"), F.col("owner")))
-            .drop("namespaces", "user_id", "_ns", "owner")
-        )
-    kept = [c for c in pairs.columns if not c.startswith("t_")]
-    facts = _pair_facts(pairs.join(query_signals(queries), "query_id"), kept)
-    table = (
-        token_weights(facts)
-        .join(queries.select("query_id", F.col("tags").alias("requested_tags"), "as_of"), "query_id")
-        .join(tags, "conversation_id", "left")
+    spark = candidates.sparkSession
+    count, text_bytes = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("query")), F.lit(0))).first()
+    most = count * CANDIDATES_PER_QUERY
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, most // ROWS_PER_TASK))
+    asked = query_signals(queries).join(
+        queries.select(
+            "query_id",
+            F.col("tags").alias("requested_tags"),
+            "as_of",
+            *[c for c in ("namespaces", "user_id") if c in queries.columns],
+        ),
+        "query_id",
     )
+    if count * QUERY_BYTES + text_bytes * SIGNAL_FACTOR <= BROADCAST_BYTES:
+        asked = F.broadcast(asked)
+    signals = chunk_signals(rows.repartition(tasks, "chunk_id"))
+    pairs = candidates.join(signals, "chunk_id").join(asked, "query_id")
+    if "owner" in rows.columns:
+        pairs = pairs.filter(in_scope(F.col("namespaces"), F.col("user_id"), F.col("_ns"), F.col("owner"))).drop("_ns", "owner")
+    kept = [c for c in pairs.columns if c[:2] not in ("t_", "q_") and c not in ("namespaces", "user_id")]
+    facts = durable(token_weights(_pair_facts(pairs, kept)))  # small values, a few hundred rows per query
+    found = facts.select("conversation_id").distinct()
+    if most * CANDIDATE_BYTES <= BROADCAST_BYTES:
+        found = F.broadcast(found)
+    listed = tags_by_conversation(tags.join(found, "conversation_id", "left_semi"))
+    table = facts.join(listed, "conversation_id", "left")
     none = F.array().cast("array<string>")
     zipped = F.arrays_zip(
         F.col("weights").alias("w"),
@@ -397,6 +420,7 @@ def rank(candidates: DataFrame, rows: DataFrame, queries: DataFrame, tags: DataF
         "semantic_lift",
     ]
     table = table.withColumn("final_score", reduce(Column.__add__, [F.col(c) for c in plain]) + gated)
+    kept = [c for c in kept if c not in ("requested_tags", "as_of")]
     return table.select(*kept, "sources", "conversation_tags", "body_exact", *COMPONENTS)
 
 
