@@ -39,3 +39,14 @@ def row_key(columns: dict[str, Column], id_column: str = "doc_id", text_column:
     """Two long columns that tell rows apart; only rows with equal id and equal text share them."""
     id_, text = columns[id_column], columns[text_column]
     return [F.xxhash64(text, id_).alias("k1"), F.xxhash64(id_, F.lit(1), text).alias("k2")]
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores until no column of ``df`` has it."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import source
+from .common import free, row_key, source
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,8 +64,8 @@ def hits(
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, percent: int = 5, **options) -> DataFrame:
-    """``k1, k2, n_hit, items, spans`` of each document with a hit, and whether it is contaminated.
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, **options) -> DataFrame:
+    """``k1, k2, spans, items`` of each document with a hit.
 
     ``spans`` holds the word positions (from 1) inside item windows.
     """
@@ -80,42 +80,47 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, percent: i
     )
 
 
-def flagged(docs: DataFrame, benchmark: DataFrame, n: int = 13, percent: int = 5, **options) -> DataFrame:
-    """``docs`` with a struct column ``contamination``; an input column of that name is replaced."""
-    key = [F.xxhash64("text", "doc_id").alias("k1"), F.xxhash64("doc_id", F.lit(1), "text").alias("k2")]
-    keyed = docs.withColumns({"k1": key[0], "k2": key[1]}) if not {"k1", "k2"} & set(docs.columns) else None
-    if keyed is None:
-        raise ValueError("columns k1 and k2 are taken")
-    n_words = F.size(words(F.col("text"))).cast("long")
-    found = contamination(docs.select("doc_id", "text", *key), benchmark, n, percent, **options)
-    n_hit = F.coalesce(F.size("spans"), F.lit(0)).cast("long")
-    n_hit = F.when(F.col("spans").isNull(), F.lit(0)).otherwise(n_hit).cast("long")
-    items = F.coalesce(F.col("items"), F.array().cast("array<long>"))
-    joined = keyed.withColumn("n_words", n_words)
-    return joined.join(found, ["k1", "k2"], "left").select(
-        *[joined[c] for c in docs.columns if c != "contamination"],
-        F.struct(
-            joined["n_words"].alias("n_words"),
-            n_hit.alias("n_hit"),
-            items.alias("items"),
-            F.coalesce("spans", F.array().cast("array<int>")).alias("spans"),
-            ((n_hit > 0) & (n_hit * 100 >= joined["n_words"] * percent)).alias("contaminated"),
-        ).alias("contamination"),
+def flagged(
+    docs: DataFrame, benchmark: DataFrame, n: int = 13, percent: int = 5, into: str = "contamination", **options
+) -> DataFrame:
+    """``docs`` with a struct column ``into``: ``n_words, n_hit, items, spans, contaminated``.
+
+    An input column of that name is replaced.
+    """
+    key_name, found_name, count_name = free(docs, "row_key", "found", "word_count")
+    keys = row_key({"doc_id": F.col("doc_id"), "text": F.col("text")})
+    found = contamination(docs.select(*keys, "text"), benchmark, n, **options).select(
+        F.struct("k1", "k2").alias(key_name), F.struct("spans", "items").alias(found_name)
+    )
+    joined = docs.withColumns(
+        {key_name: F.struct(*keys), count_name: F.size(words(F.col("text"))).cast("long")}
+    ).join(found, key_name, "left")
+    spans = F.coalesce(F.col(found_name)["spans"], F.array().cast("array<int>"))
+    items = F.coalesce(F.col(found_name)["items"], F.array().cast("array<long>"))
+    n_hit = F.size(spans).cast("long")
+    struct = F.struct(
+        F.col(count_name).alias("n_words"),
+        n_hit.alias("n_hit"),
+        items.alias("items"),
+        spans.alias("spans"),
+        ((n_hit > 0) & (n_hit * 100 >= F.col(count_name) * percent)).alias("contaminated"),
     )
+    return joined.select(*[c for c in docs.columns if c != into], struct.alias(into))
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **options) -> DataFrame:
-    """``docs`` without contaminated documents, or with their hit words cut out (``remove="spans"``)."""
-    done = flagged(docs, benchmark, **options)
+    """``docs`` without contaminated documents, or with their hit words cut out (``remove="spans"``).
+
+    A document with spans cut keeps its other words, lower-cased and joined by single spaces.
+    """
+    (into,) = free(docs, "contamination")
+    done = flagged(docs, benchmark, into=into, **options)
+    found = F.col(into)
     if remove == "documents":
-        return done.filter(~F.col("contamination.contaminated")).select(*docs.columns)
-    kept_words = F.filter(
-        F.transform(words(F.col("text")), lambda w, i: F.struct(w.alias("w"), (i + 1).alias("i"))),
-        lambda x: ~F.array_contains(F.col("contamination.spans"), x["i"]),
-    )
-    text = F.when(
-        F.col("contamination.contaminated"), F.array_join(F.transform(kept_words, lambda x: x["w"]), " ")
-    ).otherwise(F.col("text"))
+        return done.filter(~found["contaminated"]).select(*docs.columns)
+    numbered = F.transform(words(F.col("text")), lambda w, i: F.struct(w.alias("w"), (i + 1).alias("i")))
+    rest = F.transform(F.filter(numbered, lambda x: ~F.array_contains(found["spans"], x["i"])), lambda x: x["w"])
+    text = F.when(found["contaminated"], F.array_join(rest, " ")).otherwise(F.col("text"))
     return done.withColumn("text", text).select(*docs.columns)
 
 

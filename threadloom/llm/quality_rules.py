@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import encode
-from .common import source, table
+from .common import free, source, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -159,35 +159,38 @@ def bands(measures: DataFrame, group: str, spread: float = 2.5, least: int = 200
     )
 
 
-def judged(docs: DataFrame, path: str, lang: str | None = "lang", **options) -> DataFrame:
-    """``docs`` with the struct column ``quality``: measures, ``base_failed`` and ``kept``.
+def judged(docs: DataFrame, path: str, lang: str | None = "lang", into: str = "quality", **options) -> DataFrame:
+    """``docs`` with the struct column ``into``: measures, ``base_failed`` and ``kept``.
 
     An input column of that name is replaced; all others stay as they are.
     """
-    done = table(measured(docs, path))
+    done = table(measured(docs, path, into=into))
+    group_name, own_name, any_name = free(done, "band_group", "own_band", "any_band")
     named = F.col(lang) if lang and lang in done.columns else F.lit(None).cast("string")
-    group = F.coalesce(named, F.col("quality.script"))
-    limits = bands(done.select(group.alias("band_group"), "quality.*"), "band_group", **options)
+    group = F.coalesce(named, F.col(into)["script"])
     # one row per language: the number of languages bounds it, not the number of documents
-    limits = table(limits)
-    every = limits.filter("band_group IS NULL").drop("band_group")
-    own = limits.select(F.struct(*limits.columns).alias("own_band")).filter("own_band.band_group IS NOT NULL")
-    every = every.select(F.struct(*every.columns).alias("any_band"))
-    joined = done.join(F.broadcast(own), group == F.col("own_band.band_group"), "left").join(
+    limits = table(bands(done.select(group.alias(group_name), f"{into}.*"), group_name, **options))
+    own = limits.filter(F.col(group_name).isNotNull()).select(F.struct(*limits.columns).alias(own_name))
+    every = limits.filter(F.col(group_name).isNull()).select(F.struct(*limits.columns).alias(any_name))
+    joined = done.join(F.broadcast(own), group == F.col(own_name)[group_name], "left").join(
         F.broadcast(every), F.lit(True), "left"
     )
     inside = F.lit(True)
     for name in MEASURES:
-        value = F.col(f"quality.{name}")
-        low = F.coalesce(F.col(f"own_band.low_{name}"), F.col(f"any_band.low_{name}"))
-        high = F.coalesce(F.col(f"own_band.high_{name}"), F.col(f"any_band.high_{name}"))
+        value = F.col(into)[name]
+        low, high = (F.coalesce(F.col(own_name)[f"{side}_{name}"], F.col(any_name)[f"{side}_{name}"]) for side in ("low", "high"))
         inside &= (value >= low) & (value <= high)
-    failed = (F.col("quality.n_words") < 50) | (
-        F.col("quality.n_repeat_words") * 100 > F.col("quality.n_words") * 50
-    )
+    n_words, n_repeat = F.col(into)["n_words"], F.col(into)["n_repeat_words"]
+    failed = (n_words < 50) | (n_repeat * 100 > n_words * 50)
     verdict = F.when(failed, False).otherwise(F.coalesce(inside, F.lit(False)))
-    quality = F.col("quality").withField("base_failed", failed).withField("kept", verdict)
-    return joined.withColumn("quality", quality).select(*done.columns)
+    quality = F.col(into).withField("base_failed", failed).withField("kept", verdict)
+    return joined.withColumn(into, quality).select(*done.columns)
+
+
+def kept(docs: DataFrame, path: str, **options) -> DataFrame:
+    """The rows of ``docs`` that pass."""
+    (into,) = free(docs, "quality")
+    return judged(docs, path, into=into, **options).filter(F.col(into)["kept"]).select(*docs.columns)
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -195,5 +198,5 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = source(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    done = judged(docs.select("doc_id", "lang", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    done = judged(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return done.select("doc_id", "quality.*")

@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, packing, quality_rules, sharding, token_counts
+from . import (
+    chat_format,
+    decontaminate,
+    html_extract,
+    near_dedup,
+    packing,
+    quality_rules,
+    sharding,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 
 QUERIES = {
     f.__name__: f
     for f in (
+        near_dedup.op1_near_dedup,
         decontaminate.op2_decontamination,
+        html_extract.op3_html_extract,
         token_counts.op4_token_counts,
         chat_format.op5_chat_format,
         sharding.op6_sharding,
+        suffix_dedup.op7_suffix_dedup,
         packing.op8_packing,
+        toxicity.op9_toxicity,
         quality_rules.op10_quality_rules,
     )
 }

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import source, table, utf8_length
+from .common import free, partitions, source, table, utf8_length
 
 BITS = 60
 LIMIT = 8 << 20
@@ -69,11 +69,12 @@ def directory(counted: DataFrame, limit: int = LIMIT, step: int = 12) -> DataFra
     return table(done)
 
 
-def assigned(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``shard``: ``bytes, depth, prefix, part, name``.
+def assigned(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text", into: str = "shard") -> DataFrame:
+    """``docs`` with a struct column ``into``: ``bytes, depth, prefix, part, name``.
 
-    ``part`` is null but in a bucket of one hash above the limit. An input column ``shard`` is replaced.
+    ``part`` is null but in a bucket of one hash above the limit. An input column of that name is replaced.
     """
+    hash_name, bucket_name, part_name = free(docs, "shard_hash", "shard_bucket", "shard_part")
     hash_, bytes_ = hash_bits(F.col(key)), utf8_length(F.col(text))
     counted = table(
         docs.select(hash_.alias("hash"), bytes_.alias("bytes")).groupBy("hash").agg(F.sum("bytes").alias("bytes"))
@@ -83,39 +84,41 @@ def assigned(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str
     places = [F.struct(F.lit(d).alias("depth"), prefix(F.col("hash"), d).alias("prefix")) for d in depths or [0]]
     located = (
         counted.select("hash", F.explode(F.array(*places)).alias("b"))
-        .select(F.col("hash").alias("shard_hash"), "b.depth", "b.prefix")
-        .join(buckets.select("depth", "prefix", "bytes"), ["depth", "prefix"])
-        .select("shard_hash", F.struct("depth", "prefix", (F.col("bytes") > limit).alias("divide")).alias("shard_bucket"))
+        .select("hash", "b.depth", "b.prefix")
+        .join(buckets.select("depth", "prefix", (F.col("bytes") > limit).alias("divide")), ["depth", "prefix"])
+        .select(F.col("hash").alias(hash_name), F.struct("depth", "prefix", "divide").alias(bucket_name))
     )
-    joined = docs.join(located, hash_ == F.col("shard_hash"))
-    whole = joined.filter(~F.col("shard_bucket.divide")).withColumn("shard_part", F.lit(None).cast("string"))
-    parts = whole.unionByName(divided(joined.filter("shard_bucket.divide"), bytes_, limit))
-    digits = F.lpad(F.conv(F.col("shard_bucket.prefix"), 10, 2), F.col("shard_bucket.depth"), "0")
-    name = F.concat_ws(".", F.concat(F.lit("s"), F.when(F.col("shard_bucket.depth") > 0, digits).otherwise("")), "shard_part")
+    joined = docs.join(located, hash_ == F.col(hash_name))
+    divide, bucket = F.col(bucket_name)["divide"], F.col(bucket_name)
+    whole = joined.filter(~divide).withColumn(part_name, F.lit(None).cast("string"))
+    parts = whole.unionByName(divided(joined.filter(divide), bytes_, limit, hash_name, text, part_name))
+    digits = F.lpad(F.conv(bucket["prefix"].cast("string"), 10, 2), bucket["depth"], "0")
+    bits = F.concat(F.lit("s"), F.when(bucket["depth"] > 0, digits).otherwise(""))
     shard = F.struct(
         bytes_.alias("bytes"),
-        F.col("shard_bucket.depth").alias("depth"),
-        F.col("shard_bucket.prefix").alias("prefix"),
-        F.col("shard_part").alias("part"),
-        name.alias("name"),
+        bucket["depth"].alias("depth"),
+        bucket["prefix"].alias("prefix"),
+        F.col(part_name).alias("part"),
+        F.concat_ws(".", bits, part_name).alias("name"),
     )
-    return parts.withColumn("shard", shard).drop("shard_hash", "shard_bucket", "shard_part")
+    return parts.select(*[c for c in docs.columns if c != into], shard.alias(into))
 
 
-def divided(rows: DataFrame, bytes_: Column, limit: int) -> DataFrame:
+def divided(rows: DataFrame, bytes_: Column, limit: int, hash_name: str, text: str, part_name: str) -> DataFrame:
     """Rows of buckets with one hash, in parts by bytes within the blocks they were written in.
 
     Rows of up to half the limit fill spans of half the limit, so a part stays within it; a larger row has a
     part of its own.
     """
-    rows = table(rows.withColumn("shard_block", F.spark_partition_id()))
+    (block,) = free(rows, "shard_block")
+    # spread first: blocks and so windows stay small however many rows share the hash
+    rows = table(rows.repartition(partitions(rows.sparkSession)).withColumn(block, F.spark_partition_id()))
     small = bytes_ * 2 <= limit
-    order = Window.partitionBy("shard_hash", "shard_block", small).orderBy(F.xxhash64("text"))
+    order = Window.partitionBy(hash_name, block, small).orderBy(F.xxhash64(text))
     upto = F.sum(bytes_).over(order.rowsBetween(Window.unboundedPreceding, 0)) - bytes_
     number = F.when(small, F.floor(upto * 2 / limit)).otherwise(F.row_number().over(order))
-    kind = F.when(small, "p").otherwise("q")
-    part = F.concat_ws("-", "shard_block", F.concat(kind, number.cast("string")))
-    return rows.withColumn("shard_part", part).drop("shard_block")
+    part = F.concat_ws("-", F.col(block).cast("string"), F.concat(F.when(small, "p").otherwise("q"), number.cast("string")))
+    return rows.withColumn(part_name, part).drop(block)
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
