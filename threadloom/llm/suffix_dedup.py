@@ -276,7 +276,9 @@ def repeated(docs: DataFrame, wide: int = WIDE) -> DataFrame:
     return whole.unionByName(partly).groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
 
 
-@F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+CUT_FIELDS = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+
 def cut(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
     rows = []
     for text, found in zip(texts, lists):
@@ -292,7 +294,6 @@ def cut(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-@F.pandas_udf("string")
 def decoded(data: pd.Series) -> pd.Series:
     return data.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
 
@@ -307,7 +308,7 @@ def removed(docs: DataFrame, wide: int = WIDE, into: str = "repeats") -> DataFra
     key = F.struct(*row_key({"doc_id": F.col("doc_id"), "text": F.col("text")}))
     joined = docs.withColumn(key_name, key).join(found, key_name, "left")
     columns = [c for c in docs.columns if c != into]
-    return joined.select(*columns, cut("text", spans_name).alias(into))
+    return joined.select(*columns, F.pandas_udf(cut, CUT_FIELDS)("text", spans_name).alias(into))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -315,7 +316,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     (into,) = free(docs, "repeats")
     done = removed(docs, into=into)
     changed = F.col(into)["n_removed"] > 0
-    done = done.withColumn("text", F.when(changed, decoded(F.col(into)["kept"])).otherwise(F.col("text")))
+    text = F.pandas_udf(decoded, "string")(F.col(into)["kept"])
+    done = done.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
         done = done.withColumn("n_chars", F.when(changed, n_chars).otherwise(F.col("n_chars")))
