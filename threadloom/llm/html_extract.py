@@ -215,7 +215,7 @@ def measures(nodes: list[Node]) -> np.ndarray:
 class Trees:
     """Gradient-boosted trees for a yes or no label: equal-frequency bins, Newton steps, fixed depth."""
 
-    def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 32, ridge: float = 1.0):
+    def __init__(self, rounds: int = 100, depth: int = 4, rate: float = 0.25, bins: int = 32, ridge: float = 1.0):
         self.rounds, self.depth, self.rate, self.bins, self.ridge = rounds, depth, rate, bins, ridge
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
@@ -346,9 +346,9 @@ def layout(rng: random.Random, texts: list[str]) -> str:
             blocks.append(tag("blockquote", "", "1", tag("p", "", "1", text)))
         else:
             blocks.append(tag("div", "", "1", text))
-    mixed = rng.random() < 0.4
+    mixed = rng.random() < 0.3
     if mixed:
-        for _ in range(rng.randint(1, 3)):
+        for _ in range(rng.randint(1, 2)):
             blocks.insert(rng.randint(1, len(blocks)), other())
     article = tag(name, word, "" if mixed else "1", "".join(blocks))
     if name == "td":
@@ -356,7 +356,7 @@ def layout(rng: random.Random, texts: list[str]) -> str:
     before, after = "".join(other() for _ in range(rng.randint(1, 4))), "".join(other() for _ in range(rng.randint(1, 4)))
     body = before + article + after
     for _ in range(rng.randint(0, 2)):
-        body = tag(rng.choice(("div", "div", "main", "section")), rng.choice(("", "wrapper", "container", "page", "site", "row")), "", body)
+        body = tag(rng.choice(("div", "div", "section")), rng.choice(("", "wrapper", "container", "page", "site", "row")), "", body)
     return f"<html><body>{body}</body></html>"
 
 
@@ -403,7 +403,7 @@ def fit(pages: DataFrame, sample: int = 200, layouts: int = 600) -> Trees:
 # --------------------------------------------------------------------------- decoding
 
 
-def kept_elements(nodes: list[Node], margins: np.ndarray, mixing: float = 1.0) -> list[bool]:
+def kept_elements(nodes: list[Node], margins: np.ndarray, mixing: float = 0.5) -> list[bool]:
     """The best consistent choice: a subtree is kept, dropped, or decided child by child at a cost."""
     place = {id(node): i for i, node in enumerate(nodes)}
     total = np.clip(margins, -6, 6)
@@ -413,7 +413,7 @@ def kept_elements(nodes: list[Node], margins: np.ndarray, mixing: float = 1.0) -
     for i in range(len(nodes) - 1, -1, -1):
         children = [place[id(c)] for c in nodes[i].children]
         total[i] = own[i] + sum(total[c] for c in children)
-        inside = sum(best[c] for c in children) - mixing if children else -np.inf
+        inside = sum(best[c] for c in children) + abs(own[i]) - mixing if children else -np.inf
         choice[i] = 1 if total[i] > 0 else -1
         best[i] = abs(total[i])
         if inside > best[i]:

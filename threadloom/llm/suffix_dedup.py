@@ -214,7 +214,8 @@ def repeated(docs: DataFrame, wide: int = WIDE) -> DataFrame:
         .filter("n > 1")
         .select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
     )
-    shared = table(found.join(anchors, "anchor"))
+    # a table, so that the join below has plain exchanges, which Spark splits where an anchor is frequent
+    shared = table(found.join(table(anchors), "anchor"))
     whole = shared.filter("NOT mixed").select(
         "k1", "k2", F.struct(F.col("first").alias("low"), (F.col("first") + F.col("n_starts") - 1).alias("high")).alias("s")
     )
