@@ -64,7 +64,7 @@ msgs AS (
   UNION ALL
   SELECT 'd' || doc_id, doc_id, 0::BIGINT, 'user', text FROM documents),
 hdr AS (
-  SELECT conversation_id, num, substring(text, 1, 60) AS title, 'ns' || (num % 4) AS namespace,
+  SELECT conversation_id, num, split_part(split_part(text, chr(10), 1), '.', 1) AS title, 'ns' || (num % 4) AS namespace,
          'u' || (num % 3) AS user_id,
          TIMESTAMP '2024-01-01' + to_days((num % 1000)::INTEGER) AS updated_at,
          (SELECT 't' || lpad(max(m2.turn)::VARCHAR, 6, '0') FROM msgs m2
@@ -294,7 +294,7 @@ SQL["structured_labels"] = model(
       ) WHERE ok GROUP BY ALL) GROUP BY conversation_id, turn"""
 )
 SQL["headings"] = model("""
-SELECT conversation_id, turn, array_to_string(list_concat([substring(text, 1, 20)],
+SELECT conversation_id, turn, array_to_string(list_concat([split_part(split_part(text, chr(10), 1), '.', 1)],
    list_transform(list_filter(list_transform(string_split(b, chr(10)), lambda s: trim(s, ' ' || chr(9) || chr(13))),
      lambda s: length(s) > 2 AND prefix(s, '[') AND suffix(s, ']')), lambda s: substring(s, 2, length(s) - 2))[1:2]), '|') AS headings
 FROM (SELECT *, '[Chat ' || num || ']' || chr(10) || '  [turn ' || turn || '] ' || chr(10) || '[]' || chr(10) || '[third]' || chr(10) || text AS b

@@ -91,7 +91,7 @@ SQL["append_conflicts"] = model(
       SELECT m.conversation_id || ':' || turn AS request_id, turn,
         CASE WHEN num % 9 = 0 THEN 'x' || m.conversation_id ELSE m.conversation_id END AS conv,
         CASE WHEN (num + turn) % 4 = 1 THEN 'stale' ELSE coalesce(c0.revision_id, 'none') END AS base
-      FROM msgs m LEFT JOIN cur c0 USING (conversation_id) WHERE turn < 2) a LEFT JOIN cur c ON c.conversation_id = a.conv)""",
+      FROM msgs m LEFT JOIN cur c0 USING (conversation_id)) a LEFT JOIN cur c ON c.conversation_id = a.conv)""",
     VERSIONS,
 )
 
@@ -105,7 +105,7 @@ SELECT conversation_id, sha256(concat_ws({US}, 'message-node', conversation_id,
   CASE WHEN o = 0 THEN current_node ELSE {appended('o - 1')} END AS parent_id, role, sha256(text) AS text_sha, n + o AS sequence, o = k - 1 AS is_leaf
 FROM (SELECT m.*, h.current_node, row_number() OVER (PARTITION BY m.conversation_id ORDER BY m.turn) - 1 AS o,
         count(*) OVER (PARTITION BY m.conversation_id) AS k, (SELECT count(*) FROM msgs x WHERE x.conversation_id = m.conversation_id) AS n
-      FROM msgs m JOIN hdr h USING (conversation_id) WHERE m.turn < 2)""")
+      FROM msgs m JOIN hdr h USING (conversation_id))""")
 SQL["tag_updates"] = model(
     """SELECT a.conversation_id, a.tag, min(a.seq * 100 + a.step) // 100 AS seq, min(a.seq * 100 + a.step) % 100 AS step
     FROM op a LEFT JOIN (SELECT conversation_id, tag, max(seq * 100 + step) AS gone FROM op WHERE kind = 'remove' GROUP BY ALL) r
@@ -124,15 +124,15 @@ FROM (SELECT q.*, h.num AS num2, h.num IS NOT NULL AND (q.num % 3 <> 0 OR h.name
           CASE WHEN num % 8 = 0 THEN 'x' || conversation_id ELSE conversation_id END AS conversation_id FROM msgs) q
   LEFT JOIN hdr h ON h.conversation_id = q.conversation_id) r""")
 SQL["delete_scopes"] = model("""
-SELECT requested, least(requested, 500) AS deleted, requested - least(requested, 500) AS remaining, requested <= 500 AS complete
+SELECT requested, requested AS deleted, 0::BIGINT AS remaining, true AS complete
 FROM (SELECT count(*) AS requested FROM hdr WHERE user_id = 'u1' AND namespace IN ('ns0', 'ns2'))""")
 SQL["orphan_segments"] = model("""
 SELECT DISTINCT segment_id FROM rev WHERE segment_id NOT IN (SELECT segment_id FROM rev JOIN hdr USING (conversation_id) WHERE num % 17 <> 3)""")
 
 EVENTS = """
 evt AS (SELECT 'c' || user_id AS revision_id, ts, event_id,
-          CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'indexed' END AS status
-        FROM events WHERE event_type IN ('signup', 'view', 'error', 'click')),
+          CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'error' THEN 'failed' ELSE 'indexed' END AS status
+        FROM events),
 agg AS (SELECT revision_id, arg_max(status, (ts, event_id)) AS status, count_if(status = 'processing') AS attempts,
     coalesce(max(ts) FILTER (WHERE status = 'queued'), min(ts)) AS queued_at, max(ts) FILTER (WHERE status = 'processing') AS started,
     max(ts) FILTER (WHERE status = 'indexed') AS indexed, max(ts) FILTER (WHERE status = 'failed') AS failed, max(ts) AS updated_at FROM evt GROUP BY revision_id)"""
@@ -166,7 +166,7 @@ SQL["duplicate_exports"] = f"""WITH {IMPORTS} SELECT import_id, first_id AS dupl
 SQL["import_status"] = model("""
 SELECT t.import_id, t.processed, t.failed, coalesce(f.ordinal, -1) AS ordinal, coalesce(f.chars, 0)::BIGINT AS message_chars
 FROM (SELECT import_id, count(*) AS processed, count_if(bad)::BIGINT AS failed FROM item GROUP BY import_id) t
-LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY import_id ORDER BY ordinal) AS n FROM item WHERE bad) f ON f.import_id = t.import_id AND f.n <= 100""",
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY import_id ORDER BY ordinal) AS n FROM item WHERE bad) f ON f.import_id = t.import_id""",
     """
 item AS (SELECT 'import-' || (num % 3) AS import_id, num * 16 + turn + CASE WHEN starts_with(conversation_id, 'd') THEN 1000000 ELSE 0 END AS ordinal,
    length(text) > 1500 AS bad, least(1000, length(text) + 15) AS chars FROM msgs)""")

@@ -11,6 +11,7 @@ from .oracle import (
 
 NL = "chr(10)"
 SEP = r"[._:@/\\]+"
+TITLE = "split_part(split_part(text, chr(10), 1), '.', 1)"
 
 
 def caps(text: str) -> str:
@@ -48,7 +49,7 @@ def ftok(text: str) -> str:
 SQL["postings"] = model(
     f"""SELECT token, chunk_id, any_value(size) AS size, count(*) AS freq FROM (
       SELECT chunk_id, len(t)::BIGINT AS size, unnest(t) AS token FROM (
-        SELECT conversation_id || ':' || turn AS chunk_id, list_concat({ftok('substring(text, 1, 60)')}, {ftok('text')}) AS t FROM msgs))
+        SELECT conversation_id || ':' || turn AS chunk_id, list_concat({ftok(TITLE)}, {ftok('text')}) AS t FROM msgs))
     GROUP BY token, chunk_id"""
 )
 
@@ -71,8 +72,8 @@ SQL["search_plans"] = f"WITH {REQUESTS} SELECT query_id, lim AS limit, pool, arr
 
 STATE = """
 evt AS (SELECT 'c' || user_id AS conversation_id, ts, event_id,
-          CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'indexed' END AS status
-        FROM events WHERE event_type IN ('signup', 'view', 'error', 'click')),
+          CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'error' THEN 'failed' ELSE 'indexed' END AS status
+        FROM events),
 st AS (SELECT conversation_id, arg_max(status, (ts, event_id)) AS status,
           coalesce(max(ts) FILTER (WHERE status = 'queued'), min(ts)) AS queued_at
        FROM evt WHERE conversation_id IN (SELECT conversation_id FROM hdr) GROUP BY conversation_id)
@@ -152,15 +153,14 @@ SQL["query_variants"] = f"WITH {REQUESTS}, {CONCEPTS}, {VARIANTS} SELECT query_i
 SQL["cosine_topk"] = """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, 'l' || label AS ns, label, 'u' || (vec_id % 3) AS owner FROM embeddings),
 s AS (SELECT 'v' || a.vec_id AS query_id, 'v' || b.vec_id AS chunk_id, round(list_cosine_similarity(a.v, b.v), 9) AS s
-      FROM e a JOIN e b ON (b.ns = 'l0' OR b.ns = 'l' || (a.vec_id % 10)) AND (a.vec_id % 2 = 1 OR b.owner = a.owner) WHERE a.label = 0),
+      FROM e a JOIN e b ON (b.ns = 'l0' OR b.ns = 'l' || (a.vec_id // 50 % 10)) AND (a.vec_id % 100 <> 0 OR b.owner = a.owner) WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rn FROM s)
 SELECT query_id, chunk_id, round(s, 6) AS score FROM r WHERE rn <= 50"""
 SQL["vector_check"] = """
 SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AS valid,
        len(embedding[1:63]) = 64 AS short FROM embeddings"""
 SEMANTIC = f"""
-vecs AS (SELECT c.chunk_id, c.namespace, c.user_id, e.embedding::DOUBLE[] AS v FROM chunk c JOIN embeddings e ON c.conversation_id = 'd' || e.vec_id
-         WHERE c.branch_key = 'active' AND c.ordinal = 0),
+vecs AS (SELECT c.chunk_id, c.namespace, c.user_id, e.embedding::DOUBLE[] AS v FROM chunk c JOIN embeddings e ON c.conversation_id IN ('d' || e.vec_id, 'c' || e.vec_id)),
 qvec AS (SELECT r.query_id, x.variant_no, e.embedding::DOUBLE[] AS v FROM variant x JOIN req r USING (query_id)
          JOIN embeddings e ON e.vec_id = r.item_id + x.variant_no * 100),
 cosine AS (SELECT q.query_id, q.variant_no, c.chunk_id, round(list_cosine_similarity(q.v, c.v), 9) AS s, p.pool
@@ -200,7 +200,7 @@ SQL["recent_candidates"] = (
     "strftime(date_trunc('millisecond', queued_at), '%Y-%m-%dT%H:%M:%S.%gZ') AS queued_at, place FROM cand"
 )
 SQL["recent_budget"] = (
-    f"WITH RECURSIVE {BUILT}, {RECENT}, {budget(12)} SELECT query_id, conversation_id, n AS active_messages, take, first_sequence FROM bud"
+    f"WITH RECURSIVE {BUILT}, {RECENT}, {budget(200)} SELECT query_id, conversation_id, n AS active_messages, take, first_sequence FROM bud"
 )
 SQL["recent_status"] = (
     f"WITH RECURSIVE {BUILT}, {RECENT} SELECT query_id, count_if(status = 'queued')::BIGINT AS queued, "

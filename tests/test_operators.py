@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def event_text(label):
-    return f"[{label}]\n\n" + "Canonical event record with operator context, outcome, and follow-up notes. " * 6
+    return f"[{label}]\n\n" + "Boats came in late, and the harbour clerk wrote down who had been waiting. " * 6
 
 
 def chunks_of(spark, messages, **options):
@@ -46,8 +46,8 @@ def test_tiny_messages_share_chunks(spark):
 
 
 def test_split_texts():
-    prose = "Keputusan arsitektur multilingual. " * 600 + "\n\n```ts\n" + "const packageName = '@scope/pkg';\n" * 300 + "```"
-    sections = "\n\n".join(f"## EVENT {i + 1}\n" + "Detailed section body with operator context and decisions. " * 5 for i in range(24))
+    prose = "Tide tables are printed every spring. " * 600 + "\n\n~~~\n" + "tide = heights[month];\n" * 500 + "~~~"
+    sections = "\n\n".join(f"## EVENT {i + 1}\n" + "Ropes were coiled, lamps were lit and the gate was shut. " * 6 for i in range(24))
     odd = "\n\n" + "x" * 20000 + "é😀" * 3000
     for text in (prose, sections, odd):
         for tail in (False, True):
@@ -72,19 +72,57 @@ def random_graph(rng, conversation, size):
     return [(str(conversation), n, p, n not in used) for n, p in parent.items()]
 
 
-def test_both_graph_walks_agree(spark):
+def plain_walk(rows, current):
+    """Branch rows and anomalies of one conversation, by sets of ancestors."""
+    parent = {n: p for _, n, p, _ in rows}
+    leaves = {n for _, n, _, leaf in rows if leaf}
+    found = set()
+    head = current
+    if current not in parent:
+        head = max(leaves) if leaves else max(parent)
+        if current:
+            found.add((None, f"current_node_missing:{current}"))
+
+    def line(node, stop):
+        out = []
+        while node in parent and node not in out:
+            out.append(node)
+            if node in stop:
+                return out[::-1], None
+            node = parent[node]
+        return out[::-1], node
+
+    path, end = line(head, ())
+    if end:
+        found.add((None, f"cycle:{end}" if end in parent else f"dangling_parent:{end}"))
+    found |= {("active", i, n, i) for i, n in enumerate(path)}
+    for leaf in leaves - set(path):
+        side, _ = line(leaf, set(path))
+        found |= {(f"alternate:{leaf}", i, n, path.index(n) if n in path else None) for i, n in enumerate(side)}
+    return found
+
+
+def test_graph_walk_equals_brute_force(spark):
     rng = random.Random(5)
-    rows, heads = [], []
+    rows, heads, want = [], [], {}
     for c in range(24):
         made = random_graph(rng, c, rng.randrange(1, 40))
         rows += made
         heads.append((str(c), rng.choice([None, "gone", made[-1][1], made[len(made) // 2][1]])))
+        want[str(c)] = plain_walk(made, heads[-1][1])
+    chain = [("long", f"n{i:05d}", f"n{i - 1:05d}" if i else None, i == 5999) for i in range(6000)]
+    star = [("star", "root", None, False)] + [("star", f"l{i:04d}", "root", True) for i in range(300)]
+    rows += chain + star
+    heads += [("long", "n05999"), ("star", "l0000")]
+    want |= {"long": plain_walk(chain, "n05999"), "star": plain_walk(star, "l0000")}
     nodes = spark.createDataFrame(rows, "revision_id string, node_id string, parent_id string, is_leaf boolean")
     heads = spark.createDataFrame(heads, "revision_id string, current_node string")
-    small, large = (sorted(graph.branches(nodes, heads, bound=b).collect()) for b in (4096, 0))
-    assert small == large
-    small, large = (sorted(graph.anomalies(nodes, heads, bound=b).collect()) for b in (4096, 0))
-    assert small == large and any("cycle" in a["anomaly"] for a in small) and any("dangling" in a["anomaly"] for a in small)
+    got = {k: set() for k in want}
+    for r in graph.branches(nodes.unionByName(nodes.filter("revision_id = '3'")), heads).collect():
+        got[r["revision_id"]].add((r["branch_key"], r["pos"], r["node_id"], r["sequence"]))
+    for r in graph.anomalies(nodes, heads).collect():
+        got[r["revision_id"]].add((None, r["anomaly"]))
+    assert got == want
 
 
 def test_both_groupings_agree(spark):
@@ -167,23 +205,23 @@ def test_vector_paths_agree(spark):
 
 def test_variants(spark):
     cases = {
-        "picture Adriana uses as her phone background after she and Ravhi started dating": 2,
-        "database migration checklist": 1,
+        "image that Mira chose as wallpaper on the day they became official with their families": 2,
+        "ferry timetable for spring": 1,
         "  ": 0,
         "wallpaper lock screen phone background": 1,
-        "what photo is Adriana using on her phone lock screen": 2,
+        "which photo does Mira have on the lock screen": 2,
     }
     rows = spark.createDataFrame([(q, q) for q in cases], "query_id string, query string")
     got = semantic.query_variants(rows).groupBy("query_id").agg(F.count("*").alias("n"), F.max_by("variant", "variant_no").alias("v")).collect()
     assert {r["query_id"]: r["n"] for r in got} == {q: n for q, n in cases.items() if n}
-    long = next(r["v"] for r in got if r["query_id"].startswith("picture"))
+    long = next(r["v"] for r in got if r["query_id"].startswith("image"))
     for label in ("picture photo image", "wallpaper lock screen phone background", "couple started dating official relationship"):
         assert label in long
 
 
 def test_tags_and_text(spark):
-    row = spark.createDataFrame([([" Dragon-Arc ", "dragon-arc", "Ｂａｔｔｌｅ", "battle", "RELATIONSHIP", "relationship", "  ", "", "plot-line"],)], "t array<string>")
-    assert row.select(tx.normalize_tags(F.col("t"))).first()[0] == ["dragon-arc", "battle", "relationship", "plot-line"]
+    row = spark.createDataFrame([([" Storm-Log ", "storm-log", "Ｓａｉｌ", "sail", "HARBOUR", "harbour", "  ", "", "tide-line"],)], "t array<string>")
+    assert row.select(tx.normalize_tags(F.col("t"))).first()[0] == ["storm-log", "sail", "harbour", "tide-line"]
     one = spark.range(1).select(
         tx.normalize_text(F.lit("Ｆｕｌｌ—Width ﬁle_name./ (Straße)")).alias("n"),
         tx.fold(F.lit("Éternel é Ǻ ß 한")).alias("f"),
@@ -192,10 +230,10 @@ def test_tags_and_text(spark):
     ).first()
     assert one["n"] == "full width file_name./ straße" and one["f"] == "eternel e a ß 한"
     assert one["l"] == ["Owner", "a-b c", "y", "z" * 31] and one["e"] == 1
-    assert sorted(tx.CONCEPT_STEMS) == sorted(n for n, _, _ in fixed.CONCEPTS)
-    words = [w for _, ps, _ in fixed.CONCEPTS for p in ps for w in p.split()]
-    got = spark.createDataFrame([(w,) for w in words], "w string").select(tx.stem(F.col("w"))).collect()
-    assert [r[0] for r in got] == [tx._stem_word(w) for w in words]
+    long = spark.range(1).select(tx.field_labels(F.lit("Owner" + " " * 900 + ": x")).alias("l")).first()
+    assert long["l"] == ["Owner"]
+    folded = spark.range(1).select(tx.concept_phrase_map().alias("m"))
+    assert set(folded.first()["m"]) == {n for n, _, _ in fixed.CONCEPTS} and folded.first()["m"]["packet-loss"][1] == "loss packet"
 
 
 def test_appends_and_tags(spark):

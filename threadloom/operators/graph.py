@@ -3,21 +3,17 @@
 Input ``nodes(<key>, node_id, parent_id, is_leaf)`` (one row per node) and
 ``heads(<key>, current_node)`` (one row per conversation or revision).
 
-Conversations up to ``bound`` nodes are walked inside one task each (ids only, never texts); larger
-ones are walked by pointer doubling, which has no per-conversation state at all.  Both give the same
-rows.
+Branches are walked by pointer doubling on node ids: about log2(depth) equi-joins, no Python and no state
+per conversation, so a chain of any length and a graph of any number of leaves are handled alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .scan import follow_pointers, split_by_size
+from ..session import durable
+from .scan import follow_pointers
 
-SMALL_GRAPH_NODES = 4096
 ACTIVE = "active"
 
 
@@ -45,65 +41,13 @@ def resolve_heads(nodes: DataFrame, heads: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _climb(start: str, parents: dict, stop) -> tuple[list[str], str | None]:
-    """Ids from ``start`` upwards, ending with the first id in ``stop``; and what ended the climb."""
-    path: list[str] = []
-    seen: set[str] = set()
-    cursor = start
-    while cursor:
-        if cursor in seen:
-            return path, f"cycle:{cursor}"
-        if cursor not in parents:
-            return path, f"dangling_parent:{cursor}"
-        seen.add(cursor)
-        path.append(cursor)
-        if cursor in stop:
-            break
-        cursor = parents[cursor]
-    return path, None
-
-
-def _walk_small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out: list[tuple] = []
-        for key, ids, parents, leaves, head in batch.itertuples(index=False):
-            parent_of = dict(zip(ids, parents))
-            path, anomaly = _climb(head, parent_of, ())
-            if anomaly:
-                out.append((key, None, None, anomaly, None))
-            active = {node: at for at, node in enumerate(reversed(path))}
-            out.extend((key, ACTIVE, at, node, at) for node, at in active.items())
-            for leaf in sorted(n for n, is_leaf in zip(ids, leaves) if is_leaf and n not in active):
-                side, _ = _climb(leaf, parent_of, active)
-                out.extend(
-                    (key, f"alternate:{leaf}", pos, node, active.get(node))
-                    for pos, node in enumerate(reversed(side))
-                )
-        yield pd.DataFrame(
-            out, columns=["key", "branch_key", "pos", "node_id", "sequence"]
-        ).astype({"pos": "Int64", "sequence": "Int64"})
-
-
-def _small(nodes: DataFrame, heads: DataFrame, key: str) -> DataFrame:
-    grouped = (
-        nodes.groupBy(key)
-        .agg(F.collect_list(F.struct("node_id", "parent_id", "is_leaf")).alias("_n"))
-        .join(heads.select(key, "head"), key)
-        .select(key, "_n.node_id", "_n.parent_id", "_n.is_leaf", "head")
-    )
-    # the walk's output: node rows, and rows with a null branch that carry an anomaly
-    return grouped.mapInPandas(
-        _walk_small, "key string, branch_key string, pos bigint, node_id string, sequence bigint"
-    ).withColumnRenamed("key", key)
-
-
 def _positions(reach: DataFrame, keys: list[str]) -> DataFrame:
     """Turn distances from the start into positions counted from the far end."""
     length = reach.groupBy(*keys, "start").agg(F.max("dist").alias("_far"))
     return reach.join(length, [*keys, "start"]).withColumn("pos", F.col("_far") - F.col("dist"))
 
 
-def _large(nodes: DataFrame, heads: DataFrame, key: str) -> DataFrame:
+def _walk(nodes: DataFrame, heads: DataFrame, key: str) -> DataFrame:
     here = heads.join(nodes.select(key).distinct(), key, "left_semi")
     edges = nodes.select(key, F.col("node_id").alias("node"), F.col("parent_id").alias("parent"))
     existing = nodes.select(key, F.col("node_id").alias("parent"), F.col("node_id").alias("next"))
@@ -144,34 +88,29 @@ def _large(nodes: DataFrame, heads: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _walk(nodes: DataFrame, heads: DataFrame, key: str, bound: int) -> DataFrame:
-    slim = nodes.select(key, "node_id", "parent_id", "is_leaf")
-    small, large = split_by_size(slim, [key], bound)
-    walked = _small(small, heads, key)
-    return walked if large is None else walked.unionByName(_large(large, heads, key))
+def _prepared(nodes: DataFrame, heads: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Ids only, one row per node (of repeated ones the least parent), and the heads."""
+    slim = nodes.groupBy(key, "node_id").agg(F.min("parent_id").alias("parent_id"), F.max("is_leaf").alias("is_leaf"))
+    slim = durable(slim)
+    return slim, resolve_heads(slim, heads, key)
 
 
-def branches(
-    nodes: DataFrame, heads: DataFrame, key: str = "revision_id", bound: int = SMALL_GRAPH_NODES
-) -> DataFrame:
+def branches(nodes: DataFrame, heads: DataFrame, key: str = "revision_id") -> DataFrame:
     """``(key, branch_key, pos, node_id, sequence)``: the active path, and one path per other leaf.
 
     Paths run from the root; alternate ones begin one ancestor before they leave the active path.
     ``sequence`` is the place of the node on the active path (null off it).
     """
-    resolved = resolve_heads(nodes, heads, key)
-    return _walk(nodes, resolved, key, bound).filter(F.col("branch_key").isNotNull())
+    return _walk(*_prepared(nodes, heads, key), key).filter(F.col("branch_key").isNotNull())
 
 
-def anomalies(
-    nodes: DataFrame, heads: DataFrame, key: str = "revision_id", bound: int = SMALL_GRAPH_NODES
-) -> DataFrame:
+def anomalies(nodes: DataFrame, heads: DataFrame, key: str = "revision_id") -> DataFrame:
     """``(key, anomaly)``: missing current node, cycle or dangling parent met on the active path."""
-    resolved = resolve_heads(nodes, heads, key)
+    slim, resolved = _prepared(nodes, heads, key)
     missing = resolved.filter("missing").select(
         key, F.concat(F.lit("current_node_missing:"), "current_node").alias("anomaly")
     )
-    walked = _walk(nodes, resolved, key, bound).filter(F.col("branch_key").isNull())
+    walked = _walk(slim, resolved, key).filter(F.col("branch_key").isNull())
     return missing.unionByName(walked.select(key, F.col("node_id").alias("anomaly")))
 
 

@@ -247,7 +247,7 @@ def lexical_search(
     ranked = top_k(
         allowed.withColumn("_s", F.round("score", 9)),
         F.col("pool"),
-        fixed.POOL_MAX,
+        int(queries.agg(F.max("pool")).first()[0] or 1),
         [F.col("_s").desc(), F.col("chunk_id")],
         "lexical_rank",
     )

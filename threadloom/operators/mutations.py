@@ -134,10 +134,10 @@ def orphan_segments(segments: DataFrame, links: DataFrame) -> DataFrame:
     return segments.join(links.select("segment_id").distinct(), "segment_id", "left_anti")
 
 
-def delete_scope(conversations: DataFrame, user_id: str, namespaces: list[str] | None = None, limit: int | None = fixed.SCOPE_DELETE_LIMIT):
+def delete_scope(conversations: DataFrame, user_id: str, namespaces: list[str] | None = None, limit: int | None = None):
     """``(selected, summary)``: what one call on a whole scope deletes, and the counts it reports.
 
-    ``limit`` bounds one call, as the service does; ``None`` deletes the whole scope at once.
+    The whole scope by default; ``limit`` bounds one call.
     """
     scope = conversations.filter(F.col("user_id") == user_id)
     if namespaces:

@@ -168,13 +168,13 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, broadcast_bytes: int =
     """Exact cosine top-k: ``(query_id, variant_no, chunk_id, score)``.
 
     ``vectors(chunk_id, owner, namespace, embedding)``,
-    ``queries(query_id, variant_no, vector, top, namespaces, user_id)`` with ``top <= 50``.
+    ``queries(query_id, variant_no, vector, top, namespaces, user_id)`` with any ``top``.
     Each task multiplies its block of vectors with all query vectors and keeps the best of the block, so
     only a few rows per block and query are shuffled.  Query vectors up to ``broadcast_bytes`` are sent to
     every task; more are met block by block in a grouped join.
     """
     wanted = queries.select("query_id", "variant_no", "vector", "top", "namespaces", "user_id")
-    stats = wanted.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    stats = wanted.agg(F.count(F.lit(1)), F.max(F.size("vector")), F.max("top")).first()
     count, dims = int(stats[0]), int(stats[1] or 0)
     # ids, scopes and Python objects come on top of eight bytes per number
     query_bytes = count * (dims * 8 + 512)
@@ -212,13 +212,13 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, broadcast_bytes: int =
 
         found = left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInPandas(meet, RESULT)
     limits = queries.select("query_id", "variant_no", "top")
-    best = top_k_variant(found.join(limits, ["query_id", "variant_no"]))
+    best = top_k_variant(found.join(limits, ["query_id", "variant_no"]), int(stats[2] or 1))
     return best.select("query_id", "variant_no", "chunk_id", "score")
 
 
-def top_k_variant(found: DataFrame) -> DataFrame:
+def top_k_variant(found: DataFrame, most: int) -> DataFrame:
     keyed = found.withColumn("_id", F.col("query_id")).withColumn("query_id", F.struct("_id", "variant_no"))
-    ranked = top_k(keyed, F.col("top"), fixed.SEMANTIC_TOP_K, [F.col("score").desc(), F.col("chunk_id")], "semantic_rank")
+    ranked = top_k(keyed, F.col("top"), most, [F.col("score").desc(), F.col("chunk_id")], "semantic_rank")
     return ranked.withColumn("query_id", F.col("_id")).drop("_id")
 
 

@@ -136,9 +136,9 @@ def namespace_backfill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def append_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """Two appends per conversation: right base, stale base, doubled base or unknown conversation."""
+    """An append per message: right base, stale base, doubled base or unknown conversation."""
     now = _current(spark, d).select("conversation_id", "revision_id", "num")
-    rows = corpus.messages(spark, d).filter("turn < 2").select("conversation_id", "num", "turn")
+    rows = corpus.messages(spark, d).select("conversation_id", "num", "turn")
     rows = rows.join(now.select("conversation_id", "revision_id"), "conversation_id", "left")
     appends = rows.select(
         F.concat_ws(":", "conversation_id", "turn").alias("request_id"),
@@ -151,13 +151,13 @@ def append_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def appended_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The first two turns of each conversation appended again below its current node."""
+    """All turns of each conversation appended again below its current node."""
     rows = corpus.messages(spark, d)
     heads = corpus.headers(spark, d).select("conversation_id", "current_node").join(
         rows.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("active_messages")), "conversation_id"
     )
     message = F.struct("turn", "role", F.col("text").alias("content"), F.lit(None).cast("timestamp").alias("timestamp"))
-    applied = rows.filter("turn < 2").groupBy("conversation_id").agg(F.sort_array(F.collect_list(message)).alias("messages"))
+    applied = rows.groupBy("conversation_id").agg(F.sort_array(F.collect_list(message)).alias("messages"))
     applied = applied.withColumn("request_id", F.concat(F.lit("r"), "conversation_id"))
     made = mutations.appended_nodes(applied, heads)
     return made.select("conversation_id", "id", "node_id", "parent_id", "role", F.sha2("text", 256).alias("text_sha"), "sequence", "is_leaf")
@@ -271,7 +271,7 @@ def duplicate_exports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def import_status(spark: SparkSession, d: str) -> DataFrame:
-    """Progress and the first hundred failures of imports made of messages; long or empty ones fail."""
+    """Progress and the failures of imports made of messages; long or empty ones fail."""
     items = corpus.messages(spark, d).select(
         F.concat(F.lit("import-"), F.col("num") % 3).alias("import_id"),
         (F.col("num") * 16 + F.col("turn") + F.when(F.col("conversation_id").startswith("d"), 1000000).otherwise(0)).alias("ordinal"),

@@ -38,6 +38,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.unionByName(docs)
 
 
+def title_of(text: Column) -> Column:
+    """The first sentence of the first line."""
+    return F.substring_index(F.substring_index(text, "\n", 1), ".", 1)
+
+
 def namespace_of(num: Column) -> Column:
     return F.concat(F.lit("ns"), num % 4)
 
@@ -88,7 +93,7 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             "conversation_id",
             "num",
-            F.substring("text", 1, 60).alias("title"),
+            title_of(F.col("text")).alias("title"),
             namespace_of(F.col("num")).alias("namespace"),
             user_of(F.col("num")).alias("user_id"),
             updated_of(F.col("num")).alias("updated_at"),

@@ -106,7 +106,7 @@ def structured_labels(spark: SparkSession, d: str) -> DataFrame:
 def headings(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus.messages(spark, d)
     body = F.concat(F.lit("[Chat "), F.col("num"), F.lit("]\n  [turn "), F.col("turn"), F.lit("] \n[]\n[third]\n"), F.col("text"))
-    rows = rows.select("conversation_id", "turn", tx.heading_texts(F.substring("text", 1, 20), body).alias("h"))
+    rows = rows.select("conversation_id", "turn", tx.heading_texts(corpus.title_of(F.col("text")), body).alias("h"))
     return rows.select("conversation_id", "turn", F.array_join("h", "|").alias("headings"))
 
 

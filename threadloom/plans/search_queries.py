@@ -12,7 +12,7 @@ from ..session import durable
 from . import corpus, search
 
 PHRASES = [p for _, phrases, _ in fixed.CONCEPTS for p in phrases]
-STATES = {"signup": "queued", "view": "processing", "error": "failed", "click": "indexed"}
+STATES = {"signup": "queued", "view": "processing", "error": "failed", "click": "indexed", "purchase": "indexed"}
 
 
 def _phrase(number):
@@ -53,7 +53,7 @@ def search_requests(spark: SparkSession, d: str) -> DataFrame:
 
 def index_events(spark: SparkSession, d: str) -> DataFrame:
     """``events`` as the index life cycle of the conversation numbered ``user_id``."""
-    rows = corpus.table(spark, d, "events").filter(F.col("event_type").isin(*STATES))
+    rows = corpus.table(spark, d, "events")
     status = F.element_at(F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv]), F.col("event_type"))
     return rows.select(
         F.concat(F.lit("c"), "user_id").alias("conversation_id"),
@@ -100,11 +100,12 @@ def built(spark: SparkSession, d: str) -> Built:
     fresh = chunks.join(status.filter(F.col("status").isin(*fixed.PENDING_STATES)).select("revision_id"), "revision_id", "left_semi")
     built_index = lexical.build_index(indexed)
     index = lexical.LexicalIndex(durable(built_index.postings), durable(built_index.documents), built_index.totals)
-    vectors = corpus.table(spark, d, "embeddings").withColumn("conversation_id", F.concat(F.lit("d"), "vec_id"))
+    vectors = corpus.table(spark, d, "embeddings")
+    # the vector numbered like a document or chat belongs to all its chunks
+    owned = vectors.select(F.explode(F.array(*[F.concat(F.lit(kind), "vec_id") for kind in "cd"])).alias("conversation_id"), "embedding")
     chunk_vectors = (
-        chunks.filter("ordinal = 0 AND branch_key = 'active'")
-        .select("chunk_id", "conversation_id", "namespace")
-        .join(vectors.select("conversation_id", "embedding"), "conversation_id")
+        chunks.select("chunk_id", "conversation_id", "namespace")
+        .join(owned, "conversation_id")
         .join(current.select("conversation_id", "owner"), "conversation_id")
     )
     tags = heads.select(
@@ -142,7 +143,7 @@ def built(spark: SparkSession, d: str) -> Built:
 
 def postings(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus.messages(spark, d).select(
-        F.concat_ws(":", "conversation_id", "turn").alias("chunk_id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body")
+        F.concat_ws(":", "conversation_id", "turn").alias("chunk_id"), corpus.title_of(F.col("text")).alias("title"), F.col("text").alias("body")
     )
     rows = lexical.build_index(rows).postings
     return rows.select("token", "chunk_id", F.col("size").cast("bigint").alias("size"), F.col("freq").cast("bigint").alias("freq"))
@@ -178,19 +179,19 @@ def query_variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Every embedding of label 0 asks for its 50 nearest within two labels, over the whole table."""
+    """Every embedding with a number divisible by 50 asks for its 50 nearest within two labels, over the whole table."""
     rows = corpus.table(spark, d, "embeddings")
     vectors = rows.select(
         F.concat(F.lit("v"), "vec_id").alias("chunk_id"), corpus.user_of(F.col("vec_id")).alias("owner"),
         F.concat(F.lit("l"), "label").alias("namespace"), "embedding",
     )
-    asked = rows.filter("label = 0").select(
+    asked = rows.filter("vec_id % 50 = 0").select(
         F.concat(F.lit("v"), "vec_id").alias("query_id"),
         F.lit(0).alias("variant_no"),
         F.col("embedding").alias("vector"),
         F.lit(fixed.SEMANTIC_TOP_K).alias("top"),
-        F.array(F.lit("l0"), F.concat(F.lit("l"), F.col("vec_id") % 10)).alias("namespaces"),
-        F.when(F.col("vec_id") % 2 == 0, corpus.user_of(F.col("vec_id"))).alias("user_id"),
+        F.array(F.lit("l0"), F.concat(F.lit("l"), F.floor(F.col("vec_id") / 50) % 10)).alias("namespaces"),
+        F.when(F.col("vec_id") % 100 == 0, corpus.user_of(F.col("vec_id"))).alias("user_id"),
     )
     found = semantic.vector_top_k(vectors, asked)
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
@@ -226,7 +227,7 @@ def _recent(spark: SparkSession, d: str) -> DataFrame:
     made = built(spark, d)
     planned = ranking.search_plan(made.requests)
     found = recent.candidate_revisions(made.corpus.state, made.corpus.current, planned, corpus.GENERATION)
-    return recent.message_budget(found, made.corpus.active_sizes, recent.bounds(max_messages=12))
+    return recent.message_budget(found, made.corpus.active_sizes, recent.bounds())
 
 
 def recent_candidates(spark: SparkSession, d: str) -> DataFrame:

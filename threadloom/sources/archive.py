@@ -54,14 +54,16 @@ def import_items(parsed: DataFrame) -> DataFrame:
     )
 
 
-def import_status(items: DataFrame, first: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Per import: counts, and its first failures in file order."""
+def import_status(items: DataFrame, first: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per import: counts, and its failures; ``first`` asks for a page of the first ones in file order."""
     totals = items.groupBy("import_id").agg(
         F.count(F.lit(1)).alias("processed"), F.count_if(F.col("status") == "failed").alias("failed")
     )
-    window = Window.partitionBy("import_id").orderBy("ordinal")
-    failures = items.filter(F.col("status") == "failed").withColumn("_n", F.row_number().over(window))
-    return totals, failures.filter(F.col("_n") <= first).drop("_n")
+    failures = items.filter(F.col("status") == "failed")
+    if first is not None:
+        window = Window.partitionBy("import_id").orderBy("ordinal")
+        failures = failures.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= first).drop("_n")
+    return totals, failures
 
 
 def integrity_audit(manifests: DataFrame, files: DataFrame) -> DataFrame:

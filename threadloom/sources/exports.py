@@ -35,16 +35,15 @@ def read_export(spark: SparkSession, path: str, extra: tuple[str, ...] = ()) ->
     return rows.withColumn("file", F.col("_metadata.file_path"))
 
 
-def _error(max_item_bytes: int) -> Column:
+def _error(max_item_bytes: int | None) -> Column:
     size = F.aggregate(F.map_values("mapping"), F.lit(0).cast("bigint"), lambda acc, v: acc + F.octet_length(v))
-    return (
-        F.when(F.col("_corrupt_record").isNotNull(), "file is not a complete JSON array of conversations")
-        .when(F.col("mapping").isNull(), "mapping: required")
-        .when(size > max_item_bytes, "conversation exceeds the item limit")
+    error = F.when(F.col("_corrupt_record").isNotNull(), "file is not a complete JSON array of conversations").when(
+        F.col("mapping").isNull(), "mapping: required"
     )
+    return error if max_item_bytes is None else error.when(size > max_item_bytes, "conversation exceeds the item limit")
 
 
-def check_items(raw: DataFrame, max_item_bytes: int = fixed.MAX_ITEM_BYTES) -> tuple[DataFrame, DataFrame]:
+def check_items(raw: DataFrame, max_item_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(good, rejected)``: rejected items carry ``error_code`` and ``error_message``."""
     rows = raw.withColumn("error", _error(max_item_bytes))
     rejected = rows.filter(F.col("error").isNotNull()).select(
@@ -135,7 +134,7 @@ def export_headers(identified: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(heads, "item_id", "left").withColumn("current_node", F.coalesce("current_node", "head")).drop("head")
 
 
-def normalize_export(raw: DataFrame, max_item_bytes: int = fixed.MAX_ITEM_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def normalize_export(raw: DataFrame, max_item_bytes: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(headers, nodes, rejected)`` of an export."""
     good, rejected = check_items(raw, max_item_bytes)
     identified = identify(good)
