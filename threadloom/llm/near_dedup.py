@@ -5,15 +5,18 @@ punctuation and space; a text of one to four words is one shingle). Shingles are
 occurrence number. Each of ``sketches`` hash functions picks the ``picked`` labelled shingles of least hash
 and keeps them in text order; texts with an equal pick share a bucket. Texts are compared by alignment: with
 m shingles matched in order out of a and b, their similarity is m / (a + b - m), and texts of 0.8 or more are
-linked. At that similarity a pair misses all 24 buckets with a probability below 1e-7.
+linked. At that similarity a pair misses all 32 buckets with a probability of 3 in a million.
 
-Texts with equal words are one node before anything else, so copies are never paired. In a bucket each node
-meets the least node only. Nodes that are not linked after that meet one node of another component of their
-bucket per round, while rounds find links; in buckets of at most ``exhaustive`` nodes all nodes of different
-components meet. Before texts are fetched, a pair must agree in three sketches.
+Texts with equal words are one node before anything else, so copies are never paired. In a bucket every node
+meets the most central node only, the one that shares most buckets with others: the original of edited copies
+is nearer to each of them than they are to each other. After that, nodes of different components of a bucket
+are looked at again while this finds links: each meets the most central node of two other components, and in
+buckets of at most ``exhaustive`` nodes all of different components meet. Pairs grow with the nodes, not with
+their square.
 
 A document without words (null, empty, punctuation) is a class of its own. Repeated rows are in one class.
-Ties go to the least id. Columns besides id and text are not read and pass through ``deduplicated``.
+Ties go to the least id; a class whose ids are all null has a null id. Columns besides id and text are not
+read and pass through ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import free, row_key, source, table
 from .components import components
@@ -34,7 +37,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SHINGLE, SIMILARITY = 5, 0.8
-SKETCHES, PICKED, AGREE = 24, 3, 3
+SKETCHES, PICKED = 32, 5
 
 
 def words(text: str) -> list[str]:
@@ -150,22 +153,8 @@ def sketched(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, k1 long, k2 long, same binary, keys array<long>")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose texts are similar."""
-    agree = F.size(F.filter(F.zip_with("keys_a", "keys_b", lambda x, y: x == y), lambda same: same))
-    close = (
-        pairs.join(nodes.select(F.col("v").alias("a"), F.col("keys").alias("keys_a")), "a")
-        .join(nodes.select(F.col("v").alias("b"), F.col("keys").alias("keys_b")), "b")
-        .filter(agree >= AGREE)
-        .select("a", "b")
-    )
-    close = table(close)
-    wanted = close.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(
-        nodes.select("v", "k1", "k2"), "v"
-    )
-    keyed = docs.select(*row_key({"doc_id": F.col("doc_id"), "text": F.col("text")}), "text")
-    # rows that share both keys are equal, one of them is enough
-    texts = table(keyed.join(wanted, ["k1", "k2"]).select("v", "text").dropDuplicates(["v"]))
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose ``texts(v, text)`` are similar."""
 
     def run(batches):
         for batch in batches:
@@ -174,57 +163,61 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
 
     return table(
-        close.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
+        pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
         .mapInArrow(run, "a long, b long")
     )
 
 
-def classes(docs: DataFrame, exhaustive: int = 64) -> DataFrame:
+def ordered(x, y) -> list:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+
+
+def classes(docs: DataFrame, exhaustive: int = 8) -> DataFrame:
     """``doc_id, k1, k2, class_id, n_class, representative`` of every row; the class id is its least doc id."""
+    key = row_key({"doc_id": F.col("doc_id"), "text": F.col("text")})
     rows = table(sketched(docs))
-    # one row per text: its least row stands for it
-    least = rows.groupBy("same").agg(F.min("k1").alias("k1"))
+    # one row per text: a row of it stands for all
+    least = table(rows.groupBy("same").agg(F.min("k1").alias("k1")))
     first = rows.join(least, ["same", "k1"]).dropDuplicates(["same"])
     nodes = table(first.select("same", "k1", "k2", "keys")).withColumn("v", F.monotonically_increasing_id())
     nodes = table(nodes)
     members = nodes.select("v", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("hub")).filter("n > 1")
-    members = table(members.join(shared, "key").select("key", "n", "hub", "v"))
-    pairs = members.filter("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct()
-    tested = pairs = table(pairs)
-    links = verified(pairs, nodes, docs)
+    shared = table(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    members = table(members.join(shared, "key"))
+    central = members.groupBy("v").agg(F.sum("n").alias("met"))
+    # the order of nodes by how many others they meet; of equal ones the first comes first
+    members = table(members.join(table(central), "v").select("key", "n", "v", F.struct("met", (-F.col("v")).alias("first")).alias("rank")))
+    wanted = nodes.select("v", "k1", "k2").join(members.select("v").distinct(), "v")
+    texts = docs.select(*key, "text").join(table(wanted), ["k1", "k2"])
+    # rows that share both keys are equal, one of them is enough
+    texts = table(texts.select("v", "text").dropDuplicates(["v"]))
+    hubs = table(members.groupBy("key").agg(F.max("rank").alias("hub")))
+    pairs = members.join(hubs, "key").select("v", (-F.col("hub.first")).alias("h")).filter("v <> h")
+    tested = table(pairs.select(*ordered("v", "h")).distinct())
+    links = verified(tested, texts)
     found = components(links)
-    turn = 0
     while True:
-        turn += 1
-        placed = members.join(found, "v", "left").select("key", "n", "v", F.coalesce("c", "v").alias("c"))
-        apart = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
-        placed = table(placed.join(apart.select("key"), "key"))
-        rest = rest_pairs(placed, exhaustive, turn).join(tested, ["a", "b"], "left_anti")
-        rest = table(rest)
-        if rest.isEmpty():
-            break
-        new = verified(rest, nodes, docs)
-        tested = table(tested.unionByName(rest))
+        placed = table(members.join(found, "v", "left").select("key", "n", "v", "rank", F.coalesce("c", "v").alias("c")))
+        rest = table(across(placed, exhaustive).join(tested, ["a", "b"], "left_anti"))
+        new = verified(rest, texts)
         if new.isEmpty():
             break
-        links = links.unionByName(new)
+        tested, links = table(tested.unionByName(rest)), table(links.unionByName(new))
         found = components(links)
-    placed = (
+    placed = table(
         rows.select("doc_id", "k1", "k2", "same")
         .join(nodes.select("same", "v"), "same")
         .join(found, "v", "left")
         .select("doc_id", "k1", "k2", F.coalesce("c", "v").alias("c"))
     )
-    placed = table(placed)
     heads = placed.groupBy("c").agg(
         F.min("doc_id").alias("class_id"),
         F.count("*").alias("n_class"),
         F.min(F.struct("doc_id", "k1", "k2")).alias("head"),
     )
-    judged = placed.join(heads, "c").select(
+    judged = placed.join(table(heads), "c").select(
         "doc_id",
         "k1",
         "k2",
@@ -232,11 +225,9 @@ def classes(docs: DataFrame, exhaustive: int = 64) -> DataFrame:
         "n_class",
         F.struct("doc_id", "k1", "k2").eqNullSafe(F.col("head")).alias("representative"),
     )
-    keyed = docs.select("doc_id", *row_key({"doc_id": F.col("doc_id"), "text": F.col("text")}), "text")
-    wordless = keyed.filter(~F.coalesce("text", F.lit("")).rlike(ANY_WORD)).select(
+    wordless = docs.filter(~F.coalesce("text", F.lit("")).rlike(ANY_WORD)).select(
         "doc_id",
-        "k1",
-        "k2",
+        *key,
         F.col("doc_id").alias("class_id"),
         F.lit(1).cast("long").alias("n_class"),
         F.lit(True).alias("representative"),
@@ -244,20 +235,21 @@ def classes(docs: DataFrame, exhaustive: int = 64) -> DataFrame:
     return judged.unionByName(wordless)
 
 
-def rest_pairs(placed: DataFrame, exhaustive: int, turn: int) -> DataFrame:
-    """Pairs across the components of each bucket ``key, n, v, c``: all in small ones, one per node in others."""
-    pair = [F.greatest("x.v", "y.v").alias("a"), F.least("x.v", "y.v").alias("b")]
-    few = placed.filter(F.col("n") <= exhaustive)
-    every = few.alias("x").join(few.alias("y"), "key").filter("x.v > y.v AND x.c <> y.c").select(*pair)
-    many = placed.filter(F.col("n") > exhaustive)
-    heads = many.groupBy("key", "c").agg(F.min("v").alias("v"))
-    # the heads in an order of this turn; each node meets the head that follows its own component's
-    spin = F.xxhash64(F.lit(turn), "c")
-    heads = heads.withColumn("spin", spin)
-    order = Window.partitionBy("key").orderBy("spin", "c")
-    following = heads.select("key", "c", F.lead("v").over(order).alias("v")).filter("v IS NOT NULL")
-    one = many.alias("x").join(following.alias("y"), ["key", "c"]).select(*pair)
-    return every.unionByName(one).distinct()
+def across(placed: DataFrame, exhaustive: int) -> DataFrame:
+    """Pairs ``a, b`` across the components of each bucket ``key, n, v, rank, c``."""
+    top = F.max(F.struct("rank", "c"))
+    best = placed.groupBy("key").agg(top.alias("one"), F.min("c").alias("low"), F.max("c").alias("high"))
+    # buckets of several components only
+    best = table(best.filter("low <> high").select("key", "one"))
+    apart = table(placed.join(best, "key"))
+    second = apart.filter(F.col("c") != F.col("one.c")).groupBy("key").agg(top.alias("two"))
+    apart = apart.join(table(second), "key")
+    heads = F.explode(F.array(F.col("one"), F.col("two"))).alias("head")
+    met = apart.select("v", "c", heads).filter(F.col("c") != F.col("head.c"))
+    met = met.select(*ordered(F.col("v"), -F.col("head.rank.first")))
+    few = apart.filter(F.col("n") <= exhaustive).select("key", "v", "c")
+    every = few.alias("x").join(few.alias("y"), "key").filter("x.v > y.v AND x.c <> y.c").select(*ordered("x.v", "y.v"))
+    return met.unionByName(every).distinct()
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
