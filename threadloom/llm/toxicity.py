@@ -56,8 +56,12 @@ READINGS = {
 SEPARATORS = ".-_*~·/\\' "
 EDGE = "\"'`.,;:!?()[]{}<>*#%&$|~+-_=/\\…«»“”‘’„¡¿"
 SIGNS = "".join(map(re.escape, READINGS))
+START, END = "\x02", "\x03"
+#: What may disguise a word: a sign or separator before a letter or digit, or a digit; letters set apart.
+MARKED = re.compile(rf"[{SIGNS}._*~·\-/\\]\w|\d")
+TRIPLE = re.compile(r"(\w)\1\1")
 SPACED = re.compile(rf"(?<!\S)[^\W_](?:[ ._*~·-]{{1,3}}[^\W_]){{3,}}(?!\S)")
-MARKED = re.compile(rf"[{SIGNS}._*~·\-/\\]|(.)\1\1")
+OPENING, CLOSING = "".join(c for c in EDGE if c not in READINGS), ".,;:?"
 #: Costs in nats: reading a sign as a letter, closing a gap, dropping a repeated letter, keeping a raw sign.
 READ, CLOSE, DROP, KEEP = -1.0, -0.5, -1.0, -4.0
 FEATURE_SIZES = (4, 5, 6)
@@ -136,44 +140,47 @@ def decode(token: str, model: np.ndarray) -> str:
 
 
 class Restorer:
-    """Restores texts; readings of words are kept."""
+    """Reads texts: their words as they stand, and disguised ones restored. Readings are kept."""
 
     def __init__(self, model: np.ndarray):
         self.model, self.known = model, {}
 
-    def word(self, raw: str) -> list[str]:
+    def reading(self, raw: str) -> list[str]:
         if raw not in self.known:
             if len(self.known) > CACHE_ENTRIES:
                 self.known.clear()
-            core = raw.strip(EDGE)
-            wider = raw.lstrip(EDGE.translate({ord(c): None for c in READINGS})).rstrip(".,;:?")
-            words = [core] if core else []
             # longer strings of signs and digits are codes and numbers, not disguised words
-            if MARKED.search(wider) and len(wider) <= 40 and any(c.isalpha() for c in wider):
-                words += [w for w in decode(wider, self.model).split() if w != core]
-            self.known[raw] = words
+            plausible = len(raw) <= 40 and any(c.isalpha() for c in raw)
+            self.known[raw] = decode(raw, self.model).split() if plausible else []
         return self.known[raw]
 
-    def words(self, text: str) -> set[str]:
-        """The distinct words of a text and what they were restored to."""
-        text = text.lower()
+    def restored(self, text: str, tokens: set[str]) -> set[str]:
+        """Readings of the disguised words of a lower-case text."""
+        marks = [pattern for pattern in (MARKED, TRIPLE) if pattern.search(text)]
         found: set[str] = set()
-        for token in set(text.split()):
-            found.update(self.word(token))
+        for token in {t for pattern in marks for t in tokens if pattern.search(t)}:
+            found.update(self.reading(token.lstrip(OPENING).rstrip(CLOSING)))
         for match in SPACED.finditer(text):
             found.update(decode(match.group(), self.model).split())
         return found
 
+    def marked(self, text: str) -> str:
+        """The distinct words of a text, plain and restored, each between a start and an end sign."""
+        text = text.lower()
+        tokens = set(text.split())
+        words = {t.strip(EDGE) for t in tokens} | self.restored(text, tokens)
+        return START + (END + START).join(words - {""}) + END
+
 
 def features(word: str) -> list[str]:
     """The word itself and its character n-grams, with marked ends."""
-    marked = f"^{word}$"
+    marked = f"{START}{word}{END}"
     return [marked] + [marked[i : i + k] for k in FEATURE_SIZES for i in range(len(marked) - k + 1)]
 
 
-def text_features(words: set[str]) -> set[str]:
+def text_features(marked: str) -> set[str]:
     found: set[str] = set()
-    for word in words:
+    for word in set(marked[1:-1].split(END + START)):
         found.update(features(word))
     return found
 
@@ -196,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = 16_
         counts: dict[str, list[int]] = {}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for feature in text_features(restorer.words(text or "")):
+                for feature in text_features(restorer.marked(text or "")):
                     seen = counts.setdefault(feature, [0, 0])
                     seen[toxic > 0] += 1
         yield pa.RecordBatch.from_arrays(
@@ -228,10 +235,10 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = 16_
     chosen = {row["feature"]: i for i, row in enumerate(found.collect())}  # at most ``candidates``
 
     def incidence(batches):
-        restorer = Restorer(shared.value)
+        restorer, automaton = Restorer(shared.value), matcher(chosen)
         for batch in batches:
             lists = [
-                sorted(chosen[f] for f in text_features(restorer.words(t or "")) if f in chosen)
+                sorted(chosen[f] for f in found_in(automaton, restorer.marked(t or "")))
                 for t in batch.column(0).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays(
@@ -275,6 +282,21 @@ def sparse_logistic(rows: list, y: np.ndarray, n_features: int, penalty: float =
     return w, float(bias)
 
 
+def matcher(wanted):
+    """An automaton that finds the wanted features as substrings of marked words, in one pass."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for feature in wanted:
+        automaton.add_word(feature, feature)
+    automaton.make_automaton()
+    return automaton
+
+
+def found_in(automaton, marked: str) -> set[str]:
+    return {feature for _, feature in automaton.iter(marked)} if len(automaton) else set()
+
+
 def scored(
     docs: DataFrame, model: np.ndarray, weights: dict[str, float], bias: float, text: str = "text", into: str = "toxicity"
 ) -> DataFrame:
@@ -284,19 +306,11 @@ def scored(
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model_, weights_ = shared.value
-        restorer, known = Restorer(model_), {}
+        restorer, automaton = Restorer(model_), matcher(weights_)
         for texts in batches:
-            out = []
-            for value in texts:
-                on: set[str] = set()
-                for word in restorer.words(value or ""):
-                    if word not in known:
-                        if len(known) > CACHE_ENTRIES:
-                            known.clear()
-                        known[word] = tuple(f for f in features(word) if f in weights_)
-                    on.update(known[word])
-                out.append(1 / (1 + np.exp(-(bias + sum(weights_[f] for f in sorted(on))))))
-            yield pd.Series(out, dtype="float64")
+            found = (found_in(automaton, restorer.marked(value or "")) for value in texts)
+            margins = [bias + sum(weights_[f] for f in sorted(on)) for on in found]
+            yield pd.Series([1 / (1 + np.exp(-m)) for m in margins], dtype="float64")
 
     return docs.withColumn(into, score(text))
 
