@@ -109,11 +109,11 @@ seg AS (
   SELECT conversation_id, sha256(string_agg(h, '' ORDER BY b)) AS segment_hash, sum(n)::BIGINT AS node_count
   FROM bucket GROUP BY ALL),
 rev AS (
-  SELECT s.*, sha256(concat('segment', {US}, segment_hash)) AS segment_id,
-         sha256(concat('revision-content', {US}, segment_hash, {US}, h.current_node, {US}, '{{}}')) AS content_hash,
-         sha256(concat('revision', {US}, s.conversation_id, {US},
-           sha256(concat('revision-content', {US}, segment_hash, {US}, h.current_node, {US}, '{{}}')))) AS revision_id
-  FROM seg s JOIN hdr h USING (conversation_id))
+  SELECT *, sha256(concat('revision', {US}, conversation_id, {US}, content_hash)) AS revision_id FROM (
+    SELECT *, sha256(concat('revision-content', {US}, segment_id)) AS content_hash FROM (
+      SELECT s.*, sha256(concat('segment', {US}, sha256(concat_ws({US}, 'header', conversation_id, '', '', title, namespace,
+        current_node, '', updated_at::VARCHAR, '{{}}')), {US}, segment_hash)) AS segment_id
+      FROM seg s JOIN hdr h USING (conversation_id))))
 """
 
 

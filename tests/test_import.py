@@ -4,10 +4,12 @@ import json
 import os
 import tempfile
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions.ids import stable_json
-from threadloom.operators import chunking, graph
+from threadloom.operators import chunking, graph, state
 from threadloom.sources import canonical, exports
 from threadloom.streaming import ingest
 
@@ -118,6 +120,115 @@ def test_streams_import_once_and_index_once(spark):
     assert any("Done." in b for b in bodies)
 
 
+def rows_of(spark, store):
+    """Contents of all tables without the times of the run."""
+    out = {}
+    for name in sorted(os.listdir(store)):
+        df = spark.read.parquet(f"{store}/{name}")
+        df = df.drop(*[c for c in ("seq", "at", "file") if c in df.columns])
+        if name == "index_state":
+            df = df.filter("status = 'indexed'")
+        out[name] = sorted(map(str, df.collect()))
+    return out
+
+
+@pytest.mark.parametrize("lost", range(4))
+def test_import_is_completed_by_the_next_delivery(spark, monkeypatch, lost):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    write(folder, "a.json", [branched(), {"title": "x"}, {"title": "y"}, branched(), {"id": "z", "mapping": None}])
+    write(folder, "b.json", [branched(), {"title": "x"}])
+    raw = exports.read_export(spark, folder)
+    now = F.current_timestamp()
+    ingest.ingest_batch(raw, folder + "/whole", "u", "g", now)
+    want = rows_of(spark, folder + "/whole")
+    assert len(want["import_items"]) == 7 and len(want["revisions"]) == 1 and len(want["nodes"]) == 5
+    calls, real = [], canonical.append_new
+
+    def failing(*args, **kwargs):
+        if len(calls) == lost:
+            calls.append(None)
+            raise OSError("lost")
+        calls.append(None)
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(canonical, "append_new", failing)
+    store = folder + "/store"
+    with pytest.raises(OSError):
+        ingest.ingest_batch(raw, store, "u", "g", now)
+    ingest.ingest_batch(raw, store, "u", "g", now)
+    assert rows_of(spark, store) == want
+    ingest.ingest_batch(raw, store, "u", "g", now)
+    assert rows_of(spark, store) == want
+
+
+def test_index_is_completed_by_the_next_delivery(spark, monkeypatch):
+    def letters(texts):
+        return np.array([[t.count(c) for c in "aeiou"] for t in texts], dtype=np.float32)
+
+    folder = tempfile.mkdtemp(prefix="spark-")
+    write(folder, "a.json", [branched(), {"id": "two", "mapping": {"x": node("x", None, [], "only one")}}])
+    store, now = folder + "/store", F.current_timestamp()
+    ingest.ingest_batch(exports.read_export(spark, folder), store, "u", "g", now)
+    batch = spark.read.parquet(f"{store}/revisions")
+    real = canonical.replace_revisions
+    for lost in range(4):
+        calls = []
+
+        def failing(*args, **kwargs):
+            calls.append(None)
+            if len(calls) == lost + 1:
+                raise OSError("lost")
+            return real(*args, **kwargs)
+
+        monkeypatch.setattr(canonical, "replace_revisions", failing)
+        with pytest.raises(OSError):
+            ingest.index_batch(batch, store, "g", now, encode=letters)
+        events = spark.read.parquet(f"{store}/index_state")
+        assert {r["status"] for r in state.latest_state(events).collect()} == {"failed"}
+    monkeypatch.setattr(canonical, "replace_revisions", real)
+    ingest.index_batch(batch, store, "g", now, encode=letters)
+    latest = state.latest_state(spark.read.parquet(f"{store}/index_state")).collect()
+    assert {r["status"] for r in latest} == {"indexed"} and sorted(r["chunk_count"] for r in latest) == [1, 2]
+    assert {r["attempts"] for r in latest} == {5}
+    done = rows_of(spark, store)
+    assert len(done["chunks"]) == len(done["vectors"]) == len(done["documents"]) == 3 and done["postings"]
+    ingest.index_batch(batch, store, "g", now, encode=letters)
+    assert rows_of(spark, store) == done
+    # another generation supersedes the vectors of the first
+    ingest.index_batch(batch, store, "g2", now, encode=letters)
+    assert {r["generation_id"] for r in spark.read.parquet(f"{store}/vectors").collect()} == {"g2"}
+
+
+def test_a_new_title_is_a_new_revision(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    for name, title in (("a", "first"), ("b", "second")):
+        os.mkdir(f"{folder}/{name}")
+        write(f"{folder}/{name}", "x.json", [{**branched(), "title": title}])
+        ingest.ingest_batch(exports.read_export(spark, f"{folder}/{name}"), folder + "/store", "u", "g", F.current_timestamp())
+    rows = spark.read.parquet(folder + "/store/revisions").collect()
+    assert len({r["revision_id"] for r in rows}) == len({r["segment_id"] for r in rows}) == 2
+    assert len({r["conversation_id"] for r in rows}) == 1
+
+
+def test_lines_are_numbered_across_parts(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    write(folder, "a.jsonl", "\n".join(json.dumps({"id": f"i{i:04d}", "title": "t" * 50}) for i in range(400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = exports.with_ordinal(exports.read_export(spark, folder, lines=True)).select("id", "ordinal").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r["ordinal"] for r in rows) == list(range(400)) and all(int(r["id"][1:]) == r["ordinal"] for r in rows)
+
+
+def test_replacing_by_nothing_empties_the_bucket(spark):
+    path = tempfile.mkdtemp(prefix="spark-") + "/chunks"
+    rows = spark.createDataFrame([("r1", "g", "a")], "revision_id string, generation_id string, body string")
+    canonical.replace_revisions(rows, path, rows)
+    canonical.replace_revisions(rows.limit(0), path, rows)
+    assert canonical.read_table(spark, path) is None or spark.read.parquet(path).count() == 0
+
+
 def test_replace_revisions_keeps_the_others(spark):
     path = tempfile.mkdtemp(prefix="spark-") + "/chunks"
     rows = spark.createDataFrame([("r1", "g", "a"), ("r2", "g", "b")], "revision_id string, generation_id string, body string")

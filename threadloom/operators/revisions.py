@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.ids import domain_id
 
 
+#: Fields of a header and of a node, besides the ids and the text, that make a new revision when they change.
+HEADER_FIELDS = ["source_type", "source_id", "title", "namespace", "current_node", "created_at", "updated_at", "metadata"]
+NODE_FIELDS = ["created_at", "updated_at", "content", "metadata", "children", "model_slug", "raw"]
+
+
 def node_digest(*columns: str) -> Column:
     return F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
 
@@ -18,7 +23,7 @@ def segment_hashes(nodes: DataFrame, key: str = "conversation_id") -> DataFrame:
     ever holds all nodes of one conversation, and the texts are reduced to digests before the shuffle.
     A node that was read twice counts once.
     """
-    carried = [c for c in ("created_at", "content", "metadata") if c in nodes.columns]
+    carried = [c for c in NODE_FIELDS if c in nodes.columns]
     digests = nodes.select(key, node_digest("node_id", "parent_id", "role", "text", *carried).alias("_h"))
     buckets = (
         digests.groupBy(key, F.substring("_h", 1, 3).alias("_bucket"))
@@ -37,14 +42,16 @@ def segment_hashes(nodes: DataFrame, key: str = "conversation_id") -> DataFrame:
 def revisions(headers: DataFrame, nodes: DataFrame, key: str = "conversation_id") -> DataFrame:
     """Add ``segment_hash, segment_id, content_hash, revision_id, node_count`` to conversation headers.
 
-    ``headers(conversation_id, current_node, metadata, ...)``; equal content gives equal ids.  ``key`` is
+    ``headers(conversation_id, ...)``; the whole header and all nodes decide, so equal content gives equal ids
+    and a segment belongs to one conversation.  ``key`` is
     the column that ties nodes to headers, when there are several versions of a conversation.
     """
     hashed = headers.join(segment_hashes(nodes, key), key)
-    content = domain_id("revision-content", F.col("segment_hash"), F.col("current_node"), F.col("metadata"))
+    fields = [F.col(c) if c in headers.columns else F.lit("") for c in HEADER_FIELDS]
+    header = domain_id("header", F.col("conversation_id"), *fields)
     return (
-        hashed.withColumn("segment_id", domain_id("segment", F.col("segment_hash")))
-        .withColumn("content_hash", content)
+        hashed.withColumn("segment_id", domain_id("segment", header, F.col("segment_hash")))
+        .withColumn("content_hash", domain_id("revision-content", F.col("segment_id")))
         .withColumn("revision_id", domain_id("revision", F.col("conversation_id"), F.col("content_hash")))
     )
 

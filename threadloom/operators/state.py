@@ -25,6 +25,7 @@ def latest_state(events: DataFrame) -> DataFrame:
         at("indexed").alias("_indexed"),
         at("failed").alias("_failed"),
         F.max("at").alias("updated_at"),
+        *[F.max_by(c, F.struct("at", "seq")).alias(c) for c in ("chunk_count", "error_message") if c in events.columns],
     )
     started = F.when(F.col("_started") >= F.col("queued_at"), F.col("_started"))
     since = F.coalesce("_started", "queued_at")
@@ -37,6 +38,7 @@ def latest_state(events: DataFrame) -> DataFrame:
         F.when(F.col("_indexed") >= F.col("queued_at"), F.col("_indexed")).alias("indexed_at"),
         F.when((F.col("_failed") >= F.greatest("queued_at", since)), F.col("_failed")).alias("failed_at"),
         "updated_at",
+        *[c for c in ("chunk_count", "error_message") if c in events.columns],
     )
 
 
@@ -63,13 +65,23 @@ def dead_letter(state: DataFrame) -> DataFrame:
     return state.filter((F.col("status") == "failed") & (F.col("attempts") >= fixed.MAX_ATTEMPTS))
 
 
-def transition(revisions: DataFrame, generation_id: str, status: str, at: Column, seq: Column) -> DataFrame:
-    """Events that move ``revisions(revision_id)`` to ``status``."""
+def transition(
+    revisions: DataFrame,
+    generation_id: str,
+    status: str,
+    at: Column,
+    seq: Column,
+    chunk_count: Column | None = None,
+    error: str | None = None,
+) -> DataFrame:
+    """Events that move ``revisions(revision_id)`` to ``status``, with what is known of the run."""
     if status not in fixed.INDEX_STATES:
         raise ValueError(f"unknown index state {status}")
     return revisions.select(
         "revision_id", F.lit(generation_id).alias("generation_id"), F.lit(status).alias("status"),
         at.alias("at"), seq.alias("seq"),
+        (F.lit(None) if chunk_count is None else chunk_count).cast("bigint").alias("chunk_count"),
+        F.lit(None if error is None else error[:1000]).cast("string").alias("error_message"),
     )
 
 

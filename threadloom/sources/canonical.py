@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 from ..session import durable
@@ -22,14 +24,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def append_new(rows: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None) -> DataFrame:
-    """Append the rows whose key is not in the table yet; a repeated write adds nothing.
+    """Append the rows whose key is not in the table yet; a repeated write adds nothing.  Null keys are equal.
 
     Returns the appended rows, made durable before the write so that they do not depend on the table.
     """
     fresh = rows.dropDuplicates(keys)
     existing = read_table(rows.sparkSession, path)
     if existing is not None:
-        fresh = fresh.join(existing.select(*keys), keys, "left_anti")
+        known = existing.select(*[F.col(k).alias(f"_known_{k}") for k in keys])
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys])
+        fresh = fresh.join(known, same, "left_anti")
     fresh = durable(fresh)
     fresh.write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
     return fresh
@@ -50,7 +54,19 @@ def replace_revisions(rows: DataFrame, path: str, revisions: DataFrame, buckets:
         kept = existing.join(touched, ["generation_id", "bucket"], "left_semi").join(revisions.select(*keys), keys, "left_anti")
         fresh = kept.unionByName(fresh)
     layout = ["generation_id", "bucket"]
-    durable(fresh).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*layout).parquet(path)
+    fresh = durable(fresh)
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*layout).parquet(path)
+    if existing is not None:
+        # overwriting leaves a partition alone that has no row any more
+        emptied = touched.join(fresh.select(*layout).distinct(), layout, "left_anti").collect()
+        remove(rows.sparkSession, [f"{path}/generation_id={r['generation_id']}/bucket={r['bucket']}" for r in emptied])
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of a table, wherever it is stored."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_segments(headers: DataFrame, nodes: DataFrame, path: str, buckets: int = BUCKETS) -> None:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from ..session import durable
 from ..functions import fixed, text as tx
 from ..functions.ids import domain_id, epoch_timestamp
 from ..operators import graph
@@ -23,16 +24,44 @@ NODE = (
 )
 
 
+#: Where an item was read; no part of its content.
+PLACE = ["file", "ordinal", "_part"]
+
+
 def export_schema(extra: tuple[str, ...] = ()) -> T.StructType:
     """Never inferred: every node id is a key of ``mapping``.  ``extra`` fields are kept as raw JSON text."""
     parts = [f"`{n}` {t}" for n, t in FIELDS.items()] + [f"`{n}` string" for n in extra]
     return T.StructType.fromDDL(", ".join([*parts, "mapping map<string,string>", "_corrupt_record string"]))
 
 
-def read_export(spark: SparkSession, path: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per array element with its file; a truncated or malformed file gives a row with ``_corrupt_record``."""
-    rows = spark.read.schema(export_schema(extra)).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return rows.withColumn("file", F.col("_metadata.file_path"))
+def read_export(spark: SparkSession, path: str, extra: tuple[str, ...] = (), lines: bool = False) -> DataFrame:
+    """One row per array element with its file; a truncated or malformed file gives a row with ``_corrupt_record``.
+
+    ``lines`` reads files with one object per line, which Spark splits among tasks.
+    """
+    rows = spark.read.schema(export_schema(extra)).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
+    return with_place(rows)
+
+
+def with_place(rows: DataFrame) -> DataFrame:
+    """Add the file and the part of it that a row was read from."""
+    return rows.withColumns({"file": F.col("_metadata.file_path"), "_part": F.col("_metadata.file_block_start")})
+
+
+def with_ordinal(rows: DataFrame) -> DataFrame:
+    """Replace ``_part`` by ``ordinal``, the number of the row in its file.
+
+    Rows of a part are read by one task in order; parts are few per file, and only their counts are ordered.
+    """
+    rows = durable(rows.withColumn("_n", F.monotonically_increasing_id()))
+    parts = rows.groupBy("file", "_part").agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    return (
+        rows.join(parts, ["file", "_part"])
+        .withColumn("ordinal", F.col("_n") - F.col("_first") + F.col("_before"))
+        .drop("_part", "_n", "_first", "_before")
+    )
 
 
 def _error(max_item_bytes: int | None) -> Column:
@@ -47,7 +76,7 @@ def check_items(raw: DataFrame, max_item_bytes: int | None = None) -> tuple[Data
     """``(good, rejected)``: rejected items carry ``error_code`` and ``error_message``."""
     rows = raw.withColumn("error", _error(max_item_bytes))
     rejected = rows.filter(F.col("error").isNotNull()).select(
-        *[c for c in ("file", "id", "conversation_id") if c in raw.columns],
+        *[c for c in ("file", "ordinal", "id", "conversation_id") if c in raw.columns],
         F.lit(fixed.PARSER_ERROR).alias("error_code"),
         F.substring("error", 1, 1000).alias("error_message"),
     )
@@ -61,7 +90,7 @@ def identify(items: DataFrame) -> DataFrame:
     id is known.
     """
     source = F.coalesce(F.col("id"), F.col("conversation_id"))
-    rows = items.withColumn("_whole", F.to_json(F.struct(*[c for c in items.columns if c != "file"])))
+    rows = items.withColumn("_whole", F.to_json(F.struct(*[c for c in items.columns if c not in PLACE])))
     key = F.coalesce(F.nullif(source, F.lit("")), F.col("_whole"))
     file = F.col("file") if "file" in items.columns else F.lit("")
     return rows.withColumns(
@@ -116,7 +145,7 @@ def export_nodes(identified: DataFrame) -> DataFrame:
 
 def export_headers(identified: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row per conversation; the current node falls back to the head of the active branch."""
-    known = [c for c in identified.columns if c not in ("mapping", "title", "file", "source_id", "conversation_key", "item_id")]
+    known = [c for c in identified.columns if c not in ("mapping", "title", *PLACE, "source_id", "conversation_key", "item_id")]
     title = F.coalesce(F.nullif(tx.js_trim(F.col("title")), F.lit("")), F.lit(fixed.UNTITLED))
     rows = identified.select(
         "item_id",

@@ -7,38 +7,60 @@ Progress lives in the stream checkpoints, which must be on shared storage.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import chunking, graph, revisions, state
+from ..operators import chunking, graph, lexical, revisions, semantic, state
 from ..session import durable
 from ..sources import canonical, exports
 
 
 def ingest_batch(raw: DataFrame, store: str, user_id: str, generation_id: str, at) -> None:
-    """Normalise one batch of export items, append new revisions and nodes, queue them for indexing."""
-    raw = durable(raw)
-    headers, nodes, rejected = exports.normalize_export(raw)
-    nodes = durable(nodes)
-    rows = revisions.revisions(headers, nodes, "item_id").withColumns({"user_id": F.lit(user_id), "seq": F.unix_micros(at)})
-    fresh = canonical.append_new(durable(rows), f"{store}/revisions", ["revision_id"])
-    owned = nodes.join(fresh.select("item_id", "revision_id"), "item_id").drop("item_id")
+    """Normalise one batch of export items, append nodes, queue events, the item log and new revisions.
+
+    ``raw`` as made by :func:`..sources.exports.with_place`.  Each table is compared with the whole batch on
+    its own key and revisions, which readers start from, are written last; so a batch that failed after any
+    write is completed by its next delivery, and a complete one adds nothing.
+    """
+    raw = durable(exports.with_ordinal(raw))
+    good, rejected = exports.check_items(raw)
+    items = durable(exports.identify(good))
+    once = items.dropDuplicates(["item_id"])
+    nodes = durable(exports.export_nodes(once))
+    rows = revisions.revisions(exports.export_headers(once, nodes), nodes, "item_id")
+    rows = durable(rows.withColumns({"user_id": F.lit(user_id), "seq": F.unix_micros(at)}))
+    owned = nodes.join(rows.select("item_id", "revision_id"), "item_id").drop("item_id")
     canonical.append_new(owned, f"{store}/nodes", ["revision_id", "node_id"])
-    canonical.append_new(
-        state.transition(fresh, generation_id, "queued", at, F.unix_micros(at)), f"{store}/index_state", ["revision_id", "generation_id", "status", "seq"]
-    )
-    log = fresh.select("source_id", "conversation_id", "revision_id", F.lit("complete").alias("status"), F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("string").alias("file"))
+    queued = state.transition(rows, generation_id, "queued", at, F.unix_micros(at))
+    canonical.append_new(queued, f"{store}/index_state", ["revision_id", "generation_id", "status"])
+    none = F.lit(None).cast("string")
+    done = items.select("file", "ordinal", "item_id").join(rows.select("item_id", "source_id", "conversation_id", "revision_id"), "item_id")
+    done = done.drop("item_id").withColumns({"status": F.lit("complete"), "error_code": none, "error_message": none})
     failed = rejected.select(
-        F.coalesce("id", "conversation_id").alias("source_id"), F.lit(None).cast("string").alias("conversation_id"),
-        F.lit(None).cast("string").alias("revision_id"), F.lit("failed").alias("status"), "error_code", "error_message", "file",
+        "file", "ordinal", F.coalesce("id", "conversation_id").alias("source_id"), none.alias("conversation_id"),
+        none.alias("revision_id"), F.lit("failed").alias("status"), "error_code", "error_message",
     )
-    canonical.append_new(log.unionByName(failed), f"{store}/import_items", ["source_id", "revision_id", "status", "error_message", "file"])
+    canonical.append_new(done.unionByName(failed), f"{store}/import_items", ["file", "ordinal"])
+    canonical.append_new(rows, f"{store}/revisions", ["revision_id"])
 
 
-def index_batch(batch: DataFrame, store: str, generation_id: str, at, tombstones: DataFrame | None = None) -> None:
-    """Chunk the current revisions among ``batch(revision_id, conversation_id, ...)`` and mark them indexed.
+def index_batch(
+    batch: DataFrame,
+    store: str,
+    generation_id: str,
+    at,
+    tombstones: DataFrame | None = None,
+    encode: Callable[[list[str]], np.ndarray] | None = None,
+) -> None:
+    """Chunk the current revisions among ``batch(revision_id, ...)``, build their full-text rows and vectors, mark them.
 
-    Revisions that are no longer current or were deleted get no derived rows.
+    Revisions that are no longer current, were deleted or are indexed already get nothing.  The derived
+    rows of a revision are replaced as a whole and the ``indexed`` event is the last write, so a failed
+    batch is made good by the next one.  An error is recorded as ``failed`` and raised again.
+    Without ``encode`` there are no vectors.
     """
     spark = batch.sparkSession
     log = canonical.read_table(spark, f"{store}/revisions")
@@ -46,16 +68,50 @@ def index_batch(batch: DataFrame, store: str, generation_id: str, at, tombstones
     if log is None or nodes is None:
         return
     current = revisions.current_view(log, tombstones)
-    todo = durable(current.join(batch.select("revision_id").distinct(), "revision_id", "left_semi"))
+    todo = current.join(batch.select("revision_id").distinct(), "revision_id", "left_semi")
+    events = canonical.read_table(spark, f"{store}/index_state")
+    if events is not None:
+        known = state.latest_state(events.filter(F.col("generation_id") == generation_id))
+        todo = todo.join(known.filter("status = 'indexed'").select("revision_id"), "revision_id", "left_anti")
+    todo = durable(todo)
+
+    def mark(status: str, step: int, **details) -> None:
+        moved = state.transition(details.pop("rows", todo), generation_id, status, at, F.unix_micros(at) + step, **details)
+        canonical.append_new(moved, f"{store}/index_state", ["revision_id", "generation_id", "status", "seq"])
+
+    mark("processing", 1)
+    try:
+        made = _derive(todo, nodes, store, generation_id, encode)
+    except Exception as error:
+        mark("failed", 2, error=str(error))
+        raise
+    counted = todo.join(made.groupBy("revision_id").agg(F.count(F.lit(1)).alias("_chunks")), "revision_id", "left")
+    mark("indexed", 2, rows=counted, chunk_count=F.coalesce("_chunks", F.lit(0)))
+
+
+def _derive(todo: DataFrame, nodes: DataFrame, store: str, generation_id: str, encode) -> DataFrame:
+    """Write chunks, postings, token lists and vectors of the revisions; returns the chunks."""
     owned = nodes.join(todo.select("revision_id"), "revision_id", "left_semi")
     paths = durable(graph.branches(owned, todo, "revision_id"))
     header = todo.select("revision_id", "conversation_id", "title", "namespace", "updated_at")
     made = durable(chunking.chunk(owned, paths, header, generation_id))
     scope = todo.select("revision_id", F.lit(generation_id).alias("generation_id"))
-    canonical.replace_revisions(made, f"{store}/chunks", scope)
-    for step, status in enumerate(("processing", "indexed")):
-        events = state.transition(todo, generation_id, status, at, F.unix_micros(at) + 1 + step)
-        canonical.append_new(events, f"{store}/index_state", ["revision_id", "generation_id", "status", "seq"])
+    place = made.select("chunk_id", "revision_id", "generation_id")
+    index = lexical.build_index(made)
+    tables = {"chunks": made, "postings": index.postings.join(place, "chunk_id"), "documents": index.documents.join(place, "chunk_id")}
+    if encode is not None:
+        keep = ["vector_id", "chunk_id", "revision_id", "conversation_id", "generation_id", "namespace", "embedding"]
+        tables["vectors"] = semantic.embed(made, "body", encode).select(*keep)
+    for name, rows in tables.items():
+        canonical.replace_revisions(rows, f"{store}/{name}", scope)
+    vectors = canonical.read_table(todo.sparkSession, f"{store}/vectors") if encode is not None else None
+    if vectors is not None:
+        # vectors of earlier generations go once the revision has new ones
+        old = vectors.select("revision_id", "generation_id").distinct().filter(F.col("generation_id") != generation_id)
+        old = durable(old.join(todo.select("revision_id"), "revision_id", "left_semi"))
+        if not old.isEmpty():
+            canonical.replace_revisions(tables["vectors"].limit(0), f"{store}/vectors", old)
+    return made
 
 
 def import_stream(
@@ -67,8 +123,8 @@ def import_stream(
         .option("multiLine", True)
         .option("maxFilesPerTrigger", files_per_batch)
         .json(source)
-        .withColumn("file", F.col("_metadata.file_path"))
     )
+    items = exports.with_place(items)
     return (
         items.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -77,7 +133,9 @@ def import_stream(
     )
 
 
-def index_stream(spark: SparkSession, store: str, checkpoint: str, generation_id: str, tombstones: DataFrame | None = None) -> StreamingQuery:
+def index_stream(
+    spark: SparkSession, store: str, checkpoint: str, generation_id: str, tombstones: DataFrame | None = None, encode=None
+) -> StreamingQuery:
     """Index every revision that was appended since the last run and stop."""
     schema = spark.read.parquet(f"{store}/revisions").schema
     return (
@@ -85,7 +143,7 @@ def index_stream(spark: SparkSession, store: str, checkpoint: str, generation_id
         .parquet(f"{store}/revisions")
         .writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(lambda batch, _: index_batch(batch, store, generation_id, F.current_timestamp(), tombstones))
+        .foreachBatch(lambda batch, _: index_batch(batch, store, generation_id, F.current_timestamp(), tombstones, encode))
         .start()
     )
 
