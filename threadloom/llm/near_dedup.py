@@ -190,7 +190,8 @@ def classes(docs: DataFrame, exhaustive: int = 8) -> DataFrame:
     # the order of nodes by how many others they meet; of equal ones the first comes first
     members = table(members.join(table(central), "v").select("key", "n", "v", F.struct("met", (-F.col("v")).alias("first")).alias("rank")))
     wanted = nodes.select("v", "k1", "k2").join(members.select("v").distinct(), "v")
-    texts = docs.select(*key, "text").join(table(wanted), ["k1", "k2"])
+    # one plan at every size: the nodes of shared buckets grow with the documents, so they are never broadcast
+    texts = docs.select(*key, "text").join(table(wanted).hint("merge"), ["k1", "k2"])
     # rows that share both keys are equal, one of them is enough
     texts = table(texts.select("v", "text").dropDuplicates(["v"]))
     hubs = table(members.groupBy("key").agg(F.max("rank").alias("hub")))
