@@ -14,7 +14,7 @@ import unicodedata
 
 import numpy as np
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 
 #: Texts of these characters only are cut into the runs of the tokenizer's own pattern; others at white space.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡«»¿À-ÖØ-öø-ÿŒœ–—‘’“”…]*")
@@ -24,11 +24,16 @@ SPACES = re.compile(r"[ \t\n\r]+")
 
 def worker_state() -> types.SimpleNamespace:
     """State that outlives a task; the functions here are shipped by value and have no module of their own."""
-    return sys.modules.setdefault("_threadloom_worker", types.SimpleNamespace(caches={}, tokenizers={}))
+    return sys.modules.setdefault("_threadloom_worker", types.SimpleNamespace(owner=None, caches={}, tokenizers={}))
 
 
-def cache(name: str) -> dict:
-    found = worker_state().caches.setdefault(name, {})
+def cache(name: str, owner: str) -> dict:
+    """The pieces known to ``owner``; those of other owners are dropped, so a worker never holds two sets."""
+    state = worker_state()
+    if state.owner != owner:
+        state.owner = owner
+        state.caches.clear()
+    found = state.caches.setdefault(name, {})
     if len(found) > CACHE_ENTRIES:
         found.clear()
     return found
@@ -45,7 +50,7 @@ def word_tokenizer(path: str):
 
 def word_ids(texts, path: str):
     """Yield the ids of each text as little-endian unsigned 32-bit bytes, as ``Tokenizer.encode`` gives them."""
-    words_known, runs_known = cache(path), cache(path + " runs")
+    words_known, runs_known = cache("words", path), cache("runs", path)
     for text in texts:
         plain = PLAIN.fullmatch(text) and "<|" not in text and unicodedata.is_normalized("NFC", text)
         words = SPACES.split(text)
@@ -118,7 +123,7 @@ class PieceModel:
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             kept[path] = model, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
         self.model, self.is_byte = kept[path]
-        self.known = cache(path)
+        self.known = cache("words", path)
 
     def ids(self, words: list[str]) -> np.ndarray:
         known = self.known
