@@ -395,7 +395,11 @@ def block_texts(page: str) -> list[str]:
 def fit(pages: DataFrame, sample: int = 200, layouts: int = 600) -> Trees:
     """Trees fitted on ``layouts`` pages that are filled with the blocks of at most ``sample`` pages."""
     rows = pages.select("page_id", "html").filter("html IS NOT NULL")
-    chosen = rows.orderBy(F.xxhash64("page_id"), "page_id", F.length("html")).select("html").limit(sample).collect()
+    # ids first: each task sends the driver numbers, and pages only of the chosen ids
+    ids = rows.select("page_id").filter("page_id IS NOT NULL").distinct()
+    ids = ids.orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    found = rows.join(F.broadcast(ids), "page_id").select("html")
+    chosen = found.orderBy(F.xxhash64("html"), "html").limit(sample).collect()
     texts = [t[:2000] for row in chosen for t in block_texts(row["html"])]
     return Trees().fit(*training_rows(texts or ["text of a page"], layouts))
 
