@@ -65,6 +65,8 @@ OPENING, CLOSING = "".join(c for c in EDGE if c not in READINGS), ".,;:?"
 #: Costs in nats: reading a sign as a letter, closing a gap, dropping a repeated letter, keeping a raw sign.
 READ, CLOSE, DROP, KEEP = -1.0, -0.5, -1.0, -4.0
 FEATURE_SIZES = (4, 5, 6)
+#: Characters counted at a time; bounds the memory for very long texts.
+COUNTED = 1 << 20
 
 
 def codes(text: str) -> np.ndarray:
@@ -82,10 +84,11 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         total = np.zeros(1 << 18, np.int64)
         for batch in batches:
-            joined = "  ".join(t.lower() for t in batch.column(0).to_pylist() if t)
-            if joined:
-                c = codes(f"  {joined}  ")
-                total += np.bincount(c[:-2] << 12 | c[1:-1] << 6 | c[2:], minlength=1 << 18)
+            for text in batch.column(0).to_pylist():
+                padded = f"  {(text or '').lower()}  "
+                for low in range(0, len(padded) - 2, COUNTED):
+                    c = codes(padded[low : low + COUNTED + 2])
+                    np.add.at(total, c[:-2] << 12 | c[1:-1] << 6 | c[2:], 1)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["code", "n"])
 
