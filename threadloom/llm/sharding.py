@@ -74,7 +74,7 @@ def assigned(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str
 
     ``part`` is null but in a bucket of one hash above the limit. An input column of that name is replaced.
     """
-    hash_name, bucket_name, part_name = free(docs, "shard_hash", "shard_bucket", "shard_part")
+    hash_name, bucket_name, part_name, bytes_name = free(docs, "shard_hash", "shard_bucket", "shard_part", "shard_bytes")
     hash_, bytes_ = hash_bits(F.col(key)), utf8_length(F.col(text))
     counted = table(
         docs.select(hash_.alias("hash"), bytes_.alias("bytes")).groupBy("hash").agg(F.sum("bytes").alias("bytes"))
@@ -88,10 +88,15 @@ def assigned(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str
         .join(buckets.select("depth", "prefix", (F.col("bytes") > limit).alias("divide")), ["depth", "prefix"])
         .select(F.col("hash").alias(hash_name), F.struct("depth", "prefix", "divide").alias(bucket_name))
     )
-    joined = docs.join(located, hash_ == F.col(hash_name))
+    # sizes are taken before the join, so that a reader of shards only moves no text
+    joined = docs.withColumn(bytes_name, bytes_).join(located, hash_ == F.col(hash_name))
+    bytes_ = F.col(bytes_name)
     divide, bucket = F.col(bucket_name)["divide"], F.col(bucket_name)
-    whole = joined.filter(~divide).withColumn(part_name, F.lit(None).cast("string"))
-    parts = whole.unionByName(divided(joined.filter(divide), bytes_, limit, hash_name, text, part_name))
+    parts = joined.withColumn(part_name, F.lit(None).cast("string"))
+    if not buckets.filter(F.col("bytes") > limit).isEmpty():
+        parts = parts.filter(~divide).unionByName(
+            divided(joined.filter(divide), bytes_, limit, hash_name, text, part_name)
+        )
     digits = F.lpad(F.conv(bucket["prefix"].cast("string"), 10, 2), bucket["depth"], "0")
     bits = F.concat(F.lit("s"), F.when(bucket["depth"] > 0, digits).otherwise(""))
     shard = F.struct(
