@@ -70,7 +70,7 @@ def brute_classes(rows):
     return Counter(tuple(sorted(str(rows[i][0]) for i in members)) for members in classes.values())
 
 
-@pytest.mark.parametrize("exhaustive", [8, 1])
+@pytest.mark.parametrize("exhaustive", [64, 8, 1])
 def test_near_dedup_equals_brute_force(spark, exhaustive):
     rows = corpus()
     rng = random.Random(9)
@@ -86,6 +86,36 @@ def test_near_dedup_equals_brute_force(spark, exhaustive):
     assert all(len(m) == k[1] for k, m in members.items())
 
 
+def drifting(rng, n_words, steps):
+    """Versions that change one word each, from the start on."""
+    text = prose(rng, n_words).split(" ")
+    for i in range(steps):
+        yield " ".join(text)
+        text[(i * 7) % n_words] = prose(rng, 1)
+
+
+def forms(rng, count):
+    """Forms of one frame, each with a first word of its own and twice with another end: 81 of 101 shingles in
+    common with the other text of the form, 80 of 102 with all others."""
+    frame = prose(rng, 84)
+    for _ in range(count):
+        own = prose(rng, 1)
+        for _ in range(2):
+            yield f"{own} {frame} {prose(rng, 10)}"
+
+
+def test_large_buckets_lose_no_link(spark):
+    rng = random.Random(12)
+    texts = [t for n in (60, 100) for t in drifting(rng, n, 20)] + list(forms(rng, 15))
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    want = brute_classes(rows)
+    assert sorted(map(len, want)) == [2] * 15 + [20, 20]
+    members = defaultdict(list)
+    for r in near_dedup.classes(documents(spark, rows)).collect():
+        members[r.class_id].append(str(r.doc_id))
+    assert Counter(tuple(sorted(m)) for m in members.values()) == want
+
+
 def test_near_dedup_keeps_one_whole_row(spark):
     docs = documents(spark)
     kept = near_dedup.deduplicated(docs)

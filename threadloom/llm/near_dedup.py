@@ -11,8 +11,10 @@ Texts with equal words are one node before anything else, so copies are never pa
 meets the most central node only, the one that shares most buckets with others: the original of edited copies
 is nearer to each of them than they are to each other. After that, nodes of different components of a bucket
 are looked at again while this finds links: each meets the most central node of two other components, and in
-buckets of at most ``exhaustive`` nodes all of different components meet. Pairs grow with the nodes, not with
-their square.
+buckets of at most ``exhaustive`` nodes all of different components meet. What larger buckets then still hold in
+several components is compared exactly (``overlapping``): a pair can only be similar if enough of its shingles
+occur in several components, and then it shares one of the rarest of these. So of two texts that share a bucket
+either both are in one class or they were compared, or counting their shingles ruled them out.
 
 A document without words (null, empty, punctuation) is a class of its own. Repeated rows are in one class.
 Ties go to the least id; a class whose ids are all null has a null id. Columns besides id and text are not
@@ -207,6 +209,10 @@ def classes(docs: DataFrame, exhaustive: int = 8) -> DataFrame:
             break
         tested, links = table(tested.unionByName(rest)), table(links.unionByName(new))
         found = components(links)
+    rest = overlapping(crowded(placed, exhaustive), texts).join(tested, ["a", "b"], "left_anti")
+    new = verified(table(rest), texts)
+    if not new.isEmpty():
+        found = components(links.unionByName(new))
     placed = table(
         rows.select("doc_id", "k1", "k2", "same")
         .join(nodes.select("same", "v"), "same")
@@ -253,6 +259,52 @@ def across(placed: DataFrame, exhaustive: int) -> DataFrame:
     return met.unionByName(every).distinct()
 
 
+def crowded(placed: DataFrame, exhaustive: int) -> DataFrame:
+    """``v, c`` of the nodes in buckets of more than ``exhaustive`` nodes and of several components."""
+    large = placed.filter(F.col("n") > exhaustive)
+    several = large.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+    return table(large.join(several.select("key"), "key").select("v", "c").distinct())
+
+
+def overlapping(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` across the components of ``nodes(v, c)`` that may be similar; no similar pair is missing.
+
+    The shingles of every text are put into one order: first those of one component only, then from rare to
+    frequent. Similar texts have ``need`` shingles in common, so both have as many from the first common one on.
+    """
+
+    def run(batches):
+        for batch in batches:
+            labelled = [
+                labelled_shingles(" ".join(words(t)).encode("utf-8", "surrogatepass")).view(np.int64)
+                for t in batch.column(2).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(map(len, labelled), pa.int64()),
+                    pa.array(labelled, pa.list_(pa.int64())),
+                ],
+                names=["v", "c", "size", "shingles"],
+            )
+
+    held = table(
+        nodes.join(texts, "v").select("v", "c", "text").mapInArrow(run, "v long, c long, size long, shingles array<long>")
+    )
+    one = held.select("v", "c", "size", F.explode("shingles").alias("s"))
+    seen = one.groupBy("s").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
+    common = one.join(table(seen.filter("low <> high").select("s", "n")), "s")
+    common = common.groupBy("v", "c", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("list"))
+    first = common.select("v", "c", "size", F.size("list").alias("all"), F.posexplode("list").alias("at", "x"))
+    # ``left``: common shingles from this one on
+    first = first.select("v", "c", "size", F.col("x.s").alias("s"), (F.col("all") - F.col("at")).alias("left"))
+    first = table(first.filter(F.col("left") >= F.ceil(SIMILARITY * F.col("size") - 1e-9)))
+    need = F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("x.size") + F.col("y.size")) - 1e-9)
+    met = first.alias("x").join(first.alias("y"), "s").filter("x.v > y.v AND x.c <> y.c")
+    return met.filter(F.least("x.left", "y.left") >= need).select(*ordered("x.v", "y.v")).distinct()
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class, the one of least id."""
     (name,) = free(docs, "row_key")
