@@ -86,6 +86,18 @@ def test_near_dedup_equals_brute_force(spark, exhaustive):
     assert all(len(m) == k[1] for k, m in members.items())
 
 
+@pytest.mark.parametrize("n_words", [8, 9, 10, 12, 20, 23, 24, 28, 60])
+def test_similar_texts_of_every_length_share_a_key(n_words):
+    rng = random.Random(n_words)
+    for _ in range(300):
+        a = prose(rng, n_words)
+        # as many words more as a similar text can have
+        b = f"{a} {prose(rng, max(1, (n_words - 4) // 4))}"
+        assert near_dedup.similarity(a, b)
+        keys = [near_dedup.sketch_keys(near_dedup.labelled_shingles(t.encode())).tolist() for t in (a, b)]
+        assert set(keys[0]) & set(keys[1])
+
+
 def drifting(rng, n_words, steps):
     """Versions that change one word each, from the start on."""
     text = prose(rng, n_words).split(" ")

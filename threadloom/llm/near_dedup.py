@@ -5,7 +5,9 @@ punctuation and space; a text of one to four words is one shingle). Shingles are
 occurrence number. Each of ``sketches`` hash functions picks the ``picked`` labelled shingles of least hash
 and keeps them in text order; texts with an equal pick share a bucket. Texts are compared by alignment: with
 m shingles matched in order out of a and b, their similarity is m / (a + b - m), and texts of 0.8 or more are
-linked. At that similarity a pair misses all 32 buckets with a probability of 3 in a million.
+linked. At that similarity a pair misses all buckets with a probability of at most 5 in a million, at every
+length: below ``SHORT`` shingles 8 sketches pick one shingle each (a miss is 0.2 ** 8), from there on 36 and for
+long texts 32 sketches pick five. Texts are also sketched like the shortest text that can be similar to them.
 
 Texts with equal words are one node before anything else, so copies are never paired. In a bucket every node
 meets the most central node only, the one that shares most buckets with others: the original of edited copies
@@ -40,6 +42,9 @@ ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 32, 5
+#: Texts of fewer shingles than SHORT have single picks; those of at most MIDDLE have more sketches than longer ones.
+SHORT, SHORT_SKETCHES = 20, 8
+MIDDLE, MIDDLE_SKETCHES = 125, 36
 
 
 def words(text: str) -> list[str]:
@@ -84,6 +89,19 @@ def order_sketches(labelled: np.ndarray, sketches: int = SKETCHES, picked: int =
     return keys
 
 
+def sketch_keys(labelled: np.ndarray) -> np.ndarray:
+    """Keys of a text: two texts that may be similar have those of the shorter one's kind in common."""
+    n, kinds = len(labelled), []
+    # with fewer shingles in common than this, only equal texts are similar
+    if n < math.ceil(SIMILARITY / (1 - SIMILARITY) - 1e-9):
+        return np.empty(0, np.uint64)
+    if math.ceil(SIMILARITY * n - 1e-9) < SHORT:
+        kinds.append(order_sketches(labelled, SHORT_SKETCHES, 1))
+    if n >= SHORT:
+        kinds.append(order_sketches(labelled, MIDDLE_SKETCHES if n <= MIDDLE else SKETCHES))
+    return np.concatenate(kinds)
+
+
 def aligned(a: list, b: list, band: int) -> int:
     """Length of the longest common subsequence within ``band`` of the diagonal, by bit-parallel rows."""
     low = 0
@@ -144,7 +162,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 if normal:
                     rows.append(i)
                     same.append(hashlib.blake2b(normal, digest_size=16).digest())
-                    keys.append(order_sketches(labelled_shingles(normal)).view(np.int64))
+                    keys.append(sketch_keys(labelled_shingles(normal)).view(np.int64))
             kept = batch.select([0, 1, 2]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*kept.columns, pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
