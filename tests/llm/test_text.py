@@ -98,6 +98,18 @@ def test_quality_rejects_noise_in_its_language(spark):
     assert not verdict[100] and not verdict[101] and all(verdict[i] for i in range(60))
 
 
+def test_quality_keeps_clean_documents_of_rare_scripts(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 80), "en", "s", 0) for i in range(400)]
+    for lang, first, n in (("el", 0x3B1, 60), ("zh", 0x4E00, 60), (None, 0x430, 12)):
+        for _ in range(n):
+            text = " ".join("".join(chr(first + rng.randrange(24)) for _ in range(rng.randint(2, 8))) for _ in range(80))
+            rows.append((len(rows), text, lang, "s", 0))
+    done = quality_rules.judged(documents(spark, rows), public_tokenizers.path("piece_bpe_32k.model"))
+    verdict = Counter((r.lang, r.quality.kept) for r in done.collect())
+    assert verdict["el", True] == verdict["zh", True] == 60 and verdict[None, True] == 12
+
+
 def test_packing_equals_the_tokenizer(spark):
     rng = random.Random(11)
     rows = corpus() + [

@@ -12,7 +12,9 @@ given). Bands come from all documents of the language: quartiles of an exact his
 ``spread`` times the distance between them, and never narrower than ``floor`` on either side.
 
 Nulls and texts without a word have no tokens and fail the base rules. Repeated rows are judged each.
-A language with fewer than ``least`` documents has no band of its own and uses that of all documents.
+Every language has its own band, however few its documents are. To its n documents come ``least / (n + 1)`` with
+the distribution of its most frequent script (of all texts where that is none of ``SCRIPTS``), so that single
+documents are judged by their script and more by themselves, and the reach grows by ``2 / sqrt(n)``.
 """
 
 from __future__ import annotations
@@ -122,41 +124,47 @@ def measured(docs: DataFrame, path: str, text: str = "text", into: str = "qualit
 
 
 def bands(measures: DataFrame, group: str, spread: float = 2.5, least: int = 200) -> DataFrame:
-    """One row per group with ``low_*`` and ``high_*``; the row with group null is the band of all documents."""
+    """One row per group with ``low_*`` and ``high_*``."""
     binned = [
         F.struct(F.lit(name).alias("name"), F.floor(F.col(name) / width).cast("long").alias("bin"))
         for name, (width, _, _) in MEASURES.items()
     ]
-    cells = (
+    cells = table(
         measures.filter("n_tokens > 0")
-        .select(group, F.explode(F.array(*binned)).alias("m"))
-        .select(group, "m.name", "m.bin")
-        .groupBy(group, "name", "bin")
+        .select(group, "script", F.explode(F.array(*binned)).alias("m"))
+        .groupBy(group, "script", "m.name", "m.bin")
         .agg(F.count("*").alias("n"))
     )
-    cells = cells.unionByName(
-        cells.groupBy("name", "bin").agg(F.sum("n").alias("n")).withColumn(group, F.lit(None).cast("string"))
-    )
-    ordered = Window.partitionBy(group, "name").orderBy("bin")
-    ranked = cells.withColumn("upto", F.sum("n").over(ordered)).withColumn(
+    own = cells.groupBy(group, "name", "bin").agg(F.sum("n").cast("double").alias("n"))
+    # the most frequent script of each group, and how many documents the group has
+    most = F.max(F.struct("n", "script"))["script"]
+    first = next(iter(MEASURES))
+    scripts = cells.filter(F.col("name") == first).groupBy(group, "script").agg(F.sum("n").alias("n"))
+    scripts = table(scripts.groupBy(group).agg(most.alias("script"), F.sum("n").alias("n_group")))
+    anywhere = cells.filter(~F.col("script").isin(*SCRIPTS)).select("script").distinct()
+    every = cells.groupBy("name", "bin").agg(F.sum("n").alias("n"))
+    known = cells.filter(F.col("script").isin(*SCRIPTS)).groupBy("script", "name", "bin").agg(F.sum("n").alias("n"))
+    prior = known.unionByName(every.crossJoin(anywhere))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("script", "name"))
+    prior = prior.select("script", "name", "bin", share.alias("share")).join(scripts, "script")
+    added = prior.select(group, "name", "bin", (F.col("share") * least / (F.col("n_group") + 1)).alias("n"))
+    mixed = own.unionByName(added).groupBy(group, "name", "bin").agg(F.sum("n").alias("n"))
+    ranked = mixed.withColumn("upto", F.sum("n").over(Window.partitionBy(group, "name").orderBy("bin"))).withColumn(
         "all", F.sum("n").over(Window.partitionBy(group, "name"))
     )
+    # sums of shares are not exact
     quartiles = ranked.groupBy(group, "name").agg(
-        F.max("all").alias("n"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("bin"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("bin"))).alias("q3"),
+        F.min(F.when(F.col("upto") * 4 >= F.col("all") * (1 - 1e-9), F.col("bin"))).alias("q1"),
+        F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3 * (1 - 1e-9), F.col("bin"))).alias("q3"),
     )
+    wider = F.max(1 + 2 / F.sqrt("n_group"))
     outputs = []
     for name, (width, floor, sides) in MEASURES.items():
         low, high = (F.max(F.when(F.col("name") == name, F.col(q))) for q in ("q1", "q3"))
-        reach = F.greatest((high - low + 1) * spread, F.lit(floor / width)) * width
+        reach = F.greatest((high - low + 1) * spread, F.lit(floor / width)) * width * wider
         outputs.append((low * width - reach if -1 in sides else F.lit(float("-inf"))).alias(f"low_{name}"))
         outputs.append(((high + 1) * width + reach if 1 in sides else F.lit(float("inf"))).alias(f"high_{name}"))
-    return (
-        quartiles.groupBy(group)
-        .agg(F.max("n").alias("n_group"), *outputs)
-        .filter(F.col(group).isNull() | (F.col("n_group") >= least))
-    )
+    return quartiles.join(scripts, group).groupBy(group).agg(F.max("n_group").alias("n_group"), *outputs)
 
 
 def judged(docs: DataFrame, path: str, lang: str | None = "lang", into: str = "quality", **options) -> DataFrame:
@@ -165,20 +173,17 @@ def judged(docs: DataFrame, path: str, lang: str | None = "lang", into: str = "q
     An input column of that name is replaced; all others stay as they are.
     """
     done = table(measured(docs, path, into=into))
-    group_name, own_name, any_name = free(done, "band_group", "own_band", "any_band")
+    group_name, own_name = free(done, "band_group", "own_band")
     named = F.col(lang) if lang and lang in done.columns else F.lit(None).cast("string")
     group = F.coalesce(named, F.col(into)["script"])
     # one row per language: the number of languages bounds it, not the number of documents
     limits = table(bands(done.select(group.alias(group_name), f"{into}.*"), group_name, **options))
-    own = limits.filter(F.col(group_name).isNotNull()).select(F.struct(*limits.columns).alias(own_name))
-    every = limits.filter(F.col(group_name).isNull()).select(F.struct(*limits.columns).alias(any_name))
-    joined = done.join(F.broadcast(own), group == F.col(own_name)[group_name], "left").join(
-        F.broadcast(every), F.lit(True), "left"
-    )
+    own = limits.select(F.struct(*limits.columns).alias(own_name))
+    joined = done.join(F.broadcast(own), group == F.col(own_name)[group_name], "left")
     inside = F.lit(True)
     for name in MEASURES:
         value = F.col(into)[name]
-        low, high = (F.coalesce(F.col(own_name)[f"{side}_{name}"], F.col(any_name)[f"{side}_{name}"]) for side in ("low", "high"))
+        low, high = (F.col(own_name)[f"{side}_{name}"] for side in ("low", "high"))
         inside &= (value >= low) & (value <= high)
     n_words, n_repeat = F.col(into)["n_words"], F.col(into)["n_repeat_words"]
     failed = (n_words < 50) | (n_repeat * 100 > n_words * 50)
