@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import CLASHES, corpus, documents, prose
 from pyspark.sql import functions as F
@@ -151,3 +152,18 @@ def test_labels_of_one_kind(spark):
     weights, bias = toxicity.fit(docs, none, model)
     assert weights == {} and all(r.toxicity < 0.01 for r in toxicity.scored(docs, model, weights, bias).collect())
     assert toxicity.scored(docs.limit(0), model, weights, bias).count() == 0
+
+
+def test_every_disguise_reaches_the_lattice():
+    rng = random.Random(1)
+    plain = " ".join(rng.choice("you are such an idiot dumbass ass shit cat mat hello world".split()) for _ in range(4000))
+    c = toxicity.codes(f"  {plain}  ")
+    code, n = np.unique(c[:-2] << 12 | c[1:-1] << 6 | c[2:], return_counts=True)
+    model = toxicity.character_model(pd.DataFrame({"code": code, "n": n}))
+    restorer = toxicity.Restorer(model)
+    forms = {"idiot": ["1d10t", "i d i o t.", "“i d i o t!”", "'i d i o t'", "idi" + 40 * "o" + "t"]}
+    forms |= {"ass": ["a$$", "A$$!", "@$$", "a s s", "(a s s)"], "shit": ["s h i t.", "$hit"], "dumbass": ["dumba$$", '"dumba$$"']}
+    for word, written in forms.items():
+        for form in written:
+            assert word in restorer.marked(f"hello {form} world")[1:-1].split(toxicity.END + toxicity.START), form
+    assert restorer.restored("it is 2024 455", {"it", "is", "2024", "455"}) == set()

@@ -3,7 +3,7 @@
 1. A character trigram model counts all texts. Counts add up in each task first; the table has at most 64**3
    cells however large the corpus is.
 2. Disguised words are restored: signs and digits used as letters (``1d10t``), letters set apart
-   (``i d i o t``, ``i.d.i.o.t``) and repeated letters (``idiooot``). Each is a lattice of readings, with a cost
+   (``i d i o t``, ``i.d.i.o.t``, three or more) and repeated letters (``idiooot``). Each is a lattice of readings, with a cost
    for every sign read, letter dropped and gap closed; Viterbi search takes the reading that the character
    model likes best. Words without such marks are not touched.
 3. The restored words and their character 4- to 6-grams are features of a logistic model with an L1 penalty.
@@ -57,11 +57,19 @@ SEPARATORS = ".-_*~·/\\' "
 EDGE = "\"'`.,;:!?()[]{}<>*#%&$|~+-_=/\\…«»“”‘’„¡¿"
 SIGNS = "".join(map(re.escape, READINGS))
 START, END = "\x02", "\x03"
-#: What may disguise a word: a sign or separator before a letter or digit, or a digit; letters set apart.
-MARKED = re.compile(rf"[{SIGNS}._*~·\-/\\]\w|\d")
+#: What may disguise a word: a sign, a separator before a letter or digit, or a digit; letters set apart.
+MARKED = re.compile(rf"[{SIGNS}]|[._*~·\-/\\]\w|\d")
 TRIPLE = re.compile(r"(\w)\1\1")
-SPACED = re.compile(rf"(?<!\S)[^\W_](?:[ ._*~·-]{{1,3}}[^\W_]){{3,}}(?!\S)")
-OPENING, CLOSING = "".join(c for c in EDGE if c not in READINGS), ".,;:?"
+#: Not the s of "that's": letters set apart start after no letter, nor after its apostrophe.
+SPACED = re.compile(r"(?<!\w)(?<!\w['’])[^\W_](?:[ ._*~·-]{1,3}[^\W_]){2,}(?!\w|['’]\w)")
+#: Numbers are no disguised words, and a character repeated more often than three times says no more than three.
+NUMBER = re.compile(r"[\d.,:;/%+\-() $€£|!]*")
+LONG = re.compile(r"(.)\1{3,}", re.S)
+#: Longer tokens are read anew each time.
+KEPT_SIZE = 64
+OPENING, CLOSING = "".join(c for c in EDGE if c not in READINGS), ".,;:?\"'`)]}>…«»“”‘’"
+#: Signs that are more often punctuation at the ends of a word.
+STARTING, ENDING = OPENING + "(|+", CLOSING + "!|+("
 #: Costs in nats: reading a sign as a letter, closing a gap, dropping a repeated letter, keeping a raw sign.
 READ, CLOSE, DROP, KEEP = -1.0, -0.5, -1.0, -4.0
 FEATURE_SIZES = (4, 5, 6)
@@ -127,7 +135,7 @@ def lattice(token: str) -> list[list[tuple[int | None, float, str]]]:
 
 def decode(token: str, model: np.ndarray) -> str:
     """The best reading of a lower-case token under the character model."""
-    states = {(0, 0): (0.0, "")}
+    states: dict = {(0, 0): (0.0, None)}  # score, and what is written as a chain from its end
     for options in lattice(token):
         following: dict = {}
         for (a, b), (score, written) in states.items():
@@ -137,9 +145,14 @@ def decode(token: str, model: np.ndarray) -> str:
                 else:
                     state, value = (b, symbol), score + cost + float(model[a, b, symbol])
                 if state not in following or value > following[state][0]:
-                    following[state] = (value, written + out)
+                    following[state] = (value, (written, out))
         states = following
-    return max((score + float(model[a, b, 0]), written) for (a, b), (score, written) in states.items())[1]
+    chain = max(((score + float(model[a, b, 0]), w) for (a, b), (score, w) in states.items()), key=lambda x: x[0])[1]
+    parts = []
+    while chain is not None:
+        chain, out = chain
+        parts.append(out)
+    return "".join(reversed(parts))
 
 
 class Restorer:
@@ -149,22 +162,28 @@ class Restorer:
         self.model, self.known = model, {}
 
     def reading(self, raw: str) -> list[str]:
-        if raw not in self.known:
+        raw = LONG.sub(r"\1\1\1", raw)
+        if raw in self.known:
+            return self.known[raw]
+        read = [] if NUMBER.fullmatch(raw) else [w.strip(EDGE) for w in decode(raw, self.model).split()]
+        if len(raw) <= KEPT_SIZE:
             if len(self.known) > CACHE_ENTRIES:
                 self.known.clear()
-            # longer strings of signs and digits are codes and numbers, not disguised words
-            plausible = len(raw) <= 40 and any(c.isalpha() for c in raw)
-            self.known[raw] = decode(raw, self.model).split() if plausible else []
-        return self.known[raw]
+            self.known[raw] = read
+        return read
 
     def restored(self, text: str, tokens: set[str]) -> set[str]:
         """Readings of the disguised words of a lower-case text."""
         marks = [pattern for pattern in (MARKED, TRIPLE) if pattern.search(text)]
         found: set[str] = set()
         for token in {t for pattern in marks for t in tokens if pattern.search(t)}:
-            found.update(self.reading(token.lstrip(OPENING).rstrip(CLOSING)))
+            word = token.lstrip(OPENING).rstrip(CLOSING)
+            # signs at the ends may be letters or punctuation
+            for form in {word, word.rstrip(ENDING), word.lstrip(STARTING), word.lstrip(STARTING).rstrip(ENDING)}:
+                if any(pattern.search(form) for pattern in marks):
+                    found.update(self.reading(form))
         for match in SPACED.finditer(text):
-            found.update(decode(match.group(), self.model).split())
+            found.update(self.reading(match.group()))
         return found
 
     def marked(self, text: str) -> str:
