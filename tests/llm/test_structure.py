@@ -167,3 +167,11 @@ def test_every_disguise_reaches_the_lattice():
         for form in written:
             assert word in restorer.marked(f"hello {form} world")[1:-1].split(toxicity.END + toxicity.START), form
     assert restorer.restored("it is 2024 455", {"it", "is", "2024", "455"}) == set()
+
+
+def test_sample_bounds_rows(spark):
+    rows = [(1, f"text {i}", "en", "s", 0) for i in range(30)] + [(2, "one", "en", "s", 0)] * 20 + [(3, None, "en", "s", 0)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(documents(spark, rows), labels, 10).count() == 10
+    whole = toxicity.labelled_sample(documents(spark, rows), labels, 100).collect()
+    assert Counter(r.toxic for r in whole) == {1: 30, 0: 2} and {r.text for r in whole} == {r[1] for r in rows}

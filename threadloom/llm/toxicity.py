@@ -7,7 +7,7 @@
    for every sign read, letter dropped and gap closed; Viterbi search takes the reading that the character
    model likes best. Words without such marks are not touched.
 3. The restored words and their character 4- to 6-grams are features of a logistic model with an L1 penalty.
-   It is fitted on at most ``sample`` labelled rows (of the folds given), those of least id hash. Candidate
+   It is fitted on at most ``sample`` different labelled rows (of the folds given), those of least hash. Candidate
    features are the ``candidates`` ones with the strongest association to the label in that sample.
 
 Whole texts are scored. A null or empty text has no features and gets the model's base score. Repeated rows
@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import source, table
+from .common import row_key, source, table
 from .encode import CACHE_ENTRIES
 
 #: Symbols of the character model; place 0 is the gap between words, 63 any other character.
@@ -208,11 +208,14 @@ def text_features(marked: str) -> set[str]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """``text, toxic`` of at most ``sample`` labelled ids, those of least hash."""
+    """``text, toxic`` of at most ``sample`` labelled rows, those of least hash; equal rows count once."""
     rows = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # the sample's ids are bounded by the parameter
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "toxic")
+    keyed = docs.select("doc_id", *row_key({"doc_id": F.col("doc_id"), "text": F.col("text")}), "text")
+    # the sample's ids are bounded by the parameter, and so are its rows
+    chosen = keyed.join(F.broadcast(rows), "doc_id").select("k1", "k2", "toxic").distinct().orderBy("k1", "k2").limit(sample)
+    chosen = keyed.join(F.broadcast(table(chosen)), ["k1", "k2"])
+    return chosen.dropDuplicates(["k1", "k2"]).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = 16_000, candidates: int = 3_000):
