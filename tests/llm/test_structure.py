@@ -175,3 +175,9 @@ def test_sample_bounds_rows(spark):
     assert toxicity.labelled_sample(documents(spark, rows), labels, 10).count() == 10
     whole = toxicity.labelled_sample(documents(spark, rows), labels, 100).collect()
     assert Counter(r.toxic for r in whole) == {1: 30, 0: 2} and {r.text for r in whole} == {r[1] for r in rows}
+
+
+def test_share_of_siblings_counts_all():
+    nodes = html_extract.parse("<div>" + "<p>a</p>" * 30 + "<h2>b</h2>" * 10 + "</div>")
+    shares = {n.tag: float(row[-3]) for n, row in zip(nodes, html_extract.measures(nodes)) if n.tag in ("p", "h2")}
+    assert shares == {"p": 0.75, "h2": 0.25}

@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,6 +173,7 @@ def measures(nodes: list[Node]) -> np.ndarray:
     above: dict[int, tuple[int, int]] = {}
     rows = np.zeros((len(nodes), 2 * N_GROUPS + 2 * N_TAGS + 14), np.float32)
     order: dict[int, int] = {}
+    alike: dict[int, Counter] = {}  # tags of the children of each parent
     for i, node in enumerate(nodes):
         row, parent = rows[i], node.parent
         groups, tags = above[id(parent)] if parent is not None else (0, 0)
@@ -187,6 +189,8 @@ def measures(nodes: list[Node]) -> np.ndarray:
             row[at + N_TAGS + k] = tags >> k & 1
         at += 2 * N_TAGS
         siblings = parent.children if parent is not None else [node]
+        if id(parent) not in alike:
+            alike[id(parent)] = Counter(s.tag for s in siblings)
         place = order.get(id(parent), 0)
         order[id(parent)] = place + 1
         around = parent.size if parent is not None else node.size
@@ -202,7 +206,7 @@ def measures(nodes: list[Node]) -> np.ndarray:
             np.log1p(len(siblings)),
             node.size / max(1, around),
             np.log1p(around / max(1, len(siblings))),
-            sum(s.tag == node.tag for s in siblings[:20]) / min(20, len(siblings)),
+            alike[id(parent)][node.tag] / max(1, len(siblings)),
             sum(c.tag == "p" for c in node.children),
             parent.links / max(1, parent.size) if parent is not None else 0,
         )
