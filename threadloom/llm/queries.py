@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (
     chat_format,
     decontaminate,
+    fingerprints,
     html_extract,
     near_dedup,
     packing,
@@ -28,6 +29,7 @@ QUERIES = {
         packing.op8_packing,
         toxicity.op9_toxicity,
         quality_rules.op10_quality_rules,
+        fingerprints.op11_simhash,
     )
 }
 
