@@ -11,6 +11,7 @@ from . import (
     packing,
     quality_rules,
     sharding,
+    spelling,
     suffix_dedup,
     token_counts,
     toxicity,
@@ -30,6 +31,7 @@ QUERIES = {
         toxicity.op9_toxicity,
         quality_rules.op10_quality_rules,
         fingerprints.op11_simhash,
+        spelling.op12_spelling,
     )
 }
 
