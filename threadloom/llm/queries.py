@@ -10,6 +10,7 @@ from . import (
     near_dedup,
     packing,
     quality_rules,
+    repair,
     sharding,
     spelling,
     suffix_dedup,
@@ -32,6 +33,7 @@ QUERIES = {
         quality_rules.op10_quality_rules,
         fingerprints.op11_simhash,
         spelling.op12_spelling,
+        repair.op13_repair,
     )
 }
 
