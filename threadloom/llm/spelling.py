@@ -78,37 +78,44 @@ def pivots(grams: list[tuple[int, int]]) -> list[int]:
     return chosen
 
 
-def entries(held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pivots and prefixes of ``held(word)``: ``word, gram, at, letters, last`` each.
+def ranks(held: DataFrame) -> tuple[dict[str, int], dict[int, int]]:
+    """The place of every gram in the order of all, and the number of words for each place.
 
-    ``last`` is the place of the last gram of the prefix in the order of all grams.
+    There are at most as many grams as pairs of the 90 letters.
     """
-    spelled = held.select("word", F.char_length("word").alias("letters"))
-    cut = F.transform(
-        F.sequence(F.lit(1), F.col("letters") - GRAM + 1),
-        lambda i: F.struct(F.substring(F.col("word"), i, GRAM).alias("gram"), i.alias("at")),
-    )
-    grams = table(spelled.select("word", "letters", F.inline(cut)))
-    numbers = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    # salted by the word's hash: a gram of a third of all words is joined in many parts
-    salts = 64
-    numbers = numbers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    ranked = grams.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(salts)).cast("int")).join(numbers, ["gram", "salt"])
-    listed = ranked.groupBy("word", "letters").agg(F.sort_array(F.collect_list(F.struct("n", "gram", "at"))).alias("grams"))
-    third = F.element_at("grams", GRAM + 1)
-    prefix = F.filter("grams", lambda g: (g["n"] < third["n"]) | (g["n"] == third["n"]) & (g["gram"] <= third["gram"]))
-    shaped = table(listed.select("word", "letters", prefix.alias("prefix"), F.struct(third["n"].alias("n"), third["gram"].alias("gram")).alias("last")))
-
-    @F.pandas_udf("array<int>")
-    def chosen(prefixes):
-        return prefixes.map(lambda grams: pivots([(g["n"], g["at"]) for g in grams]))
-
-    flat = F.inline("prefix")
-    prefixes = shaped.select("word", "letters", "last", flat).select("word", "letters", "last", "gram", "at")
-    piv = shaped.withColumn("places", chosen("prefix")).select(
-        "word", "letters", "last", F.inline(F.filter("prefix", lambda g: F.array_contains(F.col("places"), g["at"])))
+    letters = F.char_length("word")
+    cut = F.transform(F.sequence(F.lit(1), letters - GRAM + 1), lambda i: F.substring(F.col("word"), i, GRAM))
+    counted = held.select(F.explode(cut).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()
+    order = sorted(counted, key=lambda r: (r["n"], r["gram"]))
+    return {r["gram"]: i for i, r in enumerate(order)}, {i: r["n"] for i, r in enumerate(order)}
+
+
+def shaped(held: DataFrame) -> DataFrame:
+    """``held(word, n)`` with its number of ``letters``, prefix (``grams`` and their ``places``), the ``last`` gram of
+    the prefix and the places of its ``pivots``. Grams are their places in the order of all."""
+    place_of, number_of = ranks(held)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            last, grams, places, chosen, stops = [], [], [], [], [0]
+            for word in texts:
+                found = [place_of[word[i : i + GRAM]] for i in range(len(word) - GRAM + 1)]
+                third = sorted(found)[GRAM]
+                prefix = [(g, i + 1) for i, g in enumerate(found) if g <= third]
+                last.append(third)
+                grams += [g for g, _ in prefix]
+                places += [i for _, i in prefix]
+                stops.append(len(grams))
+                chosen.append(pivots([(number_of[g], i) for g, i in prefix]))
+            lists = [pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(v, pa.int32())) for v in (grams, places)]
+            sizes = pa.array([len(w) for w in texts], pa.int32())
+            columns = [batch.column(0), batch.column(1), sizes, pa.array(last, pa.int32()), *lists, pa.array(chosen, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "letters", "last", "grams", "places", "pivots"])
+
+    return held.select("word", "n").mapInArrow(
+        run, "word string, n long, letters int, last int, grams array<int>, places array<int>, pivots array<int>"
     )
-    return piv.select("word", "letters", "last", "gram", "at"), prefixes
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -116,12 +123,19 @@ def one_edit(a: Column, b: Column) -> Column:
 
 
 def near_pairs(held: DataFrame) -> DataFrame:
-    """``word, other``: all words of ``held`` that are one edit apart, both ways."""
-    piv, prefixes = entries(held)
+    """``a, a_n, b, b_n``: every two words of ``held(word, n)`` that are one edit apart, once."""
+    known = table(shaped(held))
+    flat = known.select("word", "n", "letters", "last", "pivots", F.inline(F.arrays_zip("grams", "places")))
+    flat = flat.withColumnsRenamed({"grams": "gram", "places": "at"})
+    # the edit is on one side of a gram that it leaves alone, so the letters on the other side are equal
+    before = F.hash(F.substring(F.col("word"), F.lit(1), F.col("at") - 1)).alias("before")
+    after = F.hash(F.substring(F.col("word"), F.col("at") + GRAM, F.col("letters"))).alias("after")
+    prefixes = flat.select("word", "n", "letters", "last", "gram", "at", before, after)
     # the same place, or, for a letter more or less, the same or the next
     steps = [(0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1)]
     moves = F.array(*(F.struct((F.col("letters") + d).alias("letters"), (F.col("at") + p).alias("at")) for d, p in steps))
-    asked = piv.select("word", "last", "gram", F.inline(moves))
+    chosen = flat.filter(F.array_contains("pivots", F.col("at")))
+    asked = chosen.select("word", "n", "last", "gram", before, after, F.inline(moves))
     left, right = asked.alias("x"), prefixes.alias("y")
     met = left.join(
         right,
@@ -129,18 +143,25 @@ def near_pairs(held: DataFrame) -> DataFrame:
         & (F.col("x.at") == F.col("y.at"))
         & (F.col("x.letters") == F.col("y.letters"))
         & (F.col("x.last") <= F.col("y.last"))
+        & ((F.col("x.before") == F.col("y.before")) | (F.col("x.after") == F.col("y.after")))
         & (F.col("x.word") != F.col("y.word"))
         & one_edit(F.col("x.word"), F.col("y.word")),
     )
-    found = met.select(F.col("x.word").alias("word"), F.col("y.word").alias("other"))
-    return found.unionByName(found.select(F.col("other").alias("word"), F.col("word").alias("other"))).distinct()
+    ordered = F.when(F.col("x.word") < F.col("y.word"), F.struct("x.word", "x.n", "y.word", "y.n")).otherwise(
+        F.struct("y.word", "y.n", "x.word", "x.n")
+    )
+    found = met.select(ordered.cast("struct<a:string,a_n:bigint,b:string,b_n:bigint>").alias("p")).select("p.*")
+    return found.distinct()
 
 
 def variants(held: DataFrame, times: int = TIMES) -> DataFrame:
     """``word, form, root, n, n_near, form_n`` of ``held(word, n)``."""
     held = table(held)
-    near = table(near_pairs(held))
-    numbered = near.join(held.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
+    both = F.array(
+        F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("other_n")),
+        F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("a_n").alias("other_n")),
+    )
+    numbered = near_pairs(held).select(F.inline(both))
     # the least of the negated number and the word is the commonest, of equal ones the first
     best = numbered.groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("n"), F.col("other").alias("word"))).alias("best")
