@@ -127,23 +127,20 @@ def near_pairs(held: DataFrame) -> DataFrame:
     known = table(shaped(held))
     flat = known.select("word", "n", "letters", "last", "pivots", F.inline(F.arrays_zip("grams", "places")))
     flat = flat.withColumnsRenamed({"grams": "gram", "places": "at"})
-    # the edit is on one side of a gram that it leaves alone, so the letters on the other side are equal
-    before = F.hash(F.substring(F.col("word"), F.lit(1), F.col("at") - 1)).alias("before")
-    after = F.hash(F.substring(F.col("word"), F.col("at") + GRAM, F.col("letters"))).alias("after")
-    prefixes = flat.select("word", "n", "letters", "last", "gram", "at", before, after)
-    # the same place, or, for a letter more or less, the same or the next
-    steps = [(0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1)]
-    moves = F.array(*(F.struct((F.col("letters") + d).alias("letters"), (F.col("at") + p).alias("at")) for d, p in steps))
+    # the edit is on one side of a gram that it leaves alone: on the other side the letters and their number are equal
+    before = F.xxhash64(F.lit("before"), "gram", F.substring(F.col("word"), F.lit(1), F.col("at") - 1), "at")
+    after = F.xxhash64(
+        F.lit("after"), "gram", F.substring(F.col("word"), F.col("at") + GRAM, F.col("letters")), F.col("letters") - F.col("at")
+    )
+    prefixes = flat.select("word", "n", "letters", "last", F.explode(F.array(before, after)).alias("key"))
     chosen = flat.filter(F.array_contains("pivots", F.col("at")))
-    asked = chosen.select("word", "n", "last", "gram", before, after, F.inline(moves))
+    asked = chosen.select("word", "n", "letters", "last", F.explode(F.array(before, after)).alias("key"))
     left, right = asked.alias("x"), prefixes.alias("y")
     met = left.join(
         right,
-        (F.col("x.gram") == F.col("y.gram"))
-        & (F.col("x.at") == F.col("y.at"))
-        & (F.col("x.letters") == F.col("y.letters"))
+        (F.col("x.key") == F.col("y.key"))
         & (F.col("x.last") <= F.col("y.last"))
-        & ((F.col("x.before") == F.col("y.before")) | (F.col("x.after") == F.col("y.after")))
+        & (F.abs(F.col("x.letters") - F.col("y.letters")) <= 1)
         & (F.col("x.word") != F.col("y.word"))
         & one_edit(F.col("x.word"), F.col("y.word")),
     )
