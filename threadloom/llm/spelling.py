@@ -122,19 +122,34 @@ def one_edit(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b, 1) == 1
 
 
+def _keys() -> list[Column]:
+    """Hashes that two words one edit apart have in common, for a gram that the edit leaves alone.
+
+    The edit is on one side of the gram; on the other the letters and their number are equal. If the side of the
+    edit has four letters or more in both words, their first two or their last two are equal as well.
+    """
+    word, at, letters = F.col("word"), F.col("at"), F.col("letters")
+    ahead, behind = at - 1, letters - at - 1
+    left, right = F.substring(word, F.lit(1), ahead), F.substring(word, at + GRAM, behind)
+    found = []
+    for name, equal, edited, size in (("before", left, right, behind), ("after", right, left, ahead)):
+        place = [F.lit(name), F.col("gram"), equal, F.length(equal)]
+        found += [
+            F.when(size <= 4, F.xxhash64(*place)),
+            F.when(size >= 4, F.xxhash64(*place, F.lit("first"), F.substring(edited, 1, 2))),
+            F.when(size >= 4, F.xxhash64(*place, F.lit("last"), F.substring(edited, -2, 2))),
+        ]
+    return found
+
+
 def near_pairs(held: DataFrame) -> DataFrame:
     """``a, a_n, b, b_n``: every two words of ``held(word, n)`` that are one edit apart, once."""
     known = table(shaped(held))
     flat = known.select("word", "n", "letters", "last", "pivots", F.inline(F.arrays_zip("grams", "places")))
     flat = flat.withColumnsRenamed({"grams": "gram", "places": "at"})
-    # the edit is on one side of a gram that it leaves alone: on the other side the letters and their number are equal
-    before = F.xxhash64(F.lit("before"), "gram", F.substring(F.col("word"), F.lit(1), F.col("at") - 1), "at")
-    after = F.xxhash64(
-        F.lit("after"), "gram", F.substring(F.col("word"), F.col("at") + GRAM, F.col("letters")), F.col("letters") - F.col("at")
-    )
-    prefixes = flat.select("word", "n", "letters", "last", F.explode(F.array(before, after)).alias("key"))
-    chosen = flat.filter(F.array_contains("pivots", F.col("at")))
-    asked = chosen.select("word", "n", "letters", "last", F.explode(F.array(before, after)).alias("key"))
+    keys = F.explode(F.array_compact(F.array(*_keys()))).alias("key")
+    prefixes = flat.select("word", "n", "letters", "last", keys)
+    asked = flat.filter(F.array_contains("pivots", F.col("at"))).select("word", "n", "letters", "last", keys)
     left, right = asked.alias("x"), prefixes.alias("y")
     met = left.join(
         right,
