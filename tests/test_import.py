@@ -123,7 +123,7 @@ def test_streams_import_once_and_index_once(spark):
 def rows_of(spark, store):
     """Contents of all tables without the times of the run."""
     out = {}
-    for name in sorted(os.listdir(store)):
+    for name in sorted(n for n in os.listdir(store) if not n.endswith(".layout")):
         df = spark.read.parquet(f"{store}/{name}")
         df = df.drop(*[c for c in ("seq", "at", "file") if c in df.columns])
         if name == "index_state":
@@ -176,7 +176,7 @@ def test_index_is_completed_by_the_next_delivery(spark, monkeypatch):
 
         def failing(*args, **kwargs):
             calls.append(None)
-            if len(calls) == lost + 1:
+            if len(calls) >= lost + 1:
                 raise OSError("lost")
             return real(*args, **kwargs)
 

@@ -12,17 +12,25 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, text as tx
-from ..session import durable
+from ..session import stored
+
+BROADCAST_BYTES = 64 * 1024 * 1024
+LOOKUP_BYTES = 256
+#: Matches of the rarest terms of a query that its first bound is taken from.
+SAMPLE_ROWS = 20_000
+#: Scores are ranked at nine decimals, and their sums depend on the order by less than this.
+ROUNDING = 1e-8
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
     """``postings(token, chunk_id, freq, size)``, ``documents(chunk_id, title_tokens, body_tokens)``,
-    ``totals(documents, mean_size)`` (one row)."""
+    ``totals(documents, mean_size)`` (one row), ``vocabulary(token, df)``."""
 
     postings: DataFrame
     documents: DataFrame
     totals: DataFrame
+    vocabulary: DataFrame
 
 
 def build_index(chunks: DataFrame, title_weight: float = 1.0, body_weight: float = 1.0) -> LexicalIndex:
@@ -49,7 +57,18 @@ def build_index(chunks: DataFrame, title_weight: float = 1.0, body_weight: float
         F.count(F.lit(1)).alias("documents"),
         (F.sum("size") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("mean_size"),
     )
-    return LexicalIndex(postings, documents, totals)
+    return LexicalIndex(postings, documents, totals, vocabulary_of(postings))
+
+
+def vocabulary_of(postings: DataFrame) -> DataFrame:
+    """``(token, df)``: every token and the number of chunks that hold it."""
+    return postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+def stored_index(index: LexicalIndex) -> LexicalIndex:
+    """The index written once; the vocabulary is counted from the written postings."""
+    postings = stored(index.postings)
+    return LexicalIndex(postings, stored(index.documents), stored(index.totals), stored(vocabulary_of(postings)))
 
 
 # --------------------------------------------------------------------------- query terms
@@ -113,61 +132,67 @@ def _occurrences(tokens: Column, wanted: Column, prefix: Column) -> Column:
     return F.coalesce(F.size(F.filter(starts, here)), F.lit(0))
 
 
-def match(index: LexicalIndex, terms: DataFrame, title_weight: float = 1.0, body_weight: float = 1.0) -> DataFrame:
-    """``(term, chunk_id, freq, size)`` for every distinct term: all chunks it occurs in."""
-    postings = index.postings
-    distinct = terms.select(_term_key().alias("term"), "tokens", "prefix").dropDuplicates(["term"])
-    single = distinct.filter((F.size("tokens") == 1) & ~F.col("prefix"))
-    exact = postings.join(single.select("term", F.col("tokens")[0].alias("token")), "token").select(
-        "term", "chunk_id", "freq", "size"
-    )
+def lookups(index: LexicalIndex, terms: DataFrame) -> DataFrame:
+    """``(term, kind, token)``: the tokens whose postings answer ``terms(term, tokens, prefix)``.
+
+    Single tokens are looked up as they are, prefixes by all tokens of the vocabulary that begin with them, and
+    phrases by the token that the fewest chunks hold.
+    """
+    single = terms.filter((F.size("tokens") == 1) & ~F.col("prefix"))
+    exact = single.select("term", F.lit("exact").alias("kind"), F.col("tokens")[0].alias("token"))
     # prefixes meet the vocabulary on their first characters, then exactly
     head = 4
-    prefixes = distinct.filter((F.size("tokens") == 1) & F.col("prefix")).select(
+    prefixes = terms.filter((F.size("tokens") == 1) & F.col("prefix")).select(
         "term",
         F.col("tokens")[0].alias("start"),
         F.least(F.length(F.col("tokens")[0]), F.lit(head)).alias("_len"),
         F.substring(F.col("tokens")[0], 1, head).alias("_head"),
     )
-    vocabulary = postings.select("token").distinct()
-    heads = vocabulary.select("token", F.explode(F.sequence(F.lit(1), F.lit(head))).alias("_len"))
+    heads = index.vocabulary.select("token", F.explode(F.sequence(F.lit(1), F.lit(head))).alias("_len"))
     heads = heads.filter(F.length("token") >= F.col("_len")).withColumn(
         "_head", F.substring(F.col("token"), F.lit(1), F.col("_len"))
     )
     expanded = heads.join(prefixes, ["_len", "_head"]).filter(F.startswith("token", "start"))
+    # every full token of a phrase may serve; a phrase with a token that occurs nowhere cannot match
+    full = F.when(F.col("prefix"), F.slice("tokens", 1, F.size("tokens") - 1)).otherwise(F.col("tokens"))
+    needed = terms.filter(F.size("tokens") > 1).select("term", F.explode(F.array_distinct(full)).alias("token"))
+    rarest = (
+        needed.join(index.vocabulary, "token", "left")
+        .groupBy("term")
+        .agg(F.min_by("token", F.struct("df", "token")).alias("token"), F.min(F.col("df").isNotNull()).alias("_all"))
+        .filter("_all")
+    )
+    return (
+        exact.unionByName(expanded.select("term", F.lit("prefix").alias("kind"), "token"))
+        .unionByName(rarest.select("term", F.lit("phrase").alias("kind"), "token"))
+    )
+
+
+def match(index: LexicalIndex, terms: DataFrame, title_weight: float = 1.0, body_weight: float = 1.0) -> DataFrame:
+    """``(term, chunk_id, freq, size)`` for every distinct term: all chunks it occurs in.
+
+    The postings are read once: what the terms look up is one table of tokens, sent to the tasks if it is small.
+    """
+    distinct = stored(terms.select(_term_key().alias("term"), "tokens", "prefix").dropDuplicates(["term"]))
+    wanted = stored(lookups(index, distinct))
+    if wanted.count() * LOOKUP_BYTES <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
+    found = stored(index.postings.join(wanted, "token").select("term", "kind", "chunk_id", "freq", "size"))
+    exact = found.filter("kind = 'exact'").select("term", "chunk_id", "freq", "size")
     by_prefix = (
-        postings.join(expanded.select("term", "token"), "token")
-        .groupBy("term", "chunk_id", "size")
-        .agg(F.sum("freq").alias("freq"))
+        found.filter("kind = 'prefix'").groupBy("term", "chunk_id", "size").agg(F.sum("freq").alias("freq"))
         .select("term", "chunk_id", "freq", "size")
     )
+    candidates = found.filter("kind = 'phrase'").select("term", "chunk_id", "size").join(distinct, "term")
     return exact.unionByName(by_prefix).unionByName(
-        _match_phrases(index, distinct.filter(F.size("tokens") > 1), title_weight, body_weight)
+        _verified_phrases(candidates, index.documents, title_weight, body_weight)
     )
 
 
-def _match_phrases(index: LexicalIndex, phrases: DataFrame, title_weight: float, body_weight: float) -> DataFrame:
-    # every full token of the phrase may serve for the lookup; the one in the fewest chunks does
-    full = F.when(F.col("prefix"), F.slice("tokens", 1, F.size("tokens") - 1)).otherwise(F.col("tokens"))
-    needed = phrases.select("term", F.explode(F.array_distinct(full)).alias("token"))
-    spread = (
-        index.postings.join(needed.select("token").distinct(), "token", "left_semi")
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("_df"))
-    )
-    # a phrase with a token that occurs nowhere cannot match
-    rarest = (
-        needed.join(spread, "token", "left")
-        .groupBy("term")
-        .agg(F.min_by("token", F.struct("_df", "token")).alias("token"), F.min(F.col("_df").isNotNull()).alias("_all"))
-        .filter("_all")
-        .join(phrases, "term")
-        .select("term", "token", "tokens", "prefix")
-    )
-    candidates = index.postings.join(rarest, "token").select("term", "chunk_id", "size", "tokens", "prefix")
+def _verified_phrases(candidates: DataFrame, documents: DataFrame, title_weight: float, body_weight: float) -> DataFrame:
     exact = F.when(F.col("prefix"), F.slice("tokens", 1, F.size("tokens") - 1)).otherwise(F.col("tokens"))
     present = F.concat("title_tokens", "body_tokens")
-    held = candidates.join(index.documents, "chunk_id").filter(F.size(F.array_except(exact, present)) == 0)
+    held = candidates.join(documents, "chunk_id").filter(F.size(F.array_except(exact, present)) == 0)
     counted = held.withColumn(
         "freq",
         _occurrences(F.col("title_tokens"), F.col("tokens"), F.col("prefix")) * F.lit(float(title_weight))
@@ -183,35 +208,86 @@ def _term_key() -> Column:
 # --------------------------------------------------------------------------- scoring
 
 
-def score(index: LexicalIndex, terms: DataFrame, **weights: float) -> DataFrame:
-    """``(query_id, chunk_id, score)``: summed BM25 of all terms of a query; higher is better.
+@dataclass(frozen=True)
+class Weighed:
+    """``hits(term, chunk_id, part)``: the saturated share of every match; ``weights(query_id, term, weight, most, df)``:
+    the factor of a term in a query and its largest share in any chunk."""
+
+    hits: DataFrame
+    weights: DataFrame
 
-    Statistics are those of the whole index.  A term that occurs twice in a query counts twice.  The
-    matches are written once, because both the document counts and the scores need them.
+
+def weigh(index: LexicalIndex, terms: DataFrame, **options: float) -> Weighed:
+    """Matches of all terms and what they count in each query.
+
+    Statistics are those of the whole index.  A term that occurs twice in a query counts twice.
     """
-    terms = durable(terms)
-    hits = durable(match(index, terms, **weights))
-    spread = hits.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    wanted = terms.groupBy("query_id", _term_key().alias("term")).agg(F.count(F.lit(1)).alias("_times"))
-    idf = F.greatest(
-        F.log((F.col("documents") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(fixed.BM25_MIN_IDF)
-    )
+    terms = stored(terms)
     k1, b = fixed.BM25_K1, fixed.BM25_B
-    saturation = (F.col("freq") * (k1 + 1)) / (
-        F.col("freq") + k1 * (1 - b + b * F.col("size") / F.col("mean_size"))
-    )
-    totals = index.totals.select(F.struct("documents", "mean_size")).scalar()
-    weighted = (
-        wanted.join(spread, "term")
-        .withColumn("_all", totals)
-        .select("query_id", "term", "_df", "_times", "_all.*")
-        .select("query_id", "term", "mean_size", (idf * F.col("_times")).alias("_idf"))
-    )
-    return (
-        hits.join(weighted, "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum(F.col("_idf") * saturation).alias("score"))
+    totals = index.totals.select(F.struct("documents", "mean_size")).first()[0]  # one row
+    documents, mean = totals["documents"], totals["mean_size"] or 1.0
+    part = (F.col("freq") * (k1 + 1)) / (F.col("freq") + k1 * (1 - b + b * F.col("size") / F.lit(float(mean))))
+    hits = stored(match(index, terms, **options).select("term", "chunk_id", part.alias("part")))
+    spread = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
+    wanted = terms.groupBy("query_id", _term_key().alias("term")).agg(F.count(F.lit(1)).alias("_times"))
+    idf = F.greatest(F.log((F.lit(documents) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(fixed.BM25_MIN_IDF))
+    weights = wanted.join(spread, "term").select("query_id", "term", (idf * F.col("_times")).alias("weight"), "most", "df")
+    return Weighed(hits, stored(weights))
+
+
+def score(index: LexicalIndex, terms: DataFrame, **options: float) -> DataFrame:
+    """``(query_id, chunk_id, score)``: summed BM25 of all terms of a query in every chunk; higher is better."""
+    return _summed(weigh(index, terms, **options))
+
+
+def _summed(found: Weighed, weights: DataFrame | None = None) -> DataFrame:
+    weights = found.weights if weights is None else weights
+    pairs = found.hits.join(_small(weights.select("query_id", "term", "weight")), "term")
+    return pairs.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows`` of a written table, marked for broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() * LOOKUP_BYTES <= BROADCAST_BYTES else rows
+
+
+def best(found: Weighed, queries: DataFrame, live: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``(query_id, chunk_id, score)`` of all chunks that can be among the first ``pool`` of their query, in scope.
+
+    Nothing is left out that belongs there.  The rarest terms of a query, up to ``sample_rows`` matches, give a score
+    that its first ``pool`` chunks reach at least.  Terms that together cannot lift a chunk to that score are then
+    only looked up in chunks that other terms have found, and only in those that they can still lift to it.
+    """
+    scope = queries.select("query_id", "pool", "namespaces", "user_id")
+
+    def scoped(scored: DataFrame) -> DataFrame:
+        return (
+            scored.join(live.select("chunk_id", "namespace", "owner"), "chunk_id")
+            .join(scope, "query_id")
+            .filter(in_scope(F.col("namespaces"), F.col("user_id"), F.col("namespace"), F.col("owner")))
+            .drop("namespace", "owner", "namespaces", "user_id")
+        )
+
+    rising = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
+    rare = stored(found.weights.withColumn("_rows", F.sum("df").over(rising)).filter(F.col("_rows") <= sample_rows))
+    most = int(queries.agg(F.max("pool")).first()[0] or 1)
+    first = scoped(_summed(found, rare))
+    reached = top_k(first, F.col("pool"), most, [F.col("score").desc(), F.col("chunk_id")]).filter("rank = pool")
+    # sums are rounded before they are compared, so a little room is left below
+    floor = reached.select("query_id", (F.col("score") - ROUNDING).alias("floor"))
+    adding = Window.partitionBy("query_id").orderBy(F.col("weight") * F.col("most"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    bounded = found.weights.join(floor, "query_id", "left").withColumns(
+        {"_up_to": F.sum(F.col("weight") * F.col("most")).over(adding), "floor": F.coalesce("floor", F.lit(0.0))}
     )
+    bounded = stored(bounded.withColumn("needed", F.col("_up_to") >= F.col("floor")))
+    rest = bounded.filter(~F.col("needed"))
+    slack = rest.groupBy("query_id").agg(F.max("_up_to").alias("slack"), F.max("floor").alias("floor"))
+    started = scoped(_summed(found, bounded.filter("needed"))).join(slack, "query_id", "left")
+    started = stored(started.filter(F.coalesce(F.col("score") + F.col("slack") >= F.col("floor"), F.lit(True))))
+    asked = started.select("query_id", "chunk_id").join(_small(rest.select("query_id", "term", "weight")), "query_id")
+    more = asked.join(found.hits, ["term", "chunk_id"]).select("query_id", "chunk_id", (F.col("weight") * F.col("part")).alias("score"))
+    parts = started.select("query_id", "chunk_id", "score").unionByName(more)
+    return parts.groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
 
 
 def in_scope(namespaces: Column, user: Column, namespace: Column, owner: Column) -> Column:
@@ -236,13 +312,8 @@ def lexical_search(
     ``queries(query_id, query, pool, namespaces, user_id)``; ``live(chunk_id, namespace, owner)`` holds the
     chunks of current, not deleted revisions of the active generation.
     """
-    scored = score(index, query_terms(queries), title_weight=title_weight, body_weight=body_weight)
-    allowed = (
-        scored.join(live.select("chunk_id", "namespace", "owner"), "chunk_id")
-        .join(queries.select("query_id", "pool", "namespaces", "user_id"), "query_id")
-        .filter(in_scope(F.col("namespaces"), F.col("user_id"), F.col("namespace"), F.col("owner")))
-        .select("query_id", "chunk_id", "score", "pool")
-    )
+    found = weigh(index, query_terms(queries), title_weight=title_weight, body_weight=body_weight)
+    allowed = best(found, queries, live).join(queries.select("query_id", "pool"), "query_id")
     # scores are compared at nine decimals, so that the order of summation cannot change a rank
     ranked = top_k(
         allowed.withColumn("_s", F.round("score", 9)),

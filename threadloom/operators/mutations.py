@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
 
-from ..functions import fixed, text as tx
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions import text as tx
 from ..functions.ids import domain_id
+from ..session import stored
+from .revisions import revisions
+
+REVISION_COLUMNS = ["revision_id", "segment_hash", "segment_id", "content_hash", "node_count"]
 
 
 # --------------------------------------------------------------------------- optimistic append
@@ -56,6 +62,68 @@ def appended_nodes(applied: DataFrame, heads: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Appended:
+    """``outcomes(request_id, outcome)``; ``revisions`` and ``nodes`` of every append on the current base, also of those
+    that lost; ``claims(base_revision_id, revision_id, request_id)``: the one that follows each base."""
+
+    outcomes: DataFrame
+    revisions: DataFrame
+    nodes: DataFrame
+    claims: DataFrame
+
+
+def append_revisions(appends: DataFrame, heads: DataFrame, nodes: DataFrame, at: Column) -> Appended:
+    """New revisions for ``appends(request_id, conversation_id, base_revision_id, seq, messages, tags)``.
+
+    ``heads(conversation_id, revision_id, current_node, active_messages, tags, ...)`` are the current revisions with
+    their headers, ``nodes(revision_id, ...)`` their nodes.  A new revision holds the nodes of its base and the
+    appended ones, the tags of both without repeats, and the time of the append; its id follows from its content.
+    Of several appends on one base the first by ``seq`` and request goes on as the current revision; the others are
+    written as well, so their content can be read by its id, and are reported as conflicts.
+    """
+    applied, rejected = split_appends(appends, heads)
+    outcomes = rejected.select("request_id", F.col("reason").alias("outcome")).unionByName(
+        applied.select("request_id", F.lit("applied").alias("outcome"))
+    )
+    header = [c for c in heads.columns if c not in ("current_node", "updated_at", "tags", *REVISION_COLUMNS)]
+    based = appends.withColumnRenamed("tags", "_added").join(
+        heads.select(*header, F.col("revision_id").alias("base_revision_id"), F.col("current_node"), F.col("tags")), ["conversation_id", "base_revision_id"]
+    )
+    based = stored(based)
+    asked = based.select("request_id", "conversation_id", "messages")
+    fresh = appended_nodes(asked, based.select("conversation_id", "current_node", "active_messages").distinct())
+    last = fresh.filter("is_leaf").select("request_id", F.col("node_id").alias("_last"))
+    carried = [c for c in nodes.columns if c not in ("revision_id", "conversation_id")]
+    # nodes of the base are copied once for each append on it
+    kept = based.select("request_id", "conversation_id", F.col("base_revision_id").alias("revision_id")).join(
+        nodes.drop("conversation_id"), "revision_id"
+    )
+    # the node that is appended to is no leaf any more
+    ends = based.select("request_id", F.col("current_node").alias("node_id"), F.lit(True).alias("_end"))
+    kept = kept.join(ends, ["request_id", "node_id"], "left")
+    if "is_leaf" in carried:
+        kept = kept.withColumn("is_leaf", F.col("is_leaf") & F.col("_end").isNull())
+    known = {f.name: f.dataType for f in nodes.schema.fields}
+    added = fresh.select(
+        "request_id", "conversation_id", *[(F.col(c) if c in fresh.columns else F.lit(None)).cast(known[c]).alias(c) for c in carried]
+    )
+    every = stored(kept.select("request_id", "conversation_id", *carried).unionByName(added))
+    headers = based.join(last, "request_id").select(
+        "request_id",
+        *header,
+        "base_revision_id",
+        F.col("_last").alias("current_node"),
+        at.alias("updated_at"),
+        tx.normalize_tags(F.concat("tags", F.coalesce("_added", F.array().cast("array<string>")))).alias("tags"),
+        "seq",
+    )
+    made = stored(revisions(headers, every, "request_id"))
+    claims = made.join(applied.select("request_id"), "request_id", "left_semi").select("base_revision_id", "revision_id", "request_id")
+    owned = every.join(made.select("request_id", "revision_id"), "request_id").drop("request_id")
+    return Appended(outcomes, made, owned, claims)
+
+
 # --------------------------------------------------------------------------- tags
 
 
@@ -118,17 +186,6 @@ def delete_report(requests: DataFrame, conversations: DataFrame, failures: DataF
     return rows.select("request_id", "conversation_id", outcome.alias("outcome"), F.when(F.col("_found"), stage).alias("stage"))
 
 
-def tombstones(report: DataFrame, existing: DataFrame, at) -> DataFrame:
-    """Rows to append to the tombstone log: first deletion wins; failed ones stay hidden, too."""
-    gone = report.filter(F.col("outcome").isin("deleted", "failed")).select("conversation_id").distinct()
-    return gone.join(existing.select("conversation_id"), "conversation_id", "left_anti").withColumn("deleted_at", at)
-
-
-def compact(rows: DataFrame, tombs: DataFrame, key: str = "conversation_id") -> DataFrame:
-    """A table without the rows of deleted conversations; readers exclude them long before this runs."""
-    return rows.join(tombs.select(key), key, "left_anti")
-
-
 def orphan_segments(segments: DataFrame, links: DataFrame) -> DataFrame:
     """Segments that no remaining revision refers to."""
     return segments.join(links.select("segment_id").distinct(), "segment_id", "left_anti")

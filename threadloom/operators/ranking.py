@@ -287,7 +287,9 @@ def _total(items: Column) -> Column:
     return F.aggregate(items, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def rank(candidates: DataFrame, rows: DataFrame, queries: DataFrame, tags: DataFrame) -> DataFrame:
+def rank(
+    candidates: DataFrame, rows: DataFrame, queries: DataFrame, tags: DataFrame, signals: DataFrame | None = None
+) -> DataFrame:
     """Score every candidate.
 
     ``candidates`` from :func:`unite`; ``rows(chunk_id, conversation_id, title, body,
@@ -296,7 +298,8 @@ def rank(candidates: DataFrame, rows: DataFrame, queries: DataFrame, tags: DataF
     seq)``.  Adds the columns of ``COMPONENTS``, ``sources``, ``conversation_tags`` and ``body_exact``;
     bodies are left behind.
 
-    Texts are shuffled once, by chunk, before they are analysed.  Query signals are sent to the tasks when
+    ``signals`` are the stored ones of :mod:`.signals`, met by the ``text_key`` of the rows, which then need no
+    body.  Without them texts are shuffled once, by chunk, and analysed here.  Query signals are sent to the tasks when
     their size, estimated from the query texts, is small; otherwise Spark joins them as it sees fit.
     """
     spark = candidates.sparkSession
@@ -314,8 +317,14 @@ def rank(candidates: DataFrame, rows: DataFrame, queries: DataFrame, tags: DataF
     )
     if count * QUERY_BYTES + text_bytes * SIGNAL_FACTOR <= BROADCAST_BYTES:
         asked = F.broadcast(asked)
-    signals = chunk_signals(rows.repartition(tasks, "chunk_id"))
-    pairs = candidates.join(signals, "chunk_id").join(asked, "query_id")
+    if signals is None:
+        analysed = chunk_signals(rows.repartition(tasks, "chunk_id"))
+    else:
+        keys = rows.select("text_key").distinct()
+        if most * CANDIDATE_BYTES <= BROADCAST_BYTES:
+            keys = F.broadcast(keys)  # at most one per candidate
+        analysed = rows.join(signals.join(keys, "text_key", "left_semi"), "text_key").drop("text_key")
+    pairs = candidates.join(analysed, "chunk_id").join(asked, "query_id")
     if "owner" in rows.columns:
         pairs = pairs.filter(in_scope(F.col("namespaces"), F.col("user_id"), F.col("_ns"), F.col("owner"))).drop("_ns", "owner")
     kept = [c for c in pairs.columns if c[:2] not in ("t_", "q_") and c not in ("namespaces", "user_id")]

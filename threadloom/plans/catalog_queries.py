@@ -208,7 +208,10 @@ def orphan_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_state_latest(spark: SparkSession, d: str) -> DataFrame:
-    rows = state.latest_state(search_queries.index_events(spark, d))
+    return state_rows(state.latest_state(search_queries.index_events(spark, d)))
+
+
+def state_rows(rows: DataFrame) -> DataFrame:
     at = lambda c: F.coalesce(ids.iso(F.col(c)), F.lit("")).alias(c)
     return rows.select(
         "revision_id", "status", "attempts", at("queued_at"), at("started_at"), at("indexed_at"), at("failed_at"), at("updated_at")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed, ids, text as tx
-from ..operators import chunking, graph, lexical, ranking, recent, revisions, semantic, state
-from ..session import durable
+from ..operators import chunking, graph, lexical, probing, ranking, recent, revisions, semantic, signals, state
+from ..session import checkpoint_dir, durable, stored
 from . import corpus, search
 
 PHRASES = [p for _, phrases, _ in fixed.CONCEPTS for p in phrases]
@@ -53,7 +54,10 @@ def search_requests(spark: SparkSession, d: str) -> DataFrame:
 
 def index_events(spark: SparkSession, d: str) -> DataFrame:
     """``events`` as the index life cycle of the conversation numbered ``user_id``."""
-    rows = corpus.table(spark, d, "events")
+    return life_cycle(corpus.table(spark, d, "events"))
+
+
+def life_cycle(rows: DataFrame) -> DataFrame:
     status = F.element_at(F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv]), F.col("event_type"))
     return rows.select(
         F.concat(F.lit("c"), "user_id").alias("conversation_id"),
@@ -79,11 +83,12 @@ _BUILT: dict[tuple[str, str], Built] = {}
 def index_corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Canonical nodes, revisions, branch paths and chunks of the whole model, written once."""
     raw = search_nodes(spark, d)
-    heads = durable(revisions.revisions(corpus.headers(spark, d), raw))
-    nodes = durable(raw.join(heads.select("conversation_id", "revision_id"), "conversation_id"))
-    paths = durable(graph.branches(nodes, heads, "revision_id"))
+    heads = stored(revisions.revisions(corpus.headers(spark, d), raw))
+    nodes = stored(raw.join(heads.select("conversation_id", "revision_id"), "conversation_id"))
+    paths = stored(graph.branches(nodes, heads, "revision_id"))
     header = heads.select("revision_id", "conversation_id", "title", "namespace", "updated_at")
-    return heads, nodes, paths, durable(chunking.chunk(nodes, paths, header, corpus.GENERATION))
+    chunks = chunking.chunk(nodes, paths, header, corpus.GENERATION)
+    return heads, nodes, paths, stored(signals.keyed(chunks))
 
 
 def built(spark: SparkSession, d: str) -> Built:
@@ -94,12 +99,12 @@ def built(spark: SparkSession, d: str) -> Built:
     heads, nodes, paths, chunks = index_corpus(spark, d)
     current = heads.select("conversation_id", "revision_id", "namespace", F.col("user_id").alias("owner"))
     latest = state.latest_state(index_events(spark, d)).withColumnRenamed("revision_id", "conversation_id")
-    status = durable(latest.join(heads.select("conversation_id", "revision_id"), "conversation_id"))
+    status = stored(latest.join(heads.select("conversation_id", "revision_id"), "conversation_id"))
     waiting = status.filter(F.col("status").isin("queued", "processing")).select("revision_id")
     indexed = chunks.join(waiting, "revision_id", "left_anti")
     fresh = chunks.join(status.filter(F.col("status").isin(*fixed.PENDING_STATES)).select("revision_id"), "revision_id", "left_semi")
     built_index = lexical.build_index(indexed)
-    index = lexical.LexicalIndex(durable(built_index.postings), durable(built_index.documents), built_index.totals)
+    index = lexical.stored_index(built_index)
     vectors = corpus.table(spark, d, "embeddings")
     # the vector numbered like a document or chat belongs to all its chunks
     owned = vectors.select(F.explode(F.array(*[F.concat(F.lit(kind), "vec_id") for kind in "cd"])).alias("conversation_id"), "embedding")
@@ -122,13 +127,14 @@ def built(spark: SparkSession, d: str) -> Built:
             generation_id=corpus.GENERATION,
             chunks=indexed,
             current=current,
-            tags=durable(tags),
+            tags=stored(tags),
             index=index,
             vectors=chunk_vectors,
             state=status,
             recent_chunks=fresh,
             nodes=nodes,
-            active_sizes=durable(sizes),
+            active_sizes=stored(sizes),
+            signals=stored(signals.analysed(indexed.select("title", "body").unionByName(fresh.select("title", "body")))),
         ),
         heads,
         requests,
@@ -178,13 +184,16 @@ def query_variants(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", F.col("variant_no").cast("bigint").alias("variant_no"), "variant")
 
 
-def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Every embedding with a number divisible by 50 asks for its 50 nearest within two labels, over the whole table."""
-    rows = corpus.table(spark, d, "embeddings")
-    vectors = rows.select(
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.table(spark, d, "embeddings").select(
         F.concat(F.lit("v"), "vec_id").alias("chunk_id"), corpus.user_of(F.col("vec_id")).alias("owner"),
         F.concat(F.lit("l"), "label").alias("namespace"), "embedding",
     )
+
+
+def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Every embedding with a number divisible by 50 asks for its 50 nearest within two labels, over the whole table."""
+    rows, vectors = corpus.table(spark, d, "embeddings"), _vectors(spark, d)
     asked = rows.filter("vec_id % 50 = 0").select(
         F.concat(F.lit("v"), "vec_id").alias("query_id"),
         F.lit(0).alias("variant_no"),
@@ -197,6 +206,47 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+PROBED_TOP = 10
+
+
+def _probed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """What every embedding with a number divisible by 50 finds in the lists nearest to it, and what there is.
+
+    Every fourth of them looks at the vectors of one owner only.
+    """
+    vectors = _vectors(spark, d)
+    index = probing.build(vectors, f"{checkpoint_dir(spark).rstrip('/')}/probes-{uuid.uuid4().hex}")
+    asked = durable(
+        corpus.table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(
+            F.concat(F.lit("v"), "vec_id").alias("query_id"),
+            F.lit(0).alias("variant_no"),
+            F.col("embedding").alias("vector"),
+            F.lit(PROBED_TOP).alias("top"),
+            F.lit(None).cast("array<string>").alias("namespaces"),
+            F.when(F.col("vec_id") % 200 == 0, corpus.user_of(F.col("vec_id"))).alias("user_id"),
+        )
+    )
+    probes, _ = probing.calibrate(index, asked)
+    return durable(probing.search(index, asked, probes)), semantic.vector_top_k(vectors, asked)
+
+
+def cosine_probed(spark: SparkSession, d: str) -> DataFrame:
+    return _probed(spark, d)[0].select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def cosine_probed_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows the probed search returns, whether they hold nine of ten rows of the exact search, and whether
+    the scores of the rows that both return are equal."""
+    found, exact = _probed(spark, d)
+    keys = ["query_id", "variant_no", "chunk_id"]
+    both = exact.join(found.select(*keys, F.col("score").alias("_s")), keys, "left")
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"),
+        (F.count("_s") >= 0.9 * F.count(F.lit(1))).alias("enough"),
+        F.coalesce(F.bool_and(F.round("_s", 6) == F.round("score", 6)), F.lit(True)).alias("equal_scores"),
+    )
+
+
 def vector_check(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus.table(spark, d, "embeddings")
     return rows.select(
@@ -388,6 +438,8 @@ QUERIES = {
         bm25_topk,
         query_variants,
         cosine_topk,
+        cosine_probed,
+        cosine_probed_recall,
         vector_check,
         semantic_merge,
         recent_candidates,

@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
+from ..operators.lexical import in_scope
+from ..operators.revisions import current_view
 from ..session import durable
 
+#: Hash buckets of a new table; a written table keeps its own number (``bucket_count``).
 BUCKETS = 256
 SEGMENT_FORMAT = "conversation-segment.v1"
 
@@ -23,30 +26,74 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def append_new(rows: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None) -> DataFrame:
+def bucket_count(spark: SparkSession, path: str, buckets: int | None = None) -> int:
+    """The number of buckets of the table at ``path``, a property that is written with it."""
+    kept = f"{path}.layout"
+    try:
+        return int(spark.read.text(kept).first()[0])
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    count = buckets or BUCKETS
+    spark.range(1).select(F.lit(str(count)).alias("value")).coalesce(1).write.mode("overwrite").text(kept)
+    return count
+
+
+def bucket_of(column: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
+
+
+def in_buckets(table: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The rows of a table in some of its ``buckets(bucket)``: only their folders are read."""
+    touched = [r[0] for r in buckets.select("bucket").distinct().collect()]  # at most the number of buckets
+    return table.filter(F.col("bucket").isin(touched)) if touched else table.limit(0)
+
+
+def lookup(spark: SparkSession, path: str, keys: DataFrame, column: str) -> DataFrame | None:
+    """The rows of a table bucketed by ``column`` with one of ``keys(column)``; reads only their buckets."""
+    table = read_table(spark, path)
+    if table is None:
+        return None
+    wanted = keys.select(column).distinct().withColumn("bucket", bucket_of(column, bucket_count(spark, path)))
+    return in_buckets(table, wanted).join(wanted, [column, "bucket"], "left_semi").drop("bucket")
+
+
+def append_new(
+    rows: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None, bucket_by: str | None = None
+) -> DataFrame:
     """Append the rows whose key is not in the table yet; a repeated write adds nothing.  Null keys are equal.
 
-    Returns the appended rows, made durable before the write so that they do not depend on the table.
+    ``bucket_by`` is one of the keys; the table is then laid out by its hash, and only the buckets of the new rows
+    are compared.  Returns the appended rows, made durable before the write so that they do not depend on the table.
     """
     fresh = rows.dropDuplicates(keys)
     existing = read_table(rows.sparkSession, path)
+    if bucket_by is not None:
+        fresh = durable(fresh.withColumn("bucket", bucket_of(bucket_by, bucket_count(rows.sparkSession, path))))
+        partition_by = ["bucket"]
+        if existing is not None:
+            existing = in_buckets(existing, fresh)
+            keys = [*keys, "bucket"]
     if existing is not None:
         known = existing.select(*[F.col(k).alias(f"_known_{k}") for k in keys])
         same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys])
         fresh = fresh.join(known, same, "left_anti")
     fresh = durable(fresh)
+    if bucket_by is not None:
+        fresh.repartition("bucket", F.pmod(F.xxhash64(*keys), F.lit(16))).write.mode("append").partitionBy("bucket").parquet(path)
+        return fresh.drop("bucket")
     fresh.write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
     return fresh
 
 
-def replace_revisions(rows: DataFrame, path: str, revisions: DataFrame, buckets: int = BUCKETS) -> None:
+def replace_revisions(rows: DataFrame, path: str, revisions: DataFrame, buckets: int | None = None) -> None:
     """Replace the derived rows of ``revisions(revision_id, generation_id)`` by ``rows``.
 
     The table is partitioned by generation and a hash bucket of the revision; only the touched
     partitions are rewritten.
     """
     keys = ["revision_id", "generation_id"]
-    bucket = F.pmod(F.xxhash64("revision_id"), F.lit(buckets)).cast("int").alias("bucket")
+    bucket = bucket_of("revision_id", bucket_count(rows.sparkSession, path, buckets)).alias("bucket")
     fresh = rows.withColumn("bucket", bucket)
     existing = read_table(rows.sparkSession, path)
     if existing is not None:
@@ -54,12 +101,44 @@ def replace_revisions(rows: DataFrame, path: str, revisions: DataFrame, buckets:
         kept = existing.join(touched, ["generation_id", "bucket"], "left_semi").join(revisions.select(*keys), keys, "left_anti")
         fresh = kept.unionByName(fresh)
     layout = ["generation_id", "bucket"]
+    _overwrite(fresh, path, layout, None if existing is None else touched)
+
+
+def _overwrite(fresh: DataFrame, path: str, layout: list[str], touched: DataFrame | None) -> None:
     fresh = durable(fresh)
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*layout).parquet(path)
-    if existing is not None:
+    if touched is not None:
         # overwriting leaves a partition alone that has no row any more
         emptied = touched.join(fresh.select(*layout).distinct(), layout, "left_anti").collect()
-        remove(rows.sparkSession, [f"{path}/generation_id={r['generation_id']}/bucket={r['bucket']}" for r in emptied])
+        folders = ["/".join(f"{c}={r[c]}" for c in layout) for r in emptied]
+        remove(fresh.sparkSession, [f"{path}/{folder}" for folder in folders])
+
+
+def rewrite(
+    spark: SparkSession, path: str, doomed: DataFrame, key: str, layout: list[str], bucket_by: str, change: dict[str, Column] | None = None
+) -> None:
+    """Remove the rows with one of ``doomed(key)``, or change some of their columns.
+
+    Only partitions that hold such a row are written again.  If the table is bucketed by the key, only the
+    buckets of ``doomed`` are looked at; otherwise the key column of the table is read to find them.
+    """
+    table = read_table(spark, path)
+    if table is None:
+        return
+    keys = doomed.select(key).distinct()
+    seen = table
+    if bucket_by == key:
+        seen = in_buckets(table, keys.select(bucket_of(key, bucket_count(spark, path)).alias("bucket")))
+    touched = durable(seen.join(keys, key, "left_semi").select(*layout).distinct())
+    if touched.isEmpty():
+        return
+    held = in_buckets(table, touched).join(touched, layout, "left_semi")
+    if change is None:
+        kept = held.join(keys, key, "left_anti")
+    else:
+        hit = held.join(keys.withColumn("_hit", F.lit(True)), key, "left")
+        kept = hit.withColumns({c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in change.items()}).select(*held.columns)
+    _overwrite(kept, path, layout, touched)
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
@@ -103,7 +182,18 @@ def read_segments(spark: SparkSession, path: str, header_schema: str, node_schem
     )
 
 
-def load_current(current: DataFrame, nodes: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
-    """Nodes of current revisions, optionally only inside ``scopes(user_id, namespace)``."""
-    live = current if scopes is None else current.join(scopes, ["user_id", "namespace"], "left_semi")
-    return nodes.join(live.select("revision_id"), "revision_id", "left_semi")
+def load_current(spark: SparkSession, store: str, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(heads, nodes)`` of the current revisions that ``requests(request_id, conversation_id, namespaces, user_id)`` may see.
+
+    ``heads`` has one row per request that is answered, with the whole revision row; deleted conversations and those
+    outside the scope of the request give none.  Both tables are looked up by bucket, so only the buckets of the
+    requested conversations and of their revisions are read.
+    """
+    log = lookup(spark, f"{store}/revisions", requests, "conversation_id")
+    tombstones = lookup(spark, f"{store}/tombstones", requests, "conversation_id")
+    current = durable(current_view(log, tombstones))
+    heads = requests.select(
+        "request_id", "conversation_id", F.col("namespaces").alias("_namespaces"), F.col("user_id").alias("_user")
+    ).join(current, "conversation_id")
+    heads = heads.filter(in_scope(F.col("_namespaces"), F.col("_user"), F.col("namespace"), F.col("user_id"))).drop("_namespaces", "_user")
+    return heads, lookup(spark, f"{store}/nodes", heads, "revision_id")

@@ -18,6 +18,10 @@ from ..session import durable
 from ..sources import canonical, exports
 
 
+#: Single revisions that may fail, before any is indexed, until the batch is given up.
+PROBES = 3
+
+
 def ingest_batch(raw: DataFrame, store: str, user_id: str, generation_id: str, at) -> None:
     """Normalise one batch of export items, append nodes, queue events, the item log and new revisions.
 
@@ -33,9 +37,9 @@ def ingest_batch(raw: DataFrame, store: str, user_id: str, generation_id: str, a
     rows = revisions.revisions(exports.export_headers(once, nodes), nodes, "item_id")
     rows = durable(rows.withColumns({"user_id": F.lit(user_id), "seq": F.unix_micros(at)}))
     owned = nodes.join(rows.select("item_id", "revision_id"), "item_id").drop("item_id")
-    canonical.append_new(owned, f"{store}/nodes", ["revision_id", "node_id"])
+    canonical.append_new(owned, f"{store}/nodes", ["revision_id", "node_id"], bucket_by="revision_id")
     queued = state.transition(rows, generation_id, "queued", at, F.unix_micros(at))
-    canonical.append_new(queued, f"{store}/index_state", ["revision_id", "generation_id", "status"])
+    canonical.append_new(queued, f"{store}/index_state", ["revision_id", "generation_id", "status"], bucket_by="revision_id")
     none = F.lit(None).cast("string")
     done = items.select("file", "ordinal", "item_id").join(rows.select("item_id", "source_id", "conversation_id", "revision_id"), "item_id")
     done = done.drop("item_id").withColumns({"status": F.lit("complete"), "error_code": none, "error_message": none})
@@ -43,8 +47,8 @@ def ingest_batch(raw: DataFrame, store: str, user_id: str, generation_id: str, a
         "file", "ordinal", F.coalesce("id", "conversation_id").alias("source_id"), none.alias("conversation_id"),
         none.alias("revision_id"), F.lit("failed").alias("status"), "error_code", "error_message",
     )
-    canonical.append_new(done.unionByName(failed), f"{store}/import_items", ["file", "ordinal"])
-    canonical.append_new(rows, f"{store}/revisions", ["revision_id"])
+    canonical.append_new(done.unionByName(failed), f"{store}/import_items", ["file", "ordinal"], bucket_by="file")
+    canonical.append_new(rows, f"{store}/revisions", ["conversation_id", "revision_id"], bucket_by="conversation_id")
 
 
 def index_batch(
@@ -57,9 +61,13 @@ def index_batch(
 ) -> None:
     """Chunk the current revisions among ``batch(revision_id, ...)``, build their full-text rows and vectors, mark them.
 
-    Revisions that are no longer current, were deleted or are indexed already get nothing.  The derived
-    rows of a revision are replaced as a whole and the ``indexed`` event is the last write, so a failed
-    batch is made good by the next one.  An error is recorded as ``failed`` and raised again.
+    Revisions that are no longer current, were deleted or are indexed already get nothing; those that failed in
+    an earlier batch are taken again until their attempts are used up.  The derived rows of a revision are replaced
+    as a whole and the ``indexed`` event is the last write, so a failed batch is made good by the next one.
+
+    If a batch fails it is halved until a revision that cannot be indexed stands alone.  It is recorded as ``failed``
+    and the rest goes on.  If one revision after the other fails, up to ``PROBES`` of them, the fault is not theirs:
+    all are recorded as failed and the error is raised, so that the stream delivers the batch again.
     Without ``encode`` there are no vectors.
     """
     spark = batch.sparkSession
@@ -67,30 +75,62 @@ def index_batch(
     nodes = canonical.read_table(spark, f"{store}/nodes")
     if log is None or nodes is None:
         return
-    current = revisions.current_view(log, tombstones)
-    todo = current.join(batch.select("revision_id").distinct(), "revision_id", "left_semi")
+    current = revisions.current_view(log.drop("bucket"), tombstones)
+    wanted = batch.select("revision_id")
     events = canonical.read_table(spark, f"{store}/index_state")
     if events is not None:
-        known = state.latest_state(events.filter(F.col("generation_id") == generation_id))
-        todo = todo.join(known.filter("status = 'indexed'").select("revision_id"), "revision_id", "left_anti")
-    todo = durable(todo)
-
-    def mark(status: str, step: int, **details) -> None:
-        moved = state.transition(details.pop("rows", todo), generation_id, status, at, F.unix_micros(at) + step, **details)
-        canonical.append_new(moved, f"{store}/index_state", ["revision_id", "generation_id", "status", "seq"])
-
-    mark("processing", 1)
-    try:
-        made = _derive(todo, nodes, store, generation_id, encode)
-    except Exception as error:
-        mark("failed", 2, error=str(error))
-        raise
-    counted = todo.join(made.groupBy("revision_id").agg(F.count(F.lit(1)).alias("_chunks")), "revision_id", "left")
-    mark("indexed", 2, rows=counted, chunk_count=F.coalesce("_chunks", F.lit(0)))
+        known = durable(state.latest_state(events.filter(F.col("generation_id") == generation_id)))
+        wanted = wanted.unionByName(known.filter("status = 'failed'").select("revision_id"))
+        settled = known.filter("status = 'indexed'").unionByName(state.dead_letter(known)).select("revision_id")
+        wanted = wanted.join(settled, "revision_id", "left_anti")
+    todo = durable(current.join(wanted.distinct(), "revision_id", "left_semi"))
+
+    def mark(rows: DataFrame, status: str, step: int, **details) -> None:
+        moved = state.transition(rows, generation_id, status, at, F.unix_micros(at) + step, **details)
+        canonical.append_new(
+            moved, f"{store}/index_state", ["revision_id", "generation_id", "status", "seq"], bucket_by="revision_id"
+        )
+
+    mark(todo, "processing", 1)
+    lost: list[Exception] = []
+    done = 0
+
+    def index(part: DataFrame, size: int) -> None:
+        nonlocal done
+        if not size:
+            return
+        try:
+            made = _derive(part, nodes, store, generation_id, encode)
+        except Exception as error:
+            if size > 1 and not (done == 0 and len(lost) >= PROBES):
+                for half in _halves(part):
+                    index(half, half.count())
+                return
+            lost.append(error)
+            mark(part, "failed", 2, error=str(error))
+            return
+        counted = part.join(made.groupBy("revision_id").agg(F.count(F.lit(1)).alias("_chunks")), "revision_id", "left")
+        mark(counted, "indexed", 2, chunk_count=F.coalesce("_chunks", F.lit(0)))
+        done += size
+
+    index(todo, todo.count())
+    if lost and not done:
+        raise lost[0]
+
+
+def _halves(part: DataFrame) -> list[DataFrame]:
+    """Two parts of about equal size, by the order of a hash of the revision ids; neither is empty."""
+    place = F.conv(F.substring(F.sha2("revision_id", 256), 1, 15), 16, 10).cast("bigint")
+    middle = part.agg(F.percentile_approx(place, 0.5)).first()[0]
+    low, high = part.filter(place <= middle), part.filter(place > middle)
+    return [durable(low), durable(high)]
 
 
 def _derive(todo: DataFrame, nodes: DataFrame, store: str, generation_id: str, encode) -> DataFrame:
     """Write chunks, postings, token lists and vectors of the revisions; returns the chunks."""
+    if "bucket" in nodes.columns:
+        buckets = canonical.bucket_count(todo.sparkSession, f"{store}/nodes")
+        nodes = canonical.in_buckets(nodes, todo.select(canonical.bucket_of("revision_id", buckets).alias("bucket"))).drop("bucket")
     owned = nodes.join(todo.select("revision_id"), "revision_id", "left_semi")
     paths = durable(graph.branches(owned, todo, "revision_id"))
     header = todo.select("revision_id", "conversation_id", "title", "namespace", "updated_at")
@@ -146,8 +186,3 @@ def index_stream(
         .foreachBatch(lambda batch, _: index_batch(batch, store, generation_id, F.current_timestamp(), tombstones, encode))
         .start()
     )
-
-
-def latest_state_stream(events: DataFrame) -> DataFrame:
-    """The latest state per key as a streaming aggregation (update or complete mode)."""
-    return state.latest_state(events)
