@@ -1,8 +1,8 @@
 """Token ids of whole texts, with a cache of short pieces.
 
 A text is cut at places that no token crosses, so that ids of the pieces, joined, are the ids of the text.
-Pieces repeat, and only new ones reach the tokenizer. The cache lives as long as the Python worker, until a stage
-that does not use it calls :func:`release`; beyond ``CACHE_ENTRIES`` or ``CACHE_BYTES`` its older half is dropped.
+Pieces repeat, and only new ones reach the tokenizer. The cache lives as long as the Python worker and is
+emptied at ``CACHE_ENTRIES``.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ import unicodedata
 import numpy as np
 
 CACHE_ENTRIES = 400_000
-#: Letters and ids of all pieces; a piece has some 150 bytes of its own beside them.
-CACHE_BYTES = 32 << 20
 
 #: Texts of these characters only are cut into the runs of the tokenizer's own pattern; others at white space.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡«»¿À-ÖØ-öø-ÿŒœ–—‘’“”…]*")
@@ -26,7 +24,7 @@ SPACES = re.compile(r"[ \t\n\r]+")
 
 def worker_state() -> types.SimpleNamespace:
     """State that outlives a task; the functions here are shipped by value and have no module of their own."""
-    return sys.modules.setdefault("_threadloom_worker", types.SimpleNamespace(owner=None, caches={}, sizes={}, tokenizers={}))
+    return sys.modules.setdefault("_threadloom_worker", types.SimpleNamespace(owner=None, caches={}, tokenizers={}))
 
 
 def cache(name: str, owner: str) -> dict:
@@ -35,35 +33,10 @@ def cache(name: str, owner: str) -> dict:
     if state.owner != owner:
         state.owner = owner
         state.caches.clear()
-        state.sizes.clear()
-    return state.caches.setdefault(name, {})
-
-
-def release() -> None:
-    """Drop all pieces of earlier stages; for stages that need the memory of their worker themselves."""
-    state = worker_state()
-    state.owner = None
-    state.caches.clear()
-    state.sizes.clear()
-
-
-def add(known: dict, found) -> None:
-    """Remember ``found``, pairs of a piece and its ids."""
-    sizes = worker_state().sizes
-    size = sizes.get(id(known), 0)
-    for piece, ids in found:
-        known[piece] = ids
-        size += len(piece) + len(ids)
-    sizes[id(known)] = size
-
-
-def bound(known: dict) -> None:
-    """Drop the older half of the pieces if they are too many or too large; call it between texts only."""
-    sizes = worker_state().sizes
-    if len(known) > CACHE_ENTRIES or sizes.get(id(known), 0) > CACHE_BYTES:
-        for piece in list(known)[: (len(known) + 1) // 2]:
-            ids = known.pop(piece)
-            sizes[id(known)] -= len(piece) + len(ids)
+    found = state.caches.setdefault(name, {})
+    if len(found) > CACHE_ENTRIES:
+        found.clear()
+    return found
 
 
 def word_tokenizer(path: str):
@@ -81,17 +54,22 @@ def word_ids(texts, path: str):
     for text in texts:
         plain = PLAIN.fullmatch(text) and "<|" not in text and unicodedata.is_normalized("NFC", text)
         words = SPACES.split(text)
-        bound(words_known)
-        bound(runs_known)
         missing = [w for w in set(words) if w not in words_known]
+        if missing and len(words_known) > CACHE_ENTRIES:
+            words_known.clear()
+            missing = list(set(words))
         if missing and plain:
             pieces = [RUN.findall(w.lower()) for w in missing]
             new = list({p for found in pieces for p in found if p not in runs_known})
-            add(runs_known, zip(new, run_ids(new, path)))
-            add(words_known, ((w, b"".join(map(runs_known.__getitem__, found))) for w, found in zip(missing, pieces)))
+            if new and len(runs_known) > CACHE_ENTRIES:
+                runs_known.clear()
+                new = list({p for found in pieces for p in found})
+            runs_known.update(zip(new, run_ids(new, path)))
+            for word, found in zip(missing, pieces):
+                words_known[word] = b"".join(map(runs_known.__getitem__, found))
         elif missing:
-            found = word_tokenizer(path).encode_batch(missing, add_special_tokens=False)
-            add(words_known, ((w, np.array(ids.ids, "<u4").tobytes()) for w, ids in zip(missing, found)))
+            for word, found in zip(missing, word_tokenizer(path).encode_batch(missing, add_special_tokens=False)):
+                words_known[word] = np.array(found.ids, "<u4").tobytes()
         yield b"".join(map(words_known.__getitem__, words))
 
 
@@ -149,9 +127,11 @@ class PieceModel:
 
     def ids(self, words: list[str]) -> np.ndarray:
         known = self.known
-        bound(known)
         missing = [w for w in set(words) if w not in known]
         if missing:
-            found = self.model.encode(missing, num_threads=1)
-            add(known, ((w, np.array(ids, "<u2").tobytes()) for w, ids in zip(missing, found)))
+            if len(known) > CACHE_ENTRIES:
+                known.clear()
+                missing = list(set(words))
+            for word, ids in zip(missing, self.model.encode(missing, num_threads=1)):
+                known[word] = np.array(ids, "<u2").tobytes()
         return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u2")

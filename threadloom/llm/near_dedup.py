@@ -35,7 +35,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import free, row_key, source, table
 from .components import components
-from .encode import release
 from .hashing import Substrings, mix
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -156,7 +155,6 @@ def sketched(docs: DataFrame) -> DataFrame:
     """``doc_id, k1, k2, same, keys``: identity of the words and sketch keys of each row with words."""
 
     def run(batches):
-        release()
         for batch in batches:
             rows, same, keys = [], [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
