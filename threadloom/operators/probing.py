@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import durable
@@ -131,10 +132,12 @@ def probed(index: ProbeIndex, queries: DataFrame, probes: int, broadcast_bytes:
     )
     keys = ["list", "_v", "_q"]
 
-    def meet(block: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        return _scored(block, some)
+    def meet(block: pa.Table, some: pa.Table) -> pa.Table:
+        found = _scored(block.to_pandas(), some.to_pandas())
+        kinds = {"query_id": pa.string(), "variant_no": pa.int32(), "chunk_id": pa.string(), "score": pa.float64()}
+        return pa.table({name: pa.array(found[name].tolist(), kind) for name, kind in kinds.items()})
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, semantic.RESULT)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, semantic.RESULT)
 
 
 def _scored(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -150,6 +153,8 @@ def search(index: ProbeIndex, queries: DataFrame, probes: int, broadcast_bytes:
 
     Queries that find fewer rows than their limit there are searched for in all lists.
     """
+    if not index.sizes.sum():
+        return queries.sparkSession.createDataFrame([], semantic.RESULT)
     probes = min(probes, len(index.centroids))
     limits = queries.select("query_id", "variant_no", "top")
     most = int(queries.agg(F.max("top")).first()[0] or 1)
