@@ -1,26 +1,27 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
-A text is its sequence of five-word shingles (words as in decontamination: lower-cased, cut at ASCII
-punctuation and space; a text of one to four words is one shingle). Shingles are labelled with their
-occurrence number. Each of ``sketches`` hash functions picks the ``picked`` labelled shingles of least hash
-and keeps them in text order; texts with an equal pick share a bucket. Texts are compared by alignment: with
-m shingles matched in order out of a and b, their similarity is m / (a + b - m), and texts of 0.8 or more are
-linked. At that similarity a pair misses all buckets with a probability of at most 5 in a million, at every
-length: below ``SHORT`` shingles 8 sketches pick one shingle each (a miss is 0.2 ** 8), from there on 36 and for
-long texts 32 sketches pick five. Texts are also sketched like the shortest text that can be similar to them.
+A text is its sequence of words (as in decontamination: lower-cased, cut at ASCII punctuation and space). Texts
+are compared by alignment: with m words matched in order out of a and b, their similarity is m / (a + b - m), and
+texts of 0.8 or more are linked. Texts of 0.8 by five-word shingles are always among them: m shingles in order
+cover m + 4 words.
+
+Sketches only choose candidates. The k-mers of a text (two words; one for texts of fewer than ``SHORT`` words) are
+labelled with their occurrence number; each hash function picks the labelled k-mers of least hash and keeps them in
+text order, and texts with an equal pick share a bucket. Two words rather than five, since a changed word takes
+two of the former and five of the latter with it. Texts are also sketched like the shortest text that can be
+similar to them.
 
 Texts with equal words are one node before anything else, so copies are never paired. In a bucket every node
 meets the most central node only, the one that shares most buckets with others: the original of edited copies
-is nearer to each of them than they are to each other. After that, nodes of different components of a bucket
-are looked at again while this finds links: each meets the most central node of two other components, and in
-buckets of at most ``exhaustive`` nodes all of different components meet. What larger buckets then still hold in
-several components is compared exactly (``overlapping``): a pair can only be similar if enough of its shingles
-occur in several components, and then it shares one of the rarest of these. So of two texts that share a bucket
-either both are in one class or they were compared, or counting their shingles ruled them out.
+is nearer to each of them than they are to each other. What buckets then still hold in several components is
+compared exactly (``overlapping``): a pair can only be similar if enough of its word pairs are common, and then it
+shares one of the rarest of these. So of two texts that share a bucket either both are in one class or they were
+compared, or counting their word pairs ruled them out, whatever the size of the bucket.
 
 A document without words (null, empty, punctuation) is a class of its own. Repeated rows are in one class.
-Ties go to the least id; a class whose ids are all null has a null id. Columns besides id and text are not
-read and pass through ``deduplicated``.
+Ties go to the least id; a class whose ids are all null has a null id. Very long texts are compared whole: an
+alignment holds one bit a word in each row of it. Columns besides id and text are not read and pass through
+``deduplicated``.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +42,20 @@ from .hashing import Substrings, mix
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-SHINGLE, SIMILARITY = 5, 0.8
-SKETCHES, PICKED = 32, 5
-#: Texts of fewer shingles than SHORT have single picks; those of at most MIDDLE have more sketches than longer ones.
-SHORT, SHORT_SKETCHES = 20, 8
-MIDDLE, MIDDLE_SKETCHES = 125, 36
+SIMILARITY = 0.8
+#: Words of a k-mer, sketches, and k-mers picked by each; the second line is for texts of fewer than SHORT words.
+GRAM, SKETCHES, PICKED = 2, 36, 4
+SHORT, SHORT_GRAM, SHORT_SKETCHES, SHORT_PICKED = 20, 1, 24, 3
+#: Bits of the match masks that one alignment may keep.
+MASK_BITS = 1 << 29
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.translate(LOWER) if not text.isascii() else text.lower())
 
 
-def labelled_shingles(normal: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Hashes of the occurrence-labelled shingles of words joined by spaces, in text order."""
+def labelled_grams(normal: bytes, size: int = GRAM) -> np.ndarray:
+    """Hashes of the occurrence-labelled k-mers of words joined by spaces, in text order."""
     gaps = np.flatnonzero(np.frombuffer(normal, np.uint8) == 32)
     starts = np.concatenate([[0], gaps + 1])
     stops = np.concatenate([gaps, [len(normal)]])
@@ -70,7 +73,7 @@ def labelled_shingles(normal: bytes, size: int = SHINGLE) -> np.ndarray:
 
 
 def order_sketches(labelled: np.ndarray, sketches: int = SKETCHES, picked: int = PICKED) -> np.ndarray:
-    """One key per sketch: the picked shingles in text order."""
+    """One key per sketch: the picked k-mers in text order."""
     seeds = mix(np.arange(1, sketches + 1, dtype=np.uint64) << np.uint64(32))
     keys = np.empty(sketches, np.uint64)
     step = max(1, (1 << 21) // len(labelled))  # bounds the memory for very long texts
@@ -89,16 +92,16 @@ def order_sketches(labelled: np.ndarray, sketches: int = SKETCHES, picked: int =
     return keys
 
 
-def sketch_keys(labelled: np.ndarray) -> np.ndarray:
+def sketch_keys(normal: bytes) -> np.ndarray:
     """Keys of a text: two texts that may be similar have those of the shorter one's kind in common."""
-    n, kinds = len(labelled), []
-    # with fewer shingles in common than this, only equal texts are similar
+    n, kinds = normal.count(b" ") + 1, []
+    # with fewer words in common than this, only equal texts are similar
     if n < math.ceil(SIMILARITY / (1 - SIMILARITY) - 1e-9):
         return np.empty(0, np.uint64)
     if math.ceil(SIMILARITY * n - 1e-9) < SHORT:
-        kinds.append(order_sketches(labelled, SHORT_SKETCHES, 1))
+        kinds.append(order_sketches(labelled_grams(normal, SHORT_GRAM), SHORT_SKETCHES, SHORT_PICKED))
     if n >= SHORT:
-        kinds.append(order_sketches(labelled, MIDDLE_SKETCHES if n <= MIDDLE else SKETCHES))
+        kinds.append(order_sketches(labelled_grams(normal), SKETCHES, PICKED))
     return np.concatenate(kinds)
 
 
@@ -117,6 +120,14 @@ def aligned(a: list, b: list, band: int) -> int:
     places: dict = {}
     for i, x in enumerate(a):
         places.setdefault(x, []).append(i)
+    # words of many places keep a mask of them; there are few such words
+    many = max(16, len(a) * len(a) // MASK_BITS)
+    masks = {}
+    for x, found in places.items():
+        if len(found) > many:
+            bits = np.zeros(len(a), np.uint8)
+            bits[found] = 1
+            masks[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
     rows, block = (1 << len(a)) - 1, 64
     for top in range(0, len(b), block):
         left, right = max(0, top - band), min(len(a), top + block + band)
@@ -125,10 +136,13 @@ def aligned(a: list, b: list, band: int) -> int:
         full = (1 << (right - left)) - 1
         row = (rows >> left) & full
         for x in b[top : top + block]:
-            match = 0
-            for i in places.get(x, ()):
-                if left <= i < right:
-                    match |= 1 << (i - left)
+            if x in masks:
+                match = (masks[x] >> left) & full
+            else:
+                match = 0
+                for i in places.get(x, ()):
+                    if left <= i < right:
+                        match |= 1 << (i - left)
             if match:
                 up = row & match
                 row = ((row + up) | (row - up)) & full
@@ -138,39 +152,43 @@ def aligned(a: list, b: list, band: int) -> int:
 
 def similarity(text_a: str, text_b: str, least: float = SIMILARITY) -> float:
     """Similarity of two texts, or 0 if it is below ``least``."""
-    sequences = []
-    for text in (text_a, text_b):
-        found = words(text)
-        k = min(SHINGLE, len(found))
-        sequences.append(list(zip(*(found[i:] for i in range(k)))) if k else [])
-    a, b = sequences
+    a, b = words(text_a), words(text_b)
     if not a or not b or min(len(a), len(b)) < least * max(len(a), len(b)):
         return 0.0
     need = math.ceil(least / (1 + least) * (len(a) + len(b)) - 1e-9)
+    # no alignment matches more than the words in common
+    if (Counter(a) & Counter(b)).total() < need:
+        return 0.0
     m = aligned(a, b, len(a) + len(b) - 2 * need)
     return m / (len(a) + len(b) - m) if m >= need else 0.0
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """``doc_id, k1, k2, same, keys``: identity of the words and sketch keys of each row with words."""
+    """``doc_id, k1, k2, same, size, keys``: identity and number of the words and sketch keys of each row with words."""
 
     def run(batches):
         for batch in batches:
-            rows, same, keys = [], [], []
+            rows, same, sizes, keys = [], [], [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
                 normal = " ".join(words(text or "")).encode("utf-8", "surrogatepass")
                 if normal:
                     rows.append(i)
                     same.append(hashlib.blake2b(normal, digest_size=16).digest())
-                    keys.append(sketch_keys(labelled_shingles(normal)).view(np.int64))
+                    sizes.append(normal.count(b" ") + 1)
+                    keys.append(sketch_keys(normal).view(np.int64))
             kept = batch.select([0, 1, 2]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "k1", "k2", "same", "keys"],
+                [
+                    *kept.columns,
+                    pa.array(same, pa.binary()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(keys, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "k1", "k2", "same", "size", "keys"],
             )
 
     keyed = docs.select("doc_id", *row_key({"doc_id": F.col("doc_id"), "text": F.col("text")}), "text")
-    return keyed.mapInArrow(run, "doc_id long, k1 long, k2 long, same binary, keys array<long>")
+    return keyed.mapInArrow(run, "doc_id long, k1 long, k2 long, same binary, size long, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -194,40 +212,36 @@ def ordered(x, y) -> list:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
-def classes(docs: DataFrame, exhaustive: int = 8) -> DataFrame:
+def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, k1, k2, class_id, n_class, representative`` of every row; the class id is its least doc id."""
     key = row_key({"doc_id": F.col("doc_id"), "text": F.col("text")})
     rows = table(sketched(docs))
     # one row per text: a row of it stands for all
     least = table(rows.groupBy("same").agg(F.min("k1").alias("k1")))
     first = rows.join(least, ["same", "k1"]).dropDuplicates(["same"])
-    nodes = table(first.select("same", "k1", "k2", "keys")).withColumn("v", F.monotonically_increasing_id())
+    nodes = table(first.select("same", "k1", "k2", "size", "keys")).withColumn("v", F.monotonically_increasing_id())
     nodes = table(nodes)
-    members = nodes.select("v", F.explode("keys").alias("key"))
+    members = nodes.select("v", "size", F.explode("keys").alias("key"))
     shared = table(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     members = table(members.join(shared, "key"))
     central = members.groupBy("v").agg(F.sum("n").alias("met"))
     # the order of nodes by how many others they meet; of equal ones the first comes first
-    members = table(members.join(table(central), "v").select("key", "n", "v", F.struct("met", (-F.col("v")).alias("first")).alias("rank")))
+    rank = F.struct("met", (-F.col("v")).alias("first"), "size")
+    members = table(members.join(table(central), "v").select("key", "v", "size", rank.alias("rank")))
     wanted = nodes.select("v", "k1", "k2").join(members.select("v").distinct(), "v")
     # one plan at every size: the nodes of shared buckets grow with the documents, so they are never broadcast
     texts = docs.select(*key, "text").join(table(wanted).hint("merge"), ["k1", "k2"])
     # rows that share both keys are equal, one of them is enough
     texts = table(texts.select("v", "text").dropDuplicates(["v"]))
     hubs = table(members.groupBy("key").agg(F.max("rank").alias("hub")))
-    pairs = members.join(hubs, "key").select("v", (-F.col("hub.first")).alias("h")).filter("v <> h")
-    tested = table(pairs.select(*ordered("v", "h")).distinct())
+    pairs = members.join(hubs, "key").select("v", "size", (-F.col("hub.first")).alias("h"), F.col("hub.size").alias("h_size"))
+    # texts of more different lengths cannot be similar
+    near = F.least("size", "h_size") >= SIMILARITY * F.greatest("size", "h_size") - 1e-9
+    tested = table(pairs.filter("v <> h").filter(near).select(*ordered("v", "h")).distinct())
     links = verified(tested, texts)
     found = components(links)
-    while True:
-        placed = table(members.join(found, "v", "left").select("key", "n", "v", "rank", F.coalesce("c", "v").alias("c")))
-        rest = table(across(placed, exhaustive).join(tested, ["a", "b"], "left_anti"))
-        new = verified(rest, texts)
-        if new.isEmpty():
-            break
-        tested, links = table(tested.unionByName(rest)), table(links.unionByName(new))
-        found = components(links)
-    rest = overlapping(crowded(placed, exhaustive), texts).join(tested, ["a", "b"], "left_anti")
+    placed = members.join(found, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
+    rest = overlapping(crowded(table(placed)), texts).join(tested, ["a", "b"], "left_anti")
     new = verified(table(rest), texts)
     if not new.isEmpty():
         found = components(links.unionByName(new))
@@ -260,67 +274,55 @@ def classes(docs: DataFrame, exhaustive: int = 8) -> DataFrame:
     return judged.unionByName(wordless)
 
 
-def across(placed: DataFrame, exhaustive: int) -> DataFrame:
-    """Pairs ``a, b`` across the components of each bucket ``key, n, v, rank, c``."""
-    top = F.max(F.struct("rank", "c"))
-    best = placed.groupBy("key").agg(top.alias("one"), F.min("c").alias("low"), F.max("c").alias("high"))
-    # buckets of several components only
-    best = table(best.filter("low <> high").select("key", "one"))
-    apart = table(placed.join(best, "key"))
-    second = apart.filter(F.col("c") != F.col("one.c")).groupBy("key").agg(top.alias("two"))
-    apart = apart.join(table(second), "key")
-    heads = F.explode(F.array(F.col("one"), F.col("two"))).alias("head")
-    met = apart.select("v", "c", heads).filter(F.col("c") != F.col("head.c"))
-    met = met.select(*ordered(F.col("v"), -F.col("head.rank.first")))
-    few = apart.filter(F.col("n") <= exhaustive).select("key", "v", "c")
-    every = few.alias("x").join(few.alias("y"), "key").filter("x.v > y.v AND x.c <> y.c").select(*ordered("x.v", "y.v"))
-    return met.unionByName(every).distinct()
+def crowded(placed: DataFrame) -> DataFrame:
+    """``v, c`` of the nodes in buckets ``key, v, c`` of several components."""
+    several = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+    return table(placed.join(several.select("key"), "key").select("v", "c").distinct())
 
 
-def crowded(placed: DataFrame, exhaustive: int) -> DataFrame:
-    """``v, c`` of the nodes in buckets of more than ``exhaustive`` nodes and of several components."""
-    large = placed.filter(F.col("n") > exhaustive)
-    several = large.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
-    return table(large.join(several.select("key"), "key").select("v", "c").distinct())
+def needed(a, b):
+    """Labelled word pairs that similar texts of ``a`` and ``b`` words have in common at least."""
+    return 3 * F.ceil(SIMILARITY / (1 + SIMILARITY) * (a + b) - 1e-9) - 1 - a - b
 
 
 def overlapping(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs ``a, b`` across the components of ``nodes(v, c)`` that may be similar; no similar pair is missing.
 
-    The shingles of every text are put into one order: first those of one component only, then from rare to
-    frequent. Similar texts have ``need`` shingles in common, so both have as many from the first common one on.
+    An alignment of m words out of a and b keeps m - 1 neighbours, less one at most for each of the a + b - 2m
+    other words, so similar texts have ``need`` labelled word pairs in common. The word pairs of every text are put
+    into one order: first those of one component only, then from rare to frequent. Both texts then have as many as
+    needed from the first common one on.
     """
 
     def run(batches):
         for batch in batches:
-            labelled = [
-                labelled_shingles(" ".join(words(t)).encode("utf-8", "surrogatepass")).view(np.int64)
-                for t in batch.column(2).to_pylist()
-            ]
+            normal = [" ".join(words(t)).encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+            labelled = [labelled_grams(t).view(np.int64) for t in normal]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
-                    pa.array(map(len, labelled), pa.int64()),
+                    pa.array([t.count(b" ") + 1 for t in normal], pa.int64()),
                     pa.array(labelled, pa.list_(pa.int64())),
                 ],
-                names=["v", "c", "size", "shingles"],
+                names=["v", "c", "size", "grams"],
             )
 
     held = table(
-        nodes.join(texts, "v").select("v", "c", "text").mapInArrow(run, "v long, c long, size long, shingles array<long>")
+        nodes.join(texts, "v").select("v", "c", "text").mapInArrow(run, "v long, c long, size long, grams array<long>")
     )
-    one = held.select("v", "c", "size", F.explode("shingles").alias("s"))
+    one = held.select("v", "c", "size", F.explode("grams").alias("s"))
     seen = one.groupBy("s").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
     common = one.join(table(seen.filter("low <> high").select("s", "n")), "s")
     common = common.groupBy("v", "c", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("list"))
     first = common.select("v", "c", "size", F.size("list").alias("all"), F.posexplode("list").alias("at", "x"))
-    # ``left``: common shingles from this one on
+    # ``left``: common word pairs from this one on
     first = first.select("v", "c", "size", F.col("x.s").alias("s"), (F.col("all") - F.col("at")).alias("left"))
-    first = table(first.filter(F.col("left") >= F.ceil(SIMILARITY * F.col("size") - 1e-9)))
-    need = F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("x.size") + F.col("y.size")) - 1e-9)
+    first = table(first.filter(F.col("left") >= needed(F.col("size"), F.ceil(SIMILARITY * F.col("size") - 1e-9))))
+    need = needed(F.col("x.size"), F.col("y.size"))
+    near = F.least("x.size", "y.size") >= SIMILARITY * F.greatest("x.size", "y.size") - 1e-9
     met = first.alias("x").join(first.alias("y"), "s").filter("x.v > y.v AND x.c <> y.c")
-    return met.filter(F.least("x.left", "y.left") >= need).select(*ordered("x.v", "y.v")).distinct()
+    return met.filter(near & (F.least("x.left", "y.left") >= need)).select(*ordered("x.v", "y.v")).distinct()
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
