@@ -46,6 +46,8 @@ SIMILARITY = 0.8
 #: Words of a k-mer, sketches, and k-mers picked by each; the second line is for texts of fewer than SHORT words.
 GRAM, SKETCHES, PICKED = 2, 36, 4
 SHORT, SHORT_GRAM, SHORT_SKETCHES, SHORT_PICKED = 20, 1, 24, 3
+#: Bits of the parity signature that is held against the number of differing words.
+SIGNATURE = 1024
 #: Bits of the match masks that one alignment may keep.
 MASK_BITS = 1 << 29
 
@@ -280,9 +282,20 @@ def crowded(placed: DataFrame) -> DataFrame:
     return table(placed.join(several.select("key"), "key").select("v", "c").distinct())
 
 
+def signature(grams: np.ndarray) -> np.ndarray:
+    """For each bit, whether an odd number of ``grams`` falls on it, as longs."""
+    odd = np.bincount(grams.view(np.uint64) % np.uint64(SIGNATURE), minlength=SIGNATURE).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def matched(a, b):
+    """Words that an alignment of similar texts of ``a`` and ``b`` words matches at least."""
+    return F.ceil(SIMILARITY / (1 + SIMILARITY) * (a + b) - 1e-9)
+
+
 def needed(a, b):
     """Labelled word pairs that similar texts of ``a`` and ``b`` words have in common at least."""
-    return 3 * F.ceil(SIMILARITY / (1 + SIMILARITY) * (a + b) - 1e-9) - 1 - a - b
+    return 3 * matched(a, b) - 1 - a - b
 
 
 def overlapping(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -291,7 +304,8 @@ def overlapping(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     An alignment of m words out of a and b keeps m - 1 neighbours, less one at most for each of the a + b - 2m
     other words, so similar texts have ``need`` labelled word pairs in common. The word pairs of every text are put
     into one order: first those of one component only, then from rare to frequent. Both texts then have as many as
-    needed from the first common one on.
+    needed from the first common one on. Each text also has a signature, the parity of its labelled words by hash:
+    two signatures differ in no more bits than the texts in words, which excludes most texts that are less similar.
     """
 
     def run(batches):
@@ -304,12 +318,13 @@ def overlapping(nodes: DataFrame, texts: DataFrame) -> DataFrame:
                     batch.column(1),
                     pa.array([t.count(b" ") + 1 for t in normal], pa.int64()),
                     pa.array(labelled, pa.list_(pa.int64())),
+                    pa.array([signature(labelled_grams(t, 1)) for t in normal], pa.list_(pa.int64())),
                 ],
-                names=["v", "c", "size", "grams"],
+                names=["v", "c", "size", "grams", "signed"],
             )
 
     held = table(
-        nodes.join(texts, "v").select("v", "c", "text").mapInArrow(run, "v long, c long, size long, grams array<long>")
+        nodes.join(texts, "v").select("v", "c", "text").mapInArrow(run, "v long, c long, size long, grams array<long>, signed array<long>")
     )
     one = held.select("v", "c", "size", F.explode("grams").alias("s"))
     seen = one.groupBy("s").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
@@ -318,11 +333,14 @@ def overlapping(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     first = common.select("v", "c", "size", F.size("list").alias("all"), F.posexplode("list").alias("at", "x"))
     # ``left``: common word pairs from this one on
     first = first.select("v", "c", "size", F.col("x.s").alias("s"), (F.col("all") - F.col("at")).alias("left"))
+    first = first.join(held.select("v", "signed"), "v")
     first = table(first.filter(F.col("left") >= needed(F.col("size"), F.ceil(SIMILARITY * F.col("size") - 1e-9))))
     need = needed(F.col("x.size"), F.col("y.size"))
     near = F.least("x.size", "y.size") >= SIMILARITY * F.greatest("x.size", "y.size") - 1e-9
+    differ = sum(F.bit_count(F.col("x.signed")[i].bitwiseXOR(F.col("y.signed")[i])) for i in range(SIGNATURE // 64))
+    most = F.col("x.size") + F.col("y.size") - 2 * matched(F.col("x.size"), F.col("y.size"))
     met = first.alias("x").join(first.alias("y"), "s").filter("x.v > y.v AND x.c <> y.c")
-    return met.filter(near & (F.least("x.left", "y.left") >= need)).select(*ordered("x.v", "y.v")).distinct()
+    return met.filter(near & (F.least("x.left", "y.left") >= need) & (differ <= most)).select(*ordered("x.v", "y.v")).distinct()
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
