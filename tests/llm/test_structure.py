@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -181,3 +182,22 @@ def test_share_of_siblings_counts_all():
     nodes = html_extract.parse("<div>" + "<p>a</p>" * 30 + "<h2>b</h2>" * 10 + "</div>")
     shares = {n.tag: float(row[-3]) for n, row in zip(nodes, html_extract.measures(nodes)) if n.tag in ("p", "h2")}
     assert shares == {"p": 0.75, "h2": 0.25}
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 330_000,
+        "<div>" * 90_000 + "</b>" * 130_000,
+        "<head>" * 170_000,
+        "<title>" + "</title " * 120_000,
+        "<li><ul>" + "<div>" * 80_000 + "<li></li>" * 60_000,
+        "<b>" * 150_000 + "<div></div>" * 50_000,
+        "<a '\"" * 200_000 + ">",
+    ],
+    ids=["open tags", "stray ends", "heads", "open ends", "items", "inline", "quotes"],
+)
+def test_broken_markup_takes_linear_time(page):
+    start = time.process_time()
+    html_extract.parse(page)
+    assert time.process_time() - start < 5  # about half a second; minutes if a tag searched the page or its ancestors

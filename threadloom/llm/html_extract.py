@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import source
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|([^<]+|<)", re.S
 )
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
@@ -88,7 +88,27 @@ def parse(page: str) -> list[Node]:
     """Block elements of a page in document order; ``parts`` holds texts and child blocks in order."""
     root = Node("body", "", None)
     nodes, stack = [root], [(root.tag, root)]
-    position, end, links = 0, len(page), 0
+    # where each name, and where any block, stands in the stack: no tag searches it
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
+    position, end, links, head_ends = 0, len(page), 0, True
+
+    def put(name: str, node: Node) -> None:
+        places.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            blocks.append(len(stack))
+        stack.append((name, node))
+
+    def cut(depth: int) -> None:
+        while len(stack) > depth:
+            name = stack.pop()[0]
+            places[name].pop()
+            if name not in INLINE:
+                blocks.pop()
+
+    def top(names) -> int:
+        return max((places[name][-1] for name in names if places.get(name)), default=0)
+
     while position < end:
         match = TOKEN.match(page, position)
         if not match:
@@ -105,16 +125,17 @@ def parse(page: str) -> list[Node]:
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    break
+            if places.get(tag):
+                cut(places[tag][-1])
             continue
         if tag in RAW or tag == "head":
             if attributes.rstrip().endswith("/"):
                 continue
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, position)
+            if tag == "head" and not head_ends:
+                continue
+            stop = re.compile(rf"</{re.escape(tag)}\b[^<>]*>", re.I).search(page, position)
             if tag == "head" and not stop:
+                head_ends = False
                 continue
             position = stop.end() if stop else end
             continue
@@ -128,30 +149,23 @@ def parse(page: str) -> list[Node]:
             links += 1
         if tag in INLINE:
             if not attributes or tag == "a" or not ATTRIBUTE.search(attributes):
-                stack.append((tag, node))
+                put(tag, node)
                 continue
-        if tag in PARAGRAPH_ENDS:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    del stack[depth:]
-                    break
-                if stack[depth][0] not in INLINE:
-                    break
-        closes, stops = CLOSES.get(tag, ((), ()))
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth][0] in stops:
-                break
-            if stack[depth][0] in closes:
-                del stack[depth:]
-                break
+        if tag in PARAGRAPH_ENDS and blocks and stack[blocks[-1]][0] == "p":
+            cut(blocks[-1])
+        if tag in CLOSES:
+            closes, stops = CLOSES[tag]
+            depth = top(closes)
+            if depth > top(stops):
+                cut(depth)
         parent = stack[-1][1]
         child = Node(tag, attributes, parent)
         parent.children.append(child)
         parent.parts.append(child)
         nodes.append(child)
-        stack.append((tag, child))
+        put(tag, child)
         if attributes.rstrip().endswith("/") and tag not in PARAGRAPH_ENDS:
-            stack.pop()
+            cut(len(stack) - 1)
     return nodes
 
 
