@@ -63,6 +63,20 @@ side AS (
   SELECT l.conversation_id, l.branch_key, l.ordinal, l.slot * 3 + 2, n.node_id, list_contains(l.own, n.node_id)
   FROM lone l JOIN nodes n ON n.conversation_id = l.conversation_id AND n.parent_id = l.node_id)""",
 )
+SQL["context_ranges"] = model(
+    """SELECT revision_id, branch_key, chunk_ordinal, node_id, min(char_start) AS char_start, max(char_end) AS char_end
+    FROM (SELECT *, sum(CASE WHEN before >= char_start THEN 0 ELSE 1 END) OVER (
+            PARTITION BY revision_id, branch_key, chunk_ordinal, node_id ORDER BY char_start, char_end ROWS UNBOUNDED PRECEDING) AS run
+          FROM (SELECT *, max(char_end) OVER (PARTITION BY revision_id, branch_key, chunk_ordinal, node_id
+                  ORDER BY char_start, char_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+                FROM (SELECT p.conversation_id AS revision_id, p.branch_key, g.g AS chunk_ordinal, p.node_id, p.char_start, p.char_end
+                      FROM placed p JOIN grouped g USING (conversation_id, branch_key, idx)
+                      JOIN live l ON l.conversation_id = p.conversation_id
+                      WHERE (l.num % 3 <> 0 OR l.namespace IN ('ns0', 'ns1')) AND (l.num % 5 <> 0 OR l.user_id = 'u1'))))
+    GROUP BY revision_id, branch_key, chunk_ordinal, node_id, run""",
+    UNITS,
+    LIVE,
+)
 SQL["conversation_page"] = model(
     """SELECT l.conversation_id AS request_id, l.conversation_id, a.sequence AS position, a.node_id, t.total,
         CASE WHEN l.num % 3 + 3 < t.total THEN l.num % 3 + 3 ELSE -1 END AS next_offset

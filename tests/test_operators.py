@@ -301,3 +301,28 @@ def test_no_nested_loops_in_matching(spark):
     queries = spark.createDataFrame([("q", "some titles")], "query_id string, query string")
     plan = plan_of(lexical.match(lexical.build_index(chunks), lexical.query_terms(queries)))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_context_is_for_its_scope_and_joins_ranges(spark):
+    source = "array<struct<source_node_id:string,source_sequence:bigint,char_start:int,char_end:int>>"
+    chunks = spark.createDataFrame(
+        [
+            ("k1", "c1", "a", [("n", 0, 0, 5), ("n", 0, 3, 9), ("n", 0, 9, 11), ("n", 0, 20, 30), ("m", 1, 2, 4), ("n", 0, 21, 22)]),
+            ("k2", "c2", "b", [("n", 0, 0, 5)]),
+            ("k3", "c3", "a", [("n", 0, 0, 5)]),  # deleted
+        ],
+        f"chunk_id string, conversation_id string, namespace string, sources {source}",
+    )
+    live = spark.createDataFrame([("c1", "u1"), ("c2", "u2")], "conversation_id string, user_id string")
+
+    def seen(namespaces, user):
+        rows = [(k, namespaces, user) for k in ("k1", "k2", "k3", "k4")]
+        asked = spark.createDataFrame(rows, "chunk_id string, namespaces array<string>, user_id string")
+        return catalog.visible_chunks(asked, chunks, live)
+
+    got = {tuple(r) for r in catalog.matched_ranges(seen(None, "u1"), chunks).collect()}
+    assert got == {("k1", "n", 0, 11), ("k1", "n", 20, 30), ("k1", "m", 2, 4)}
+    assert catalog.matched_ranges(seen(None, "stranger"), chunks).count() == 0
+    assert [r.chunk_id for r in seen(["b"], None).collect()] == ["k2"]
+    assert sorted(r.chunk_id for r in seen([], None).collect()) == ["k1", "k2"]
+    assert seen(["b"], "u1").count() == 0

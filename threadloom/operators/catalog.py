@@ -161,6 +161,38 @@ def chunk_context(requests: DataFrame, chunks: DataFrame, paths: DataFrame, node
     )
 
 
+def visible_chunks(requests: DataFrame, chunks: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Rows of ``requests(chunk_id, namespaces, user_id, ...)`` whose chunk the request may see.
+
+    ``conversations(conversation_id, user_id)`` are those that were not deleted; null or empty ``namespaces`` and a
+    null ``user_id`` do not restrict.  Pass the rows on to :func:`chunk_context` and :func:`matched_ranges`.
+    """
+    owned = chunks.select("chunk_id", "conversation_id", F.col("namespace").alias("_ns")).join(
+        conversations.select("conversation_id", F.col("user_id").alias("_owner")), "conversation_id"
+    ).drop("conversation_id")
+    in_scope = (F.coalesce(F.size("namespaces"), F.lit(0)) <= 0) | F.array_contains("namespaces", F.col("_ns"))
+    mine = F.col("user_id").isNull() | (F.col("user_id") == F.col("_owner"))
+    return requests.join(owned, "chunk_id").filter(in_scope & mine).select(*requests.columns)
+
+
+def matched_ranges(requests: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(chunk_id, node_id, char_start, char_end)``: the parts of each message that a requested chunk covers.
+
+    Ranges of one message that overlap or touch are one range.
+    """
+    asked = chunks.join(requests.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    ranges = asked.select("chunk_id", F.explode("sources").alias("s")).select(
+        "chunk_id", F.col("s.source_node_id").alias("node_id"), "s.char_start", "s.char_end"
+    )
+    message = Window.partitionBy("chunk_id", "node_id").orderBy("char_start", "char_end")  # the few sources of a chunk
+    before = F.max("char_end").over(message.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.when(before >= F.col("char_start"), 0).otherwise(1)
+    runs = ranges.withColumn("_new", starts).withColumn("_run", F.sum("_new").over(message.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("chunk_id", "node_id", "_run").agg(
+        F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end")
+    ).drop("_run")
+
+
 def conversation_page(requests: DataFrame, ordered: DataFrame, totals: DataFrame) -> DataFrame:
     """``(request_id, conversation_id, position, node_id, total, next_offset)``.
 

@@ -96,6 +96,25 @@ def context_window(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def context_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Matched ranges of every chunk, asked for in scopes that fit some of the conversations."""
+    _, _, chunks = _indexed(spark, d)
+    num = F.col("num")
+    scopes = corpus.headers(spark, d).select(
+        "conversation_id",
+        F.when(num % 3 == 0, F.array(F.lit("ns0"), F.lit("ns1"))).alias("namespaces"),
+        F.when(num % 5 == 0, F.lit("u1")).alias("user_id"),
+    )
+    asked = chunks.select("chunk_id", "conversation_id").join(scopes, "conversation_id")
+    live = _live(spark, d).select("conversation_id", "user_id")
+    rows = catalog.matched_ranges(catalog.visible_chunks(asked, chunks, live), chunks)
+    named = chunks.select("chunk_id", "revision_id", "branch_key", F.col("ordinal").alias("chunk_ordinal"))
+    return rows.join(named, "chunk_id").select(
+        "revision_id", "branch_key", "chunk_ordinal", "node_id",
+        F.col("char_start").cast("bigint").alias("char_start"), F.col("char_end").cast("bigint").alias("char_end"),
+    )
+
+
 def conversation_page(spark: SparkSession, d: str) -> DataFrame:
     paths = graph.branches(corpus.nodes(spark, d), corpus.headers(spark, d), "conversation_id")
     active = paths.filter(F.col("branch_key") == graph.ACTIVE).select("conversation_id", F.col("pos").alias("position"), "node_id")
@@ -305,7 +324,7 @@ def integrity_audit(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        current_revisions, list_conversations, list_namespaces, memory_stats, index_health, context_window,
+        current_revisions, list_conversations, list_namespaces, memory_stats, index_health, context_window, context_ranges,
         conversation_page, scope_requests, provision_users, namespace_backfill, append_conflicts, appended_nodes,
         tag_updates, delete_report, delete_scopes, orphan_segments, index_state_latest, reindex_worklist, dead_letters,
         stale_vectors, removed_derived, raw_checksums, duplicate_exports, import_status, integrity_audit,
