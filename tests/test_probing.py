@@ -65,3 +65,11 @@ def test_no_vectors(spark, tables, tmp_path):
     vectors, asked, _ = tables
     index = probing.build(vectors.limit(0), str(tmp_path / "empty"))
     assert probing.search(index, asked, 3).count() == 0
+
+
+def test_lists_are_found_after_a_text_function_was_used(spark, tables, tmp_path):
+    vectors, asked, index = tables
+    # a query that was planned binds the session to the text functions of the library
+    semantic.query_variants(spark.createDataFrame([("q", "Ｒemember")], "query_id string, query string")).collect()
+    assert probing.build(vectors, str(tmp_path / "again"), index.centroids).sizes.sum() == 1501
+    assert rows_of(probing.search(index, asked, 2, broadcast_bytes=2000)) == rows_of(probing.search(index, asked, 2))

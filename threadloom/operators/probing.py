@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import durable
 from . import semantic
+from .semantic import _as_text, _best, _unit  # by name: tasks must not get the module, which may hold bound functions
 
 #: The sample that centroids are learnt on, in bytes of its vectors, and the most lists of an index.
 SAMPLE_BYTES = 32 * 1024 * 1024
@@ -50,7 +51,7 @@ def learn(vectors: DataFrame, lists: int | None = None, sample_bytes: int = SAMP
         return np.zeros((1, 0), np.float64)
     rows = max(4, sample_bytes // (8 * max(1, dims)))
     taken = usable.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(rows).select("embedding").toPandas()
-    points = semantic._unit(taken["embedding"])
+    points = _unit(taken["embedding"])
     wanted = lists or round(math.sqrt(count))
     wanted = max(1, min(wanted, MOST_LISTS, len(points) // 4))
     centres = points[np.linspace(0, len(points) - 1, wanted).astype(int)]
@@ -62,7 +63,7 @@ def learn(vectors: DataFrame, lists: int | None = None, sample_bytes: int = SAMP
         # a list that nothing is nearest to starts again at a point far from its centre
         empty = np.flatnonzero(np.bincount(home, minlength=wanted) == 0)
         sums[empty] = points[np.argsort(near.max(axis=1), kind="stable")[: len(empty)]]
-        centres = semantic._unit(sums)
+        centres = _unit(sums)
     return centres
 
 
@@ -75,7 +76,7 @@ def nearest(vector: Column, centroids: np.ndarray, count: int) -> Column:
             if not len(batch):
                 yield pd.Series([], dtype=object)
                 continue
-            order = np.argsort(-(semantic._unit(batch) @ centroids.T), axis=1, kind="stable")[:, :count]
+            order = np.argsort(-(_unit(batch) @ centroids.T), axis=1, kind="stable")[:, :count]
             yield pd.Series(list(order.astype(np.int32)), dtype=object)
 
     return run(vector)
@@ -143,8 +144,8 @@ def probed(index: ProbeIndex, queries: DataFrame, probes: int, broadcast_bytes:
 def _scored(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     if not len(block) or not len(asked):
         return pd.DataFrame({"query_id": [], "variant_no": [], "chunk_id": [], "score": []})
-    return semantic._best(
-        block["chunk_id"].to_numpy(), semantic._as_text(block["owner"]), semantic._as_text(block["namespace"]), block["embedding"], asked
+    return _best(
+        block["chunk_id"].to_numpy(), _as_text(block["owner"]), _as_text(block["namespace"]), block["embedding"], asked
     )
 
 
