@@ -326,3 +326,15 @@ def test_context_is_for_its_scope_and_joins_ranges(spark):
     assert [r.chunk_id for r in seen(["b"], None).collect()] == ["k2"]
     assert sorted(r.chunk_id for r in seen([], None).collect()) == ["k1", "k2"]
     assert seen(["b"], "u1").count() == 0
+
+
+def test_postings_are_counted_without_a_shuffle(spark):
+    chunks = spark.createDataFrame(
+        [("a", "Red red", "red blue Blue b"), ("b", None, "one two one"), ("c", "", ""), ("d", "x", None)],
+        "chunk_id string, title string, body string",
+    )
+    index = lexical.build_index(chunks, title_weight=3.0, body_weight=0.5)
+    assert "Exchange" not in plan_of(index.postings)
+    found = {(r.chunk_id, r.token): (r.freq, r["size"]) for r in index.postings.collect()}
+    assert found.pop(("b", "one"))[0] == 1.0 and found.pop(("b", "two"))[0] == 0.5 and found.pop(("d", "x"))[0] == 3.0
+    assert found == {("a", "red"): (6.5, 6), ("a", "blue"): (1.0, 6), ("a", "b"): (0.5, 6)}
