@@ -338,3 +338,13 @@ def test_postings_are_counted_without_a_shuffle(spark):
     found = {(r.chunk_id, r.token): (r.freq, r["size"]) for r in index.postings.collect()}
     assert found.pop(("b", "one"))[0] == 1.0 and found.pop(("b", "two"))[0] == 0.5 and found.pop(("d", "x"))[0] == 3.0
     assert found == {("a", "red"): (6.5, 6), ("a", "blue"): (1.0, 6), ("a", "b"): (0.5, 6)}
+
+
+def test_texts_of_documents_and_single_messages_move_once(spark):
+    d = "/root/testdata/sf0.001"
+    documents = corpus.nodes(spark, d)._jdf.queryExecution().optimizedPlan().children().apply(1).toString()
+    assert "Join" not in documents and "Aggregate" not in documents
+    heads = corpus.catalog(spark, d)
+    made = corpus.chunks(spark, d, heads)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    # a chunk of one message: nothing but a projection lies above the join that brings its text
+    assert made[0].startswith("Union") and [line for line in made if "Join" in line or "Aggregate" in line][0].count("Join") == 1
