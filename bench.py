@@ -54,7 +54,7 @@ def main() -> None:
     for name in sys.argv[1:] or HEADLINE:
         start = time.perf_counter()
         if name == "build_index":
-            search_queries.built(spark, sf_dir)
+            search_queries.built(spark, sf_dir).corpus
         else:
             registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)

@@ -201,3 +201,12 @@ def test_bounded_scores_are_the_exact_ones(spark):
         assert key(ranked) == key(want)
     # bounds leave most matches of common words out
     assert lexical.best(found, queries, live, sample_rows=200).count() < allowed.count() / 2
+
+
+def test_recent_candidates_write_no_chunks_and_no_index(spark):
+    from threadloom.plans import search_queries
+
+    d = "/root/testdata/sf0.001"
+    search_queries.recent_candidates(spark, d)
+    made = vars(search_queries.built(spark, d))
+    assert "heads" in made and not {"corpus", "chunks", "index"} & set(made)
