@@ -73,3 +73,18 @@ def test_lists_are_found_after_a_text_function_was_used(spark, tables, tmp_path)
     semantic.query_variants(spark.createDataFrame([("q", "Ｒemember")], "query_id string, query string")).collect()
     assert probing.build(vectors, str(tmp_path / "again"), index.centroids).sizes.sum() == 1501
     assert rows_of(probing.search(index, asked, 2, broadcast_bytes=2000)) == rows_of(probing.search(index, asked, 2))
+
+
+def test_scores_in_memory_do_not_grow_with_the_queries(monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    ids, points = np.array([f"c{i}" for i in range(50)], dtype=object), list(rng.normal(size=(50, 4)))
+    asked = pd.DataFrame(
+        {"query_id": [f"q{i}" for i in range(30)], "variant_no": 0, "vector": points[:30], "top": 3, "namespaces": None, "user_id": None}
+    )
+    whole = pd.concat(semantic._best(ids, ids, ids, points, asked))
+    monkeypatch.setattr(semantic, "SCORES", 200)
+    blocks = list(semantic._best(ids, ids, ids, points, asked))
+    assert [len(b) for b in blocks] == [12] * 7 + [6]
+    assert pd.concat(blocks).reset_index(drop=True).equals(whole.reset_index(drop=True))

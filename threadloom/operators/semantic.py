@@ -131,33 +131,50 @@ def _unit(vectors) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def _best(chunk_ids, owners, spaces, vectors, queries: pd.DataFrame) -> pd.DataFrame:
-    """The best rows of one block of chunks for each query, within the query's scope and limit."""
-    parts = []
+#: Scores that a task holds at once.
+SCORES = 4_000_000
+
+
+def _best(chunk_ids, owners, spaces, vectors, queries: pd.DataFrame, units: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """The best rows of one block of chunks for each query, within the query's scope and limit.
+
+    Queries are taken some at a time, so that the scores in memory stay the same for any number of them; ``units``
+    are their unit vectors, if they were made before.
+    """
     matrix = _unit(vectors)
-    scores = np.round(matrix @ _unit(queries["vector"]).T, 9)
-    for column, q in enumerate(queries.itertuples(index=False)):
-        mask = np.ones(len(chunk_ids), dtype=bool)
-        if q.user_id is not None:
-            mask &= owners == q.user_id
-        if q.namespaces is not None and len(q.namespaces):
-            mask &= np.isin(spaces, list(q.namespaces))
-        at = np.flatnonzero(mask)
-        if len(at) > q.top:
-            edge = np.partition(scores[at, column], len(at) - q.top)[len(at) - q.top]
-            at = at[scores[at, column] >= edge]
-            at = at[np.lexsort((chunk_ids[at].astype(str), -scores[at, column]))][: q.top]
-        parts.append(
-            pd.DataFrame(
+    names = np.asarray(chunk_ids).astype(str)
+    units = _unit(queries["vector"]) if units is None else units
+    step = max(1, SCORES // max(1, len(matrix)))
+    scopes: dict = {}
+    for start in range(0, len(queries), step):
+        scores = matrix @ units[start : start + step].T
+        np.round(scores, 9, out=scores)
+        parts = []
+        for column, q in enumerate(queries.iloc[start : start + step].itertuples(index=False)):
+            scope = (q.user_id, None if q.namespaces is None else tuple(q.namespaces))
+            if scope not in scopes:
+                mask = np.ones(len(names), dtype=bool)
+                if q.user_id is not None:
+                    mask &= owners == q.user_id
+                if q.namespaces is not None and len(q.namespaces):
+                    mask &= np.isin(spaces, list(q.namespaces))
+                scopes[scope] = np.flatnonzero(mask)
+            at = scopes[scope]
+            if len(at) > q.top:
+                edge = np.partition(scores[at, column], len(at) - q.top)[len(at) - q.top]
+                at = at[scores[at, column] >= edge]
+                at = at[np.lexsort((names[at], -scores[at, column]))][: q.top]
+            parts.append((q.query_id, q.variant_no, at, scores[at, column]))
+        if parts:
+            sizes = [len(at) for _, _, at, _ in parts]
+            yield pd.DataFrame(
                 {
-                    "query_id": q.query_id,
-                    "variant_no": q.variant_no,
-                    "chunk_id": chunk_ids[at],
-                    "score": scores[at, column],
+                    "query_id": np.repeat(np.array([p[0] for p in parts], dtype=object), sizes),
+                    "variant_no": np.repeat(np.array([p[1] for p in parts]), sizes),
+                    "chunk_id": names[np.concatenate([p[2] for p in parts])].astype(object),
+                    "score": np.concatenate([p[3] for p in parts]),
                 }
             )
-        )
-    return pd.concat(parts, ignore_index=True)
 
 
 def _as_text(series: pd.Series) -> np.ndarray:
@@ -183,11 +200,12 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, broadcast_bytes: int =
         local = wanted.toPandas()  # bounded by the check above
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            units = _unit(local["vector"]) if len(local) else None
             for batch in batches:
                 if len(batch) and len(local):
-                    yield _best(
+                    yield from _best(
                         batch["chunk_id"].to_numpy(), _as_text(batch["owner"]), _as_text(batch["namespace"]),
-                        batch["embedding"], local,
+                        batch["embedding"], local, units,
                     )
 
         found = slim.mapInPandas(scan, RESULT)
@@ -205,10 +223,11 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, broadcast_bytes: int =
         def meet(block: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
             if not len(block) or not len(some):
                 return pd.DataFrame({"query_id": [], "variant_no": [], "chunk_id": [], "score": []})
-            return _best(
+            found = _best(
                 block["chunk_id"].to_numpy(), _as_text(block["owner"]), _as_text(block["namespace"]),
                 block["embedding"], some,
             )
+            return pd.concat(found, ignore_index=True)
 
         found = left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInPandas(meet, RESULT)
     limits = queries.select("query_id", "variant_no", "top")
