@@ -210,3 +210,16 @@ def test_recent_candidates_write_no_chunks_and_no_index(spark):
     search_queries.recent_candidates(spark, d)
     made = vars(search_queries.built(spark, d))
     assert "heads" in made and not {"corpus", "chunks", "index"} & set(made)
+
+
+def test_a_first_append_is_made_durable_once(spark, tmp_path, monkeypatch):
+    from threadloom.sources import canonical
+
+    calls, real = [], canonical.durable
+    monkeypatch.setattr(canonical, "durable", lambda df: calls.append(df) or real(df))
+    rows = spark.createDataFrame([("r1", "a"), ("r1", "a"), ("r2", None), ("r2", None)], "revision_id string, node_id string")
+    path = str(tmp_path / "nodes")
+    assert canonical.append_new(rows, path, ["revision_id", "node_id"], bucket_by="revision_id").count() == 2
+    assert len(calls) == 1
+    assert canonical.append_new(rows, path, ["revision_id", "node_id"], bucket_by="revision_id").count() == 0
+    assert spark.read.parquet(path).count() == 2

@@ -88,7 +88,7 @@ def load_current(spark: SparkSession, d: str) -> DataFrame:
 
 def append_revisions(spark: SparkSession, d: str) -> DataFrame:
     """Every third message is appended to its conversation again, on the right or a wrong base, all at once."""
-    heads = corpus.catalog(spark, d)
+    heads = stored(corpus.catalog(spark, d))
     nodes = corpus.revision_nodes(spark, d, heads)
     sizes = corpus.messages(spark, d).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("active_messages"))
     heads = stored(heads.join(sizes, "conversation_id").withColumn("tags", corpus.tags_of(F.col("num"))))

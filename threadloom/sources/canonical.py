@@ -66,10 +66,14 @@ def append_new(
     ``bucket_by`` is one of the keys; the table is then laid out by its hash, and only the buckets of the new rows
     are compared.  Returns the appended rows, made durable before the write so that they do not depend on the table.
     """
-    fresh = rows.dropDuplicates(keys)
     existing = read_table(rows.sparkSession, path)
-    if bucket_by is not None:
-        fresh = durable(fresh.withColumn("bucket", bucket_of(bucket_by, bucket_count(rows.sparkSession, path))))
+    if bucket_by is None:
+        fresh = rows.dropDuplicates(keys)
+    else:
+        # rows are compared where they are written, so that they are shuffled once
+        places = {"bucket": bucket_of(bucket_by, bucket_count(rows.sparkSession, path)), "_part": F.pmod(F.xxhash64(*keys), F.lit(16))}
+        placed = rows.withColumns(places).repartition(*places)
+        fresh = durable(placed.dropDuplicates([*keys, *places]).drop("_part"))
         partition_by = ["bucket"]
         if existing is not None:
             existing = in_buckets(existing, fresh)
@@ -77,13 +81,13 @@ def append_new(
     if existing is not None:
         known = existing.select(*[F.col(k).alias(f"_known_{k}") for k in keys])
         same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys])
-        fresh = fresh.join(known, same, "left_anti")
-    fresh = durable(fresh)
-    if bucket_by is not None:
-        fresh.repartition("bucket", F.pmod(F.xxhash64(*keys), F.lit(16))).write.mode("append").partitionBy("bucket").parquet(path)
-        return fresh.drop("bucket")
+        fresh = durable(fresh.join(known, same, "left_anti"))
+        if bucket_by is not None:
+            fresh = fresh.repartition("bucket", F.pmod(F.xxhash64(*keys), F.lit(16)))
+    elif bucket_by is None:
+        fresh = durable(fresh)
     fresh.write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
-    return fresh
+    return fresh if bucket_by is None else fresh.drop("bucket")
 
 
 def replace_revisions(rows: DataFrame, path: str, revisions: DataFrame, buckets: int | None = None) -> None:
