@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import tempfile
 
 import pytest
@@ -212,6 +213,50 @@ def test_recent_candidates_write_no_chunks_and_no_index(spark):
     assert "heads" in made and not {"corpus", "chunks", "index"} & set(made)
 
 
+def test_channels_chunk_only_what_they_search(spark):
+    from threadloom.plans import search_queries
+
+    made = search_queries.Built(spark, "/root/testdata/sf0.001")
+    pending, owners = made.pending.select("conversation_id").distinct(), made.vectors.select("chunk_id", "conversation_id")
+    narrow = [sorted(made.recent_chunks.select("chunk_id").collect()), sorted(owners.collect())]
+    assert made.pending.count() and "chunks" not in vars(made)
+    assert {r[0] for r in made.recent_chunks.select("conversation_id").collect()} <= {r[0] for r in pending.collect()}
+    whole = search_queries.Built(spark, made.d)
+    whole.chunks
+    assert narrow == [sorted(whole.recent_chunks.select("chunk_id").collect()), sorted(whole.vectors.select("chunk_id", "conversation_id").collect())]
+
+
+def test_pairs_of_queries_and_chunks_are_not_shuffled_to_be_summed(spark):
+    chunks = spark.createDataFrame([(f"c{i}", "", f"red dragon w{i % 7} w{i % 3}") for i in range(60)], "chunk_id string, title string, body string")
+    index = lexical.stored_index(lexical.build_index(chunks))
+    queries = spark.createDataFrame(
+        [(f"q{i}", f"red w{i % 7} dragon", 5, None, None) for i in range(6)],
+        "query_id string, query string, pool int, namespaces array<string>, user_id string",
+    )
+    live = chunks.select("chunk_id", F.lit("n").alias("namespace"), F.lit("u").alias("owner"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if there were many matches
+    try:
+        best = lexical.best(lexical.weigh(index, lexical.query_terms(queries)), queries, live)
+        plan = best._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    shuffled = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert shuffled and not any("query_id" in keys and "chunk_id" in keys for keys in shuffled)
+
+
+def test_a_phrase_is_looked_up_in_chunks_that_hold_its_rarest_tokens(spark, monkeypatch):
+    bodies = ["red dragon coast bird", *[f"red x{i}" for i in range(9)], *[f"dragon coast y{i}" for i in range(9)]]
+    chunks = spark.createDataFrame([(f"c{i}", "", b) for i, b in enumerate(bodies)], "chunk_id string, title string, body string")
+    terms = spark.createDataFrame(
+        [("q", 0, "t", ["red", "dragon", "coast"], False)], "query_id string, term_no int, kind string, tokens array<string>, prefix boolean"
+    )
+    asked, real = [], lexical._verified_phrases
+    monkeypatch.setattr(lexical, "_verified_phrases", lambda c, *more: asked.extend(r.chunk_id for r in c.collect()) or real(c, *more))
+    found = lexical.match(lexical.build_index(chunks), terms).collect()
+    assert asked == ["c0"] and [(r.chunk_id, r.freq) for r in found] == [("c0", 1.0)]
+
+
 def test_a_first_append_is_made_durable_once(spark, tmp_path, monkeypatch):
     from threadloom.sources import canonical
 
