@@ -246,3 +246,16 @@ def test_suffix_dedup_shortens_texts(spark):
         assert all(r[c] == f"own {c}" for c in CLASHES)
         if r.text is not None and r.doc_id is not None and r.doc_id != 0:
             assert r.n_chars == len(r.text)
+
+
+def test_a_pair_of_texts_meets_seldom_more_than_once(spark):
+    rng = random.Random(17)
+    base, texts = [f"w{rng.randrange(4000)}" for _ in range(300)], []
+    for i in range(24):
+        texts.append(" ".join(w if rng.random() > 0.07 else f"u{i}x{k}" for k, w in enumerate(base)))
+    nodes = spark.createDataFrame([(v, v) for v in range(len(texts))], "v long, c long")
+    held = spark.createDataFrame(list(enumerate(texts)), "v long, text string")
+    met = [tuple(r) for r in near_dedup.met(near_dedup.rarest(nodes, held)).collect()]
+    similar = {(a, b) for a in range(24) for b in range(a) if near_dedup.similarity(texts[a], texts[b])}
+    assert len(similar) > 50 and similar <= set(met)
+    assert len(met) <= 2 * len(set(met))  # they have about two hundred word pairs in common

@@ -48,6 +48,12 @@ GRAM, SKETCHES, PICKED = 2, 36, 4
 SHORT, SHORT_GRAM, SHORT_SKETCHES, SHORT_PICKED = 20, 1, 24, 3
 #: Bits of the parity signature that is held against the number of differing words.
 SIGNATURE = 1024
+#: Counters that tell rare word pairs from frequent ones; pairs that share one count together.
+COUNTERS = 1 << 20
+#: Word pairs before a common one that are looked at for an earlier common one.
+EARLIER = 16
+#: Word pairs that a task sends at a time.
+ROWS = 20_000
 #: Bits of the match masks that one alignment may keep.
 MASK_BITS = 1 << 29
 
@@ -298,14 +304,31 @@ def needed(a, b):
     return 3 * matched(a, b) - 1 - a - b
 
 
+def counted(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``COUNTERS`` counters, how many of ``grams(slot, c)`` fall on it, and whether they are of several components."""
+    seen = grams.groupBy("slot").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
+    n, several = np.zeros(COUNTERS, np.uint32), np.zeros(COUNTERS, bool)
+    found = seen.select("slot", F.least("n", F.lit(2**32 - 1)).alias("n"), (F.col("low") != F.col("high")).alias("several")).toArrow()
+    at = found["slot"].to_numpy()  # one row a counter, whatever the size of the input
+    n[at], several[at] = found["n"].to_numpy(), found["several"].to_numpy()
+    return n, several
+
+
 def overlapping(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` across the components of ``nodes(v, c)`` that may be similar; no similar pair is missing.
+    """Pairs ``a, b`` across the components of ``nodes(v, c)`` that may be similar; no similar pair is missing."""
+    return met(rarest(nodes, texts)).distinct()
+
+
+def rarest(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``v, c, size, s, left, earlier, signed``: the word pairs of ``nodes(v, c)`` of which similar texts share one.
 
     An alignment of m words out of a and b keeps m - 1 neighbours, less one at most for each of the a + b - 2m
     other words, so similar texts have ``need`` labelled word pairs in common. The word pairs of every text are put
-    into one order: first those of one component only, then from rare to frequent. Both texts then have as many as
-    needed from the first common one on. Each text also has a signature, the parity of its labelled words by hash:
-    two signatures differ in no more bits than the texts in words, which excludes most texts that are less similar.
+    into one order: from rare to frequent by the counter that they fall on, which all texts read alike; those on a
+    counter of one component only are left out. Both texts then have as many as needed from the first common one on.
+    A pair of texts meets where they have a word pair in common but none among the few before it: always at the first
+    one, seldom again. Each text also has a signature, the parity of its labelled words by hash: two signatures differ
+    in no more bits than the texts in words, which excludes most texts that are less similar.
     """
 
     def run(batches):
@@ -326,21 +349,52 @@ def overlapping(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     held = table(
         nodes.join(texts, "v").select("v", "c", "text").mapInArrow(run, "v long, c long, size long, grams array<long>, signed array<long>")
     )
-    one = held.select("v", "c", "size", F.explode("grams").alias("s"))
-    seen = one.groupBy("s").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
-    common = one.join(table(seen.filter("low <> high").select("s", "n")), "s")
-    common = common.groupBy("v", "c", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("list"))
-    first = common.select("v", "c", "size", F.size("list").alias("all"), F.posexplode("list").alias("at", "x"))
+    slots = held.select("c", F.explode("grams").alias("s")).select("c", F.pmod("s", F.lit(COUNTERS)).cast("int").alias("slot"))
+    counters = nodes.sparkSession.sparkContext.broadcast(counted(slots))
+
+    def packed(columns):
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+        arrays = [pa.array(x, k) for x, k in zip(columns, kinds)]
+        return pa.RecordBatch.from_arrays(arrays, names=["v", "c", "size", "s", "left", "earlier", "signed"])
+
+    def begin(batches):
+        n, several = counters.value
+        columns = [[] for _ in range(7)]
+        for batch in batches:
+            for v, c, size, grams, signed in zip(*(x.to_pylist() for x in batch.columns)):
+                grams = np.array(grams, np.int64)
+                grams = grams[several[grams % COUNTERS]]
+                grams = grams[np.lexsort((grams, n[grams % COUNTERS]))]
+                fewest = math.ceil(SIMILARITY * size - 1e-9)
+                least = 3 * math.ceil(SIMILARITY / (1 + SIMILARITY) * (size + fewest) - 1e-9) - 1 - size - fewest
+                for at in range(len(grams) - max(least, 1) + 1):
+                    row = (v, c, size, grams[at], len(grams) - at, grams[max(0, at - EARLIER) : at], signed)
+                    for values, value in zip(columns, row):
+                        values.append(value)
+                    if len(columns[0]) == ROWS:
+                        yield packed(columns)
+                        columns = [[] for _ in range(7)]
+        if columns[0]:
+            yield packed(columns)
+
     # ``left``: common word pairs from this one on
-    first = first.select("v", "c", "size", F.col("x.s").alias("s"), (F.col("all") - F.col("at")).alias("left"))
-    first = first.join(held.select("v", "signed"), "v")
-    first = table(first.filter(F.col("left") >= needed(F.col("size"), F.ceil(SIMILARITY * F.col("size") - 1e-9))))
+    return table(
+        held.select("v", "c", "size", "grams", "signed").mapInArrow(
+            begin, "v long, c long, size long, s long, left long, earlier array<long>, signed array<long>"
+        )
+    )
+
+
+def met(first: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that meet by :func:`rarest`, seldom more than once."""
     need = needed(F.col("x.size"), F.col("y.size"))
     near = F.least("x.size", "y.size") >= SIMILARITY * F.greatest("x.size", "y.size") - 1e-9
     differ = sum(F.bit_count(F.col("x.signed")[i].bitwiseXOR(F.col("y.signed")[i])) for i in range(SIGNATURE // 64))
     most = F.col("x.size") + F.col("y.size") - 2 * matched(F.col("x.size"), F.col("y.size"))
-    met = first.alias("x").join(first.alias("y"), "s").filter("x.v > y.v AND x.c <> y.c")
-    return met.filter(near & (F.least("x.left", "y.left") >= need) & (differ <= most)).select(*ordered("x.v", "y.v")).distinct()
+    again = F.arrays_overlap("x.earlier", "y.earlier")
+    pairs = first.alias("x").join(first.alias("y"), "s").filter("x.v > y.v AND x.c <> y.c")
+    pairs = pairs.filter(near & (F.least("x.left", "y.left") >= need) & (differ <= most) & ~again)
+    return pairs.select(*ordered("x.v", "y.v"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
