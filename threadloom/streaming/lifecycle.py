@@ -49,8 +49,8 @@ def folded(events: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
         if len(counted) > known:
             kept = {s: at for s, at in counted.items() if at >= value["at"] - remembered}
             state.update((*value.values(), list(kept), list(kept.values())))
-            frame = pd.DataFrame([[*key, *value.values()]], columns=[*KEYS, *FIELDS])
-            yield frame.astype({f: "Int64" for f in FIELDS if f != "status"})
+            # objects, since giving every column of one row its type takes longer than the fold
+            yield pd.DataFrame([[*key, *value.values()]], columns=[*KEYS, *FIELDS], dtype=object)
 
     slim = events.select(*KEYS, "status", F.unix_micros("at").alias("at"), F.col("seq").cast("long").alias("seq"))
     return slim.groupBy(*KEYS).applyInPandasWithState(
