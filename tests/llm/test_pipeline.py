@@ -1,14 +1,15 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import SCHEMA, corpus, prose
 from test_dedup import brute_classes, brute_removed
 from test_text import brute_contamination, brute_quality
 
 import corpus_pipeline
-from threadloom.llm import packing
-from threadloom.llm.common import table
+from threadloom.llm import encode, packing, suffix_dedup
+from threadloom.llm.common import SLICE_ROWS, table
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +54,12 @@ def test_each_stage_takes_effect(spark, folder):
 def test_run_equals_its_stages(spark, folder):
     path, _, _ = folder
     assert corpus_pipeline.run(spark, path).columns[:5] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+
+def test_tasks_that_encode_nothing_free_the_pieces_of_the_stage_before():
+    encode.cache("words", "a file")["piece"] = b"1"
+    rows = 2 * SLICE_ROWS + 1
+    batch = pa.RecordBatch.from_pydict({"k1": list(range(rows)), "k2": list(range(rows)), "text": ["ab" * 300] * rows})
+    found = list(suffix_dedup._runs([batch]))
+    assert not encode.worker_state().caches and encode.worker_state().owner is None
+    assert [len(set(b.column(0).to_pylist())) for b in found] == [SLICE_ROWS, SLICE_ROWS, 1]

@@ -35,7 +35,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import free, row_key, source, table
+from . import encode
+from .common import free, row_key, slices, source, table
 from .components import components
 from .hashing import Substrings, mix
 
@@ -175,7 +176,8 @@ def sketched(docs: DataFrame) -> DataFrame:
     """``doc_id, k1, k2, same, size, keys``: identity and number of the words and sketch keys of each row with words."""
 
     def run(batches):
-        for batch in batches:
+        encode.release()
+        for batch in slices(batches):
             rows, same, sizes, keys = [], [], [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
                 normal = " ".join(words(text or "")).encode("utf-8", "surrogatepass")
@@ -203,7 +205,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of nodes whose ``texts(v, text)`` are similar."""
 
     def run(batches):
-        for batch in batches:
+        encode.release()
+        for batch in slices(batches):
             a, b, text_a, text_b = (c.to_pylist() for c in batch.columns)
             kept = [i for i in range(len(a)) if similarity(text_a[i], text_b[i])]
             yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
@@ -332,7 +335,7 @@ def rarest(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             normal = [" ".join(words(t)).encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             labelled = [labelled_grams(t).view(np.int64) for t in normal]
             yield pa.RecordBatch.from_arrays(

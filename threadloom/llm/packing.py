@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import encode
-from .common import source, table
+from .common import slices, source, table
 
 
 def decompose(n: int, longest: int = 2048) -> list[int]:
@@ -37,7 +37,7 @@ def pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in names]
             doc_ids = batch.column(0).to_pylist()
             texts = (t or "" for t in batch.column(1).to_pylist())

@@ -23,11 +23,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import encode
-from .common import free, source, table
+from .common import SLICE_ROWS, free, source, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -61,6 +61,7 @@ FIELDS = [
     ("entropy", T.DoubleType()),
     ("script", T.StringType()),
 ]
+ARROW = {T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.StringType: pa.string()}
 
 
 def repeated_words(words: list[str]) -> int:
@@ -113,12 +114,19 @@ def measure(text: str | None, model: encode.PieceModel) -> tuple:
 def measured(docs: DataFrame, path: str, text: str = "text", into: str = "quality") -> DataFrame:
     """``docs`` with a struct column ``into`` that holds the fields of ``FIELDS``."""
     struct = T.StructType([T.StructField(n, t) for n, t in FIELDS])
+    kinds = [ARROW[type(t)] for _, t in FIELDS]
+    fields = [pa.field(n, kind) for (n, _), kind in zip(FIELDS, kinds)]
 
-    @F.pandas_udf(struct)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(struct)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = encode.PieceModel(path)
-        for series in batches:
-            yield pd.DataFrame([measure(x, model) for x in series], columns=[n for n, _ in FIELDS])
+        for texts in batches:
+            found = [[] for _ in FIELDS]
+            for start in range(0, len(texts), SLICE_ROWS):
+                for text in texts.slice(start, SLICE_ROWS).to_pylist():
+                    for values, value in zip(found, measure(text, model)):
+                        values.append(value)
+            yield pa.StructArray.from_arrays([pa.array(v, kind) for v, kind in zip(found, kinds)], fields=fields)
 
     return docs.withColumn(into, run(F.col(text)))
 
