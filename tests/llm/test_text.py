@@ -9,7 +9,7 @@ import pytest
 from helpers import CLASHES, corpus, documents, prose
 from tokenizers import Tokenizer
 
-from threadloom.llm import decontaminate, packing, quality_rules, token_counts
+from threadloom.llm import decontaminate, encode, packing, quality_rules, token_counts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -162,3 +162,22 @@ def test_token_counts_equal_sums(spark):
     assert shares[1.0] == max(lengths) and shares[0.5] == sorted(lengths)[(len(lengths) + 1) // 2 - 1]
     none = token_counts.limits(token_counts.histogram(documents(spark, []), path, public_tokenizers.PATTERN))
     assert none.count() == 0 and token_counts.truncated_total(none, 5).first().tokens == 0
+
+
+def test_words_in_use_stay_known_when_the_cache_is_full(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, asked, run_ids = encode.word_tokenizer(path), [], encode.run_ids
+
+    def counted(runs, path):
+        asked.extend(runs)
+        return run_ids(runs, path)
+
+    monkeypatch.setattr(encode, "CACHE_ENTRIES", 40)
+    monkeypatch.setattr(encode, "run_ids", counted)
+    encode.release()
+    texts = [f"The\tcommon words, don't 'stop (ever): été «ici» zq{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    texts += ["a\x0bb \x85 c\xa0d", "Ünï – THE the The", "漢字 the common", "<|x|> The", ""]
+    for text, ids in zip(texts, encode.word_ids(texts, path)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert asked.count("common") == asked.count("the") == 1
+    encode.release()
