@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from test_import import branched, node, write
 
 from threadloom.functions import fixed
+from threadloom.llm.common import table
 from threadloom.operators import erasure, lexical, mutations, signals, state
-from threadloom.session import stored
+from threadloom.session import CLEANUP, stored
 from threadloom.sources import canonical, exports
 from threadloom.streaming import ingest, lifecycle
 
@@ -268,3 +269,16 @@ def test_a_first_append_is_made_durable_once(spark, tmp_path, monkeypatch):
     assert len(calls) == 1
     assert canonical.append_new(rows, path, ["revision_id", "node_id"], bucket_by="revision_id").count() == 0
     assert spark.read.parquet(path).count() == 2
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    def shuffled():
+        blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+        return {b for b in blocks.mkString(",").split(",") if b.startswith("shuffle_")}
+
+    rows = spark.range(2000).withColumn("k", F.col("id") % 50)
+    for write in (stored, table):
+        before = shuffled()
+        kept = write(rows.groupBy("k").agg(F.sum("id").alias("s")).join(rows.repartition(5, "id"), "k"))
+        assert not shuffled() - before
+        assert kept.count() == 2000 and spark.conf.get(CLEANUP, "false") == "false"
