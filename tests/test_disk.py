@@ -1,12 +1,13 @@
 """What tables and steps leave on the disks: written tables, shuffle files, texts and signals that move."""
 
 import os
+import re
 import time
 import uuid
 
 from pyspark.sql import functions as F
 
-from threadloom.operators import lexical
+from threadloom.operators import lexical, ranking
 from threadloom.session import checkpoint_dir, durable, stored, stored_in_turns
 
 
@@ -76,3 +77,37 @@ def test_matches_are_moved_as_one_row_per_chunk(spark):
     moved = [plan[i + 1] for i, line in enumerate(plan) if "Exchange hashpartitioning(chunk_id" in line]
     assert any("partial_collect_list(term_no" in line for line in moved)
     assert not any("freq" in line and "collect_list" not in line for line in moved)
+
+
+def test_signals_are_not_moved_to_the_queries(spark, monkeypatch):
+    plans, real = [], ranking.durable
+    monkeypatch.setattr(ranking, "durable", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    candidates = spark.createDataFrame(
+        [(f"q{i % 7}", f"k{i % 20}", i, None, None) for i in range(140)],
+        "query_id string, chunk_id string, lexical_rank int, semantic_raw double, recent_score double",
+    )
+    rows = spark.createDataFrame(
+        [(f"k{i}", f"c{i}", "Caf\u00e9", f"The pier has w{i}.", None) for i in range(20)],
+        "chunk_id string, conversation_id string, title string, body string, conversation_timestamp timestamp",
+    )
+    queries = spark.createDataFrame(
+        [(f"q{i}", f"pier w{i}", [], None) for i in range(7)], "query_id string, query string, tags array<string>, as_of timestamp"
+    )
+    tags = spark.createDataFrame([], "conversation_id string, tag string, seq int")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = ranking.rank(candidates, rows, queries, tags).select("query_id", "chunk_id", "lexical_rank").collect()
+        monkeypatch.setattr(ranking, "QUERIES_PER_ROW", 2)
+        again = ranking.rank(candidates, rows, queries, tags).select("query_id", "chunk_id", "lexical_rank").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    want = sorted((r.query_id, r.chunk_id, r.lexical_rank) for r in candidates.collect())
+    assert sorted(map(tuple, found)) == sorted(map(tuple, again)) == want
+    lines = plans[0].split("\n")
+    depth = [len(re.match(r"[ :+-]*", line)[0]) for line in lines]
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning(chunk_id" in line:
+            below = [lines[j] for j in range(i + 1, len(lines)) if all(depth[k] > depth[i] for k in range(i + 1, j + 1))]
+            assert not any("ArrowEvalPython" in x for x in below)
+    assert any("ArrowEvalPython" in line for line in lines)
